@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphwright.llm.chat_format import conversation_digests, reconstruct
+from graphwright.llm.decontaminate import find_leaks
+from graphwright.llm.fingerprint import fingerprint_documents
+from graphwright.llm.language_id import identify
 from graphwright.llm.mixing import mix_sources
 from graphwright.llm.sharding import shard_rows
 from graphwright.llm.simhash import simhash_groups
 from graphwright.llm.token_count import count_tokens
+from graphwright.llm.toxicity import score_toxicity
 from graphwright.llm.url_filter import filter_urls, url_host, url_path
-from graphwright.llm.words import utf8_bytes
+from graphwright.llm.words import id_fold, utf8_bytes
 from graphwright.sources.tables import read_table
 
 #: Words in host names that put a host on the derived list of op1.
@@ -102,6 +107,24 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned outside fold 2 of 4."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = id_fold(F.col("doc_id"), 4) == 2
+    return identify(docs, docs.filter(~held_out), keep=(held_out.alias("held_out"),))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents, of their edited texts, and likenesses."""
+    return fingerprint_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents by piece_bpe_32k.model."""
     import public_tokenizers
@@ -110,6 +133,37 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+#: The conversation that op7 adds: its texts are full of control strings.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def conversation_events(conversations: DataFrame) -> DataFrame:
+    """An event log that leads to the rows of the table, by turn.
+
+    Each row is opened, gets a first draft (its text backwards), is regenerated, streamed in two
+    deltas, edited to its first half alone, and completed by a last delta.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    head, tail = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    turn = F.coalesce("turn", F.lit(-(1 << 40)))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    numbered = conversations.select("conv_id", "turn", "role", "text", nth.alias("n"))
+    message = F.concat_ws("/", turn, F.lpad(F.col("n").cast("string"), 12, "0"))
+    steps = [("open", F.lit("")), ("delta", F.reverse(text)), ("regenerate", F.lit("")), ("delta", head), ("delta", F.lit("...")), ("edit", head), ("delta", tail)]
+    log = F.array(*[F.struct((turn * 8 + i).alias("seq"), F.lit(event).alias("event"), words.alias("text")) for i, (event, words) in enumerate(steps)])
+    return numbered.select("conv_id", message.alias("message"), F.coalesce("role", F.lit("")).alias("role"), F.explode(log).alias("e")).select(
+        "conv_id", "e.seq", "message", "e.event", "role", "e.text"
+    )
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -1, as read back from the rendered chat format."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], rows.schema)
+    return conversation_digests(reconstruct(conversation_events(rows.unionByName(extra))))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents over 4-word shingles and their groups at 4 differing bits."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -117,6 +171,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp_0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of all documents, learned outside fold 0 of 5."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held_out = id_fold(F.col("doc_id"), 5) == 0
+    scored = score_toxicity(docs, docs.filter(~held_out), labels.filter(~held_out))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1 of their sources, 150 % of all words, no source above 200 %."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -180,8 +245,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_shards": op2_shards,
+        "op3_language_id": op3_language_id,
+        "op4_decontamination": op4_decontamination,
+        "op5_fingerprints": op5_fingerprints,
         "op6_token_counts": op6_token_counts,
+        "op7_chat_format": op7_chat_format,
         "op8_simhash": op8_simhash,
+        "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
     }
 
