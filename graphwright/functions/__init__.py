@@ -1 +1 @@
-"""Functions."""
+"""Column expressions."""

@@ -1,19 +1,48 @@
-"""All registered queries and their SQL, collected from the operator modules."""
+"""All registered queries and their SQL, collected from the query modules."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "j17_certified_edges"
+Query = Callable[[SparkSession, str], DataFrame]
 
+FLAGSHIP = "a10_certified_edges"
+#: Modules whose import registers queries.
+MODULES = ("text", "layout", "graph", "review", "scoring", "ledger", "ordered", "edits")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function (spark, folder of the tables) -> DataFrame, with DuckDB SQL if it has any."""
+
+    def keep(function: Query) -> Query:
+        if name in _queries:
+            raise ValueError(f"{name} is registered twice")
+        _queries[name] = function
+        if sql:
+            _sql[name] = sql
+        return function
+
+    return keep
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"graphwright.plans.{name}_queries")
+
+
+def queries() -> dict[str, Query]:
     """Query by name."""
-    return {}
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    _load()
+    return dict(_sql)
