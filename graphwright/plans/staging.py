@@ -66,11 +66,16 @@ numbered as (
 )"""
 
 
-def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def proposals(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
     """proposal(unit_id, row, relation_type, source_name, target_name, read, verdict, structure, condition, record).
 
     Each order line states that its brand may indicate its part, and that its supplier resolves it.
+    fine: names carry an order or supplier number too, so that the graph has gaps.
     """
+    brand, part, cause = F.col("p_brand"), F.col("p_name"), F.col("p_name")
+    if fine:
+        brand = F.concat_ws(" ", brand, F.col("l_orderkey") % 500)
+        part, cause = F.concat_ws(" ", part, F.col("l_suppkey") % 400), F.concat_ws(" ", cause, F.col("l_orderkey") % 400)
     items = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity"
     )
@@ -79,8 +84,8 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sides = F.explode(
         F.array(
-            F.struct(F.lit("MAY_INDICATE").alias("relation_type"), F.col("p_brand").alias("source_name"), F.col("p_name").alias("target_name")),
-            F.struct(F.lit("RESOLVED_BY").alias("relation_type"), F.col("p_name").alias("source_name"), F.col("s_name").alias("target_name")),
+            F.struct(F.lit("MAY_INDICATE").alias("relation_type"), brand.alias("source_name"), part.alias("target_name")),
+            F.struct(F.lit("RESOLVED_BY").alias("relation_type"), cause.alias("source_name"), F.col("s_name").alias("target_name")),
         )
     )
     return named.select(
