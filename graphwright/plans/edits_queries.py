@@ -1 +1,121 @@
-"""Queries."""
+"""Queries that edit and check: customers and suppliers are nodes, nations their groups."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphwright.functions import text as T
+from graphwright.operators import edits as G
+from graphwright.registry import query
+from graphwright.sources.tables import read_table
+
+
+@query(
+    "e03_field_edits",
+    """with edits as (select o_custkey as c_custkey, o_orderkey as ord, o_orderpriority as value from orders where o_orderkey % 3 = 0), last as (select c_custkey, arg_max(value, ord) as value from edits group by c_custkey)
+    select c.c_custkey, coalesce(l.value, c.c_mktsegment) as c_mktsegment, l.value is not null and l.value is distinct from c.c_mktsegment as changed from customer c left join last l using (c_custkey)""",
+)
+def field_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' segments after edits that their orders make, in order."""
+    orders = read_table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0")
+    edits = orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("value"))
+    return G.apply_field_edits(read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), edits, "c_custkey", "c_mktsegment")
+
+
+@query(
+    "e02_node_deletion",
+    """with kept as (select c_custkey from customer where c_acctbal >= 0), links as (select o_custkey, o_orderpriority from orders)
+    select o_orderpriority, count(*) as edges, count(distinct o_custkey) as nodes from links where o_custkey in (select c_custkey from kept) or o_custkey not in (select c_custkey from customer) group by o_orderpriority""",
+)
+def node_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders left after deleting customers in debt, with all their orders."""
+    customers, orders = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "orders").withColumn("to", -F.col("o_orderkey") - 1)
+    _, kept = G.delete_nodes(customers, orders, customers.filter("c_acctbal < 0"), "c_custkey", "o_custkey", "to")
+    return kept.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("o_custkey").alias("nodes"))
+
+
+@query("a36_repeated_keys", "select l_orderkey, l_linenumber, count(*) as n from lineitem group by l_orderkey, l_linenumber having count(*) > 1")
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines whose key is not unique."""
+    return G.repeated_keys(read_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query(
+    "u11_conflicting_inserts",
+    "select l_orderkey, l_linenumber, count(distinct l_partkey) as contents from lineitem group by l_orderkey, l_linenumber having count(distinct l_partkey) > 1",
+)
+def conflicting_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys under which different contents were inserted."""
+    return read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count_distinct("l_partkey").alias("contents")).filter("contents > 1")
+
+
+@query(
+    "a42_degrees",
+    """with links as (select distinct l_partkey as a, 1000000 + l_suppkey as b from lineitem), ends as (select a as node, b as other from links union all select b, a from links) select node, count(*) as degree, count(distinct other) as neighbours from ends group by node""",
+)
+def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Degrees of parts and suppliers."""
+    links = read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b")).distinct()
+    return G.degrees(links, "a", "b")
+
+
+@query(
+    "a35_completeness",
+    """with states as (select case when c_custkey % 7 = 0 then 'missing' when c_mktsegment is null or trim(c_mktsegment) = '' then 'empty' when lower(c_mktsegment) in ('not_stated', 'unknown') then 'not_stated' else 'filled' end as segment,
+      case when c_acctbal < 0 then 'missing' when c_name is null or trim(c_name) = '' then 'empty' when lower(c_name) in ('not_stated', 'unknown') then 'not_stated' else 'filled' end as name from customer)
+    select 'segment' as field, segment as state, count(*) as n from states group by segment union all select 'name', name, count(*) from states group by name""",
+)
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of customers' properties."""
+    fields = {"segment": T.value_state(F.col("c_mktsegment"), F.col("c_custkey") % 7 != 0), "name": T.value_state(F.col("c_name"), F.col("c_acctbal") >= 0)}
+    return G.completeness(read_table(spark, sf_dir, "customer"), fields)
+
+
+@query(
+    "o13_result_page",
+    """with placed as (select c_custkey, c_name, row_number() over (order by c_acctbal desc, c_custkey)::int as place, count(*) over () as total from customer where lower(c_name) like '%1%') select * from placed where place > 40 and place <= 60""",
+)
+def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page of twenty customers that a search finds."""
+    found = read_table(spark, sf_dir, "customer").filter(F.lower("c_name").contains("1")).select("c_custkey", "c_name", "c_acctbal")
+    return G.page_of_rows(found, 40, 20, F.desc("c_acctbal"), F.col("c_custkey")).select("c_custkey", "c_name", "place", "total")
+
+
+@query(
+    "p27_relation_states",
+    """with states as (select l_orderkey, bool_and(l_returnflag = 'R') as all_rejected, bool_or(l_linestatus = 'F' and l_returnflag = 'A') as confirmed, bool_or(l_returnflag = 'N' and l_discount > 0.08) as green, bool_and(l_linenumber = 0) as derived from lineitem group by l_orderkey)
+    select case when derived then 'system' when all_rejected then 'rejected' when green then 'green' when confirmed then 'human' else 'pending' end as state, count(*) as relations from states group by all""",
+)
+def relation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of relations from those of their occurrences."""
+    states = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.bool_and(F.col("l_returnflag") == "R").alias("rejected"), F.bool_or((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "A")).alias("confirmed"),
+        F.bool_or((F.col("l_returnflag") == "N") & (F.col("l_discount") > 0.08)).alias("green"), F.bool_and(F.col("l_linenumber") == 0).alias("derived"),
+    )
+    state = F.when(F.col("derived"), "system").when(F.col("rejected"), "rejected").when(F.col("green"), "green").when(F.col("confirmed"), "human").otherwise("pending")
+    return states.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("relations"))
+
+
+@query(
+    "u10_mention_upsert",
+    """select p_name as mention, string_agg(distinct p_brand, ',' order by p_brand) as readings, min(p_type) as original, count(*) as rows from part group by p_name""",
+)
+def mention_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions merged by name: union of readings, least original."""
+    return read_table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("mention")).agg(
+        F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("readings"), F.min("p_type").alias("original"), F.count(F.lit(1)).alias("rows")
+    )
+
+
+@query(
+    "j45_map_answers",
+    """with answers as (select doc_id, case when quality = 1 then 'diagnostic' else 'other' end as label from labels), pages_ as (select doc_id, lang, case when n_chars > 2000 then 'diagnostic' else 'procedure' end as label, doc_id % 5 = 0 as protected_ from documents)
+    select p.doc_id, case when p.protected_ and p.label = 'diagnostic' then p.label else coalesce(a.label, p.label) end as label, a.label is null as unsure from pages_ p left join answers a using (doc_id)""",
+)
+def map_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page labels after answers; protected diagnostic pages are not demoted."""
+    answers = read_table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "diagnostic").otherwise("other").alias("answer"))
+    pages = read_table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 2000, "diagnostic").otherwise("procedure").alias("label"))
+    kept = (F.col("doc_id") % 5 == 0) & (F.col("label") == "diagnostic")
+    return pages.join(answers, "doc_id", "left").select("doc_id", F.when(kept, F.col("label")).otherwise(F.coalesce("answer", "label")).alias("label"), F.col("answer").isNull().alias("unsure"))

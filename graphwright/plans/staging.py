@@ -166,11 +166,11 @@ ledger as (
 
 
 def live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """live(run_id, seq, at, kind, item, cost): events as the log of a run; a sign-up starts a new attempt."""
+    """live(run_id, seq, happened, kind, item, cost): events as the log of a run; a sign-up starts a new attempt."""
     return read_table(spark, sf_dir, "events").select(
         F.col("user_id").alias("run_id"),
         F.col("event_id").alias("seq"),
-        F.col("ts").alias("at"),
+        F.col("ts").alias("happened"),
         F.when(F.col("event_type") == "signup", "run_started").when(F.col("event_type") == "purchase", "unit_extracted")
         .when(F.col("event_type") == "error", "run_failed").otherwise("relations_checked").alias("kind"),
         (F.col("event_id") % 11).alias("item"),
@@ -180,7 +180,7 @@ def live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LIVE = """
 live as (
-  select user_id as run_id, event_id as seq, ts as at,
+  select user_id as run_id, event_id as seq, ts as happened,
     case event_type when 'signup' then 'run_started' when 'purchase' then 'unit_extracted' when 'error' then 'run_failed' else 'relations_checked' end as kind,
     event_id % 11 as item, value
   from events
