@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,10 @@ LITERAL, NUMBER, UNIT_WORD, CAPITAL, ENDS_SENTENCE, EMPTY = 0, 1, 2, 4, 8, 16
 
 def word_kind(word: str) -> tuple[int, int]:
     """(hash of the bare lower-case word, flags) of one word with its punctuation."""
+    if word.isalpha():
+        low = word.lower()
+        flags = (UNIT_WORD if low in UNITS else 0) | (CAPITAL if word[0].isupper() else 0)
+        return xxhash.xxh64_intdigest(low.encode("utf-8", "replace")), flags
     bare = _EDGE.sub("", word)
     flags = ENDS_SENTENCE if word.rstrip("\"')»”").endswith(_ENDS) else 0
     if not bare:
@@ -80,40 +85,29 @@ class Templates:
 
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
-        self.hashes: list[int] = []
-        self.flags: list[int] = []
-        self.table = (np.zeros(0, np.uint64), np.zeros(0, np.uint8))
+        self.hashes = np.zeros(REMEMBERED + BLOCK, np.uint64)
+        self.flags = np.zeros(REMEMBERED + BLOCK, np.uint8)
 
     def _looked_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and flags of each word."""
-        if len(self.ids) > REMEMBERED:
-            self.__init__()
-        ids, known = self.ids, len(self.ids)
-        at = np.fromiter(map(ids.get, words, [-1] * len(words)), np.int64, len(words))
-        new = np.flatnonzero(at < 0)
-        apart: dict[int, tuple[int, int]] = {}
-        for i in new.tolist():
+        """Hash and flags of each of at most BLOCK words."""
+        ids = self.ids
+        if len(ids) > REMEMBERED:
+            ids.clear()
+        at = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
+        apart: list[tuple[int, tuple[int, int]]] = []
+        for i in np.flatnonzero(at < 0).tolist():
             word = words[i]
             if len(word) > LONG:
-                apart[i] = word_kind(word)
+                apart.append((i, word_kind(word)))
                 at[i] = 0
-            elif word in ids:
-                at[i] = ids[word]
-            else:
-                h, f = word_kind(word)
-                at[i] = ids[word] = len(ids)
-                self.hashes.append(h)
-                self.flags.append(f)
-        if len(ids) != known:
-            self.table = (
-                np.concatenate([self.table[0], np.array(self.hashes[known:], np.uint64)]),
-                np.concatenate([self.table[1], np.array(self.flags[known:], np.uint8)]),
-            )
-        if not len(ids):
-            hashes, flags = np.zeros(len(words), np.uint64), np.zeros(len(words), np.uint8)
-        else:
-            hashes, flags = self.table[0][at], self.table[1][at]
-        for i, (h, f) in apart.items():
+                continue
+            n = ids.get(word)
+            if n is None:
+                n = ids[word] = len(ids)
+                self.hashes[n], self.flags[n] = word_kind(word)
+            at[i] = n
+        hashes, flags = self.hashes[at], self.flags[at]
+        for i, (h, f) in apart:
             hashes[i], flags[i] = h, f
         return hashes, flags
 
@@ -234,9 +228,9 @@ def find_leaks(
         F.col("hash").alias("h"), F.col("slots").alias("item_slots"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("s"),
     )
-    pairs = found.join(salted, (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s"))).select(
+    pairs = cut(found.join(salted, (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s"))).select(
         F.col("id").alias("doc_id"), "item_id", "item_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots"
-    )
+    ))
     # one value of the item for one of the document, and back, within an alignment
     swaps = F.explode_outer(F.arrays_zip("item_slots", "slots"))
     where = ["doc_id", "item_id", "shift"]
