@@ -151,7 +151,8 @@ def short_digest(prefix: str, *parts: Column, separator: str = "|") -> Column:
 
 def wilson(hits: Column, total: Column) -> tuple[Column, Column]:
     """Bounds of the 95 % Wilson interval, three digits; 0 and 0 without observations."""
-    n, p = total.cast("double"), hits.cast("double") / F.nullif(total.cast("double"), F.lit(0.0))
+    n = F.nullif(total.cast("double"), F.lit(0.0))
+    p = hits.cast("double") / n
     z = 1.96
     centre = (p + z * z / (2 * n)) / (1 + z * z / n)
     margin = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
