@@ -27,7 +27,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """edges(u long, v long) -> (node, component): each node that has an edge, with the smallest node it reaches.
+    """edges(u, v) of one orderable type -> (node, component): each node that has an edge, with the smallest node it reaches.
 
     Loops and repeated edges are allowed; an empty edge table gives an empty result. Every round
     shuffles the edges a few times and is written to the checkpoint folder; nothing but a count and

@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "a10_certified_edges"
 #: Modules whose import registers queries.
-MODULES = ("text", "layout", "graph", "review", "scoring", "ledger", "ordered", "edits")
+MODULES = ("text", "layout", "graph", "joins", "review", "scoring", "ledger", "ordered", "edits", "totals")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
