@@ -58,3 +58,18 @@ def nth_uses(rows: DataFrame, key: list[str], order: list[str], keep: int) -> Da
     """The first uses of each key, numbered from 1."""
     n = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return rows.withColumn("use", n).filter(F.col("use") <= keep)
+
+
+def translated_events(log: DataFrame) -> DataFrame:
+    """Each event of a run with what is known by then: attempt, units done in it, and the largest cost so far.
+
+    log(run_id, seq, kind, cents); repeated sequence numbers count once.
+    """
+    upto = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.dropDuplicates(["run_id", "seq"]).withColumn("attempt", F.sum((F.col("kind") == "run_started").cast("long")).over(upto))
+    within = Window.partitionBy("run_id", "attempt").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(
+        "run_id", "seq", "kind", "attempt",
+        F.sum((F.col("kind") == "unit_extracted").cast("long")).over(within).alias("units_done"),
+        F.max("cents").over(upto).alias("most_cents"),
+    )

@@ -138,3 +138,15 @@ def daily_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by day and kind: tumbling windows."""
     live = S.live_events(spark, sf_dir)
     return live.groupBy(F.window("happened", "1 day").alias("w"), "kind").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("run_id").alias("runs")).select(F.col("w.start").alias("day"), "kind", "events", "runs")
+
+
+@query(
+    "t01_translated_events",
+    f"""with {S.LIVE}, attempts as (select *, round(value * 100)::bigint as cents, sum((kind = 'run_started')::int) over (partition by run_id order by seq rows between unbounded preceding and current row)::bigint as attempt from live)
+    select run_id, seq, kind, attempt, sum((kind = 'unit_extracted')::int) over (partition by run_id, attempt order by seq rows between unbounded preceding and current row)::bigint as units_done,
+      max(cents) over (partition by run_id order by seq rows between unbounded preceding and current row) as most_cents from attempts""",
+)
+def translated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of every run with the state of the run after it."""
+    live = S.live_events(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return G.translated_events(live)

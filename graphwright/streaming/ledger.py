@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -29,6 +33,39 @@ def windowed_counts(events: DataFrame, length: str, late: str) -> DataFrame:
     )
 
 
+def _translate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """New events of one run, in order, with the state after each; what was seen before is dropped."""
+    seen, attempt, units, most = state.get if state.exists else (-1, 0, 0, None)
+    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+    out = []
+    for seq, kind, cents in rows[["seq", "kind", "cents"]].itertuples(index=False, name=None):
+        if seq <= seen:
+            continue
+        seen = seq
+        if kind == "run_started":
+            attempt, units = attempt + 1, 0
+        units += kind == "unit_extracted"
+        if cents == cents and cents is not None:
+            most = int(cents) if most is None else max(most, int(cents))
+        out.append((key[0], seq, kind, attempt, units, most))
+    state.update((int(seen), int(attempt), int(units), most))
+    yield pd.DataFrame(out, columns=["run_id", "seq", "kind", "attempt", "units_done", "most_cents"])
+
+
+def translated_stream(events: DataFrame) -> DataFrame:
+    """translated_events for a stream(run_id, seq, kind, cents) whose sequence numbers rise from batch to batch.
+
+    The state of a run is four numbers; events that come again, as after a restart, are dropped.
+    """
+    return events.groupBy("run_id").applyInPandasWithState(
+        _translate,
+        "run_id long, seq long, kind string, attempt long, units_done long, most_cents long",
+        "seen long, attempt long, units long, most long",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
 def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
     """Processes what is there, then stops; the result is the in-memory table of that name, for small results."""
     running = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

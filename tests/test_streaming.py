@@ -1,5 +1,9 @@
 """The ledger stream gives what the batch gives, in several batches of files."""
 
+from pyspark.sql import functions as F
+
+from graphwright.operators.ledger import translated_events
+from graphwright.plans.staging import live_events
 from graphwright.sources.tables import read_table
 from graphwright.streaming import ledger as G
 
@@ -21,3 +25,14 @@ def test_windows_drop_nothing_within_the_allowance(spark, small, tmp_path):
     got = {(r["start"], r["event_type"]): r["events"] for r in spark.table("daily").collect()}
     whole = {(r["start"], r["event_type"]): r["events"] for r in G.windowed_counts(events, "1 day", "2 days").collect()}
     assert got and all(whole[k] == v for k, v in got.items())
+
+
+def test_state_of_runs_survives_batches_and_repeats(spark, small, tmp_path):
+    log = live_events(spark, small).select("run_id", "seq", "kind", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    folder = str(tmp_path / "in")
+    for low, high in ((0, 400), (300, 700), (700, 10**9)):  # events 300 to 399 come twice
+        log.filter((F.col("seq") >= low) & (F.col("seq") < high)).coalesce(1).write.mode("append").parquet(folder)
+    stream = G.translated_stream(G.event_stream(spark, folder, log.schema))
+    G.run_available(stream, "translated", "append", str(tmp_path / "state"))
+    got = sorted(tuple(r) for r in spark.table("translated").collect())
+    assert got == sorted(tuple(r) for r in translated_events(log).collect())
