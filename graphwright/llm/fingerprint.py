@@ -87,16 +87,16 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def in_ranges(docs: DataFrame, order: Column, tie: Column, columns: list[Column]) -> DataFrame:
+def in_ranges(docs: DataFrame, order: Column, tie: str, columns: list[Column]) -> DataFrame:
     """Rows in id ranges of about one size, each range in order and followed by the row that comes next.
 
-    Adds _range, _order, _after (1 for the row lent from the next range; the last one lends from the
+    tie names the column that orders rows of one id. Adds _range, _order, _after (1 for the row lent from the next range; the last one lends from the
     first). Range borders are quantiles over all ids and are few; whole rows are shuffled once.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = partitions * RANGES
-    rows = docs.select(*columns, order.alias("_order"), tie.alias("_tie"))
+    rows = docs.select(*columns, order.alias("_order"))
     steps = [i / ranges for i in range(1, ranges)]
     ids = docs.select(order.alias("_order"))
     borders = ids.agg(F.percentile_approx("_order", F.lit(steps), F.lit(100 * ranges)).alias("q")).first()["q"]
@@ -113,7 +113,7 @@ def in_ranges(docs: DataFrame, order: Column, tie: Column, columns: list[Column]
     placed = rows.withColumn("_range", range_of("_order")).withColumn("_after", F.lit(0))
     borrowed = rows.join(F.broadcast(lent), F.col("_order") == F.col("_first")).drop("_first").withColumn("_after", F.lit(1))
     both = placed.unionByName(borrowed)
-    return both.repartition(partitions, "_range").sortWithinPartitions("_range", "_after", "_order", "_tie")
+    return both.repartition(partitions, "_range").sortWithinPartitions("_range", "_after", "_order", tie)
 
 
 def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -154,6 +154,6 @@ def fingerprint_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "
     types = [pa.int32() if kind == "int" else pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     body = F.coalesce(F.col(text), F.lit(""))
     order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    rows = in_ranges(docs, order, body, [F.col(key), body.alias("_text")])
+    rows = in_ranges(docs, order, "_text", [F.col(key), body.alias("_text")])
     schema = f"`{key}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.drop("_tie").mapInArrow(printed, schema)
+    return rows.mapInArrow(printed, schema)
