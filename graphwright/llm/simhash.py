@@ -16,7 +16,6 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -27,11 +26,11 @@ from graphwright.llm.words import slices
 from graphwright.plans.checkpoints import cut
 
 #: Fingerprints that one cell of a partition's index holds, about.
-CELL_FINGERPRINTS = 1 << 17
+CELL_FINGERPRINTS = 1 << 16
 #: Candidate pairs that are verified at once.
-PAIR_BLOCK = 1 << 20
+PAIR_BLOCK = 1 << 18
 #: Shingles that are hashed at once.
-SHINGLE_BLOCK = 1 << 18
+SHINGLE_BLOCK = 1 << 16
 #: Ids of rows that go are broadcast up to this number, about 16 MB.
 BROADCAST_ROWS = 500_000
 #: Cost of one row sent to a cell, in verified pairs.
@@ -245,7 +244,7 @@ class Forest:
                 root[:] = up
 
 
-def link_runs(forest: Forest, prints: np.ndarray, radius: int, left: np.ndarray, left_keys: np.ndarray, right: np.ndarray, right_keys: np.ndarray, mask: int, ordered: bool) -> None:
+def link_runs(forest: Forest, words: list[np.ndarray], radius: int, left: np.ndarray, left_keys: np.ndarray, right: np.ndarray, right_keys: np.ndarray, mask: int, ordered: bool) -> None:
     """Verifies rows of left against rows of right whose keys differ by exactly mask.
 
     Both are sorted by key. ordered: left and right are the same rows, and each pair is wanted once.
@@ -274,22 +273,25 @@ def link_runs(forest: Forest, prints: np.ndarray, radius: int, left: np.ndarray,
         a = np.repeat(rows[at_row:stop], w)
         b = np.repeat(first[at_row:stop] - np.concatenate([[0], np.cumsum(w)[:-1]]).astype(np.int64), w) + np.arange(w.sum())
         a, b = left[a], right[b]
-        near = np.bitwise_count(prints[a] ^ prints[b]).sum(1) <= radius
+        apart = np.zeros(len(a), np.uint16)
+        for word in words:
+            apart += np.bitwise_count(word[a] ^ word[b])
+        near = apart <= radius
         forest.link(a[near], b[near])
         at_row = stop
 
 
-def cell_links(cell: pd.DataFrame, names: list[str], radius: int, low_bits: dict[int, list[int]]) -> pd.DataFrame:
+def cell_links(cell: pa.Table, names: list[str], radius: int, low_bits: dict[int, list[int]]) -> pa.Table:
     """Links of one cell: rows at home against each other, and visitors against rows at home.
 
-    Returns (u, v) doc_ids: each row that is linked to an earlier one, with the first of its component.
+    Returns (u, v), fingerprints in hex: each row that is linked to an earlier one, with the first of
+    its component.
     """
-    prints = cell[names].to_numpy().astype(np.int64).view(np.uint64)
-    part = int(cell["part"].iloc[0])
+    prints = np.stack([cell.column(c).to_numpy() for c in names], 1).view(np.uint64)
+    part = cell.column("part")[0].as_py()
     keys = keys_of(unpacked(prints), low_bits[part])
-    reach, ids = cell["reach"].to_numpy(), cell["doc_id"].to_numpy()
-    sides = cell["side"].to_numpy()
-    forest = Forest(len(cell))
+    reach, sides = cell.column("reach").to_numpy(), cell.column("side").to_numpy()
+    forest, words = Forest(len(prints)), [np.ascontiguousarray(prints[:, i]) for i in range(len(names))]
 
     def run(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero(chosen)
@@ -299,17 +301,18 @@ def cell_links(cell: pd.DataFrame, names: list[str], radius: int, low_bits: dict
     home, home_keys = run(sides == 0)
     if len(home) and reach[home[0]] >= 0:
         for mask in flips(len(low_bits[part]), int(reach[home[0]])):
-            link_runs(forest, prints, radius, home, home_keys, home, home_keys, mask, ordered=True)
+            link_runs(forest, words, radius, home, home_keys, home, home_keys, mask, ordered=True)
     for r in np.unique(reach[sides == 1]):
         guests, guest_keys = run((sides == 1) & (reach == r))
         for mask in flips(len(low_bits[part]), int(r)):
-            link_runs(forest, prints, radius, guests, guest_keys, home, home_keys, mask, ordered=False)
-    linked = np.flatnonzero(forest.root != np.arange(len(cell)))
-    return pd.DataFrame({"u": ids[linked], "v": ids[forest.root[linked]]})
+            link_runs(forest, words, radius, guests, guest_keys, home, home_keys, mask, ordered=False)
+    linked = np.flatnonzero(forest.root != np.arange(len(prints)))
+    named = lambda rows: ["".join(f"{word:016X}" for word in row) for row in prints[rows].tolist()]
+    return pa.table({"u": pa.array(named(linked), pa.string()), "v": pa.array(named(forest.root[linked]), pa.string())})
 
 
 def near_links(prints: DataFrame, words: int, radius: int, parts: range | None = None) -> DataFrame:
-    """(u, v) doc_ids that connect what is linked; prints has one row per distinct fingerprint.
+    """(u, v), names of fingerprints (see node_name) that connect what is linked; prints are distinct.
 
     A partition's index is cut into cells by the first bits of the key, as many as keep a cell at
     about CELL_FINGERPRINTS rows. A row is at home in one cell and visits the cells whose first bits
@@ -319,7 +322,7 @@ def near_links(prints: DataFrame, words: int, radius: int, parts: range | None =
     """
     names = [f"fp_{i}" for i in range(words)]
     n, both = bit_statistics(prints, words)
-    plan = plan_partitions(both, n, radius, parts or range(2, radius + 2))
+    plan = plan_partitions(both, n, radius, parts or range(min(2, radius + 1), radius + 2))
     split = [index_split(n, len(p.bits)) for p in plan]
     low = {i: p.bits[s:] for i, (p, s) in enumerate(zip(plan, split, strict=True))}
     visits = [[(mask, p.threshold - mask.bit_count()) for mask in flips(s, p.threshold) if mask] for p, s in zip(plan, split, strict=True)]
@@ -337,55 +340,64 @@ def near_links(prints: DataFrame, words: int, radius: int, parts: range | None =
                         part = some.take(pa.array(going))
                         k = len(going)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(k, i, np.int32)), pa.array((cell ^ mask)[going]), pa.array(np.full(k, int(mask != 0), np.int32)), pa.array(np.full(k, reach, np.int32)), part.column("doc_id"), *(part.column(c) for c in names)],
-                            names=["part", "cell", "side", "reach", "doc_id", *names],
+                            [pa.array(np.full(k, i, np.int32)), pa.array((cell ^ mask)[going]), pa.array(np.full(k, int(mask != 0), np.int32)), pa.array(np.full(k, reach, np.int32)), *(part.column(c) for c in names)],
+                            names=["part", "cell", "side", "reach", *names],
                         )
 
-    schema = "part int, cell long, side int, reach int, doc_id long, " + ", ".join(f"{c} long" for c in names)
-    cells = prints.select("doc_id", *names).mapInArrow(celled, schema)
+    schema = "part int, cell long, side int, reach int, " + ", ".join(f"{c} long" for c in names)
+    cells = prints.select(*names).mapInArrow(celled, schema)
     # blocks: a cell of b blocks becomes the pairs (i <= j) of them
     sizes = cells.groupBy("part", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * CELL_FINGERPRINTS)).alias("blocks"))
     hot = sizes.filter("blocks > 1")
     cells = cells.join(hot, ["part", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    mine = F.pmod(F.xxhash64(*names), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     cells = cells.withColumn("mine", mine).withColumn("other", other)
     cells = cells.withColumn("block_a", F.least("mine", "other")).withColumn("block_b", F.greatest("mine", "other"))
 
-    def linked(cell: pd.DataFrame) -> pd.DataFrame:
+    def linked(cell: pa.Table) -> pa.Table:
         return cell_links(cell, names, radius, low)
 
-    return cells.select("part", "cell", "block_a", "block_b", "side", "reach", "doc_id", *names).groupBy("part", "cell", "block_a", "block_b").applyInPandas(linked, "u long, v long")
+    return cells.select("part", "cell", "block_a", "block_b", "side", "reach", *names).groupBy("part", "cell", "block_a", "block_b").applyInArrow(linked, "u string, v string")
+
+
+def node_name(names: list[str]) -> Column:
+    """The words of a fingerprint in hex: unlike the smallest doc_id, no two fingerprints share it."""
+    return F.concat(*[F.lpad(F.hex(n), 16, "0") for n in names])
 
 
 def simhash_groups(
     docs: DataFrame,
     *,
     words_in_shingle: int = 5,
-    radius: int = 20,
+    radius: int = 24,
     seeds: tuple[int, ...] = (42, 43),
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """(doc_id, content, fp_0 .., component_id): each row's fingerprint words and the smallest doc_id of its group.
+    """(doc_id, content, fp_0 .., component_id, group_name) for each row of docs.
+
+    content is a hash of the text, fp_0 .. are the words of the fingerprint, component_id is the
+    smallest doc_id of the row's group, and group_name the group's smallest fingerprint: groups of
+    repeated ids may share the one, never the other.
 
     Rows are linked if their fingerprints differ in at most radius of 64 * len(seeds) bits, and a
     group is what links connect. Equal texts have equal fingerprints and meet before any search, so
     copies cost one row. A text without words has fingerprint zero and is linked like any other;
     a null text counts as empty; texts are hashed whole, block by block; rows with one doc_id may
-    repeat and keep a row each; null doc_ids are allowed, but don't name a group that has others.
+    repeat and keep a row each; null doc_ids are allowed and never name a group that has others.
     An empty table gives an empty result.
     """
     names = [f"fp_{i}" for i in range(len(seeds))]
     each = cut(fingerprints(docs, words_in_shingle, seeds, key=key, text=text))
     distinct = cut(each.groupBy(*names).agg(F.min("doc_id").alias("doc_id")))
-    named = distinct.filter("doc_id is not null")
-    groups = connected_components(near_links(named, len(seeds), radius))
-    labels = distinct.join(groups, distinct["doc_id"] == groups["node"], "left").select(
-        *[F.col(c).alias(f"_{c}") for c in names], F.coalesce("component", "doc_id").alias("component_id")
-    )
+    groups = connected_components(near_links(distinct, len(seeds), radius))
+    placed = distinct.withColumn("_node", node_name(names)).join(groups, F.col("_node") == F.col("node"), "left")
+    placed = placed.withColumn("component", F.coalesce("component", "_node"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    labels = placed.join(least, "component").select(*[F.col(c).alias(f"_{c}") for c in names], "component_id", F.col("component").alias("group_name"))
     same = [F.col(c) == F.col(f"_{c}") for c in names]
-    return each.join(labels, same).select("doc_id", "content", *names, "component_id")
+    return each.join(labels, same).select("doc_id", "content", *names, "component_id", "group_name")
 
 
 def one_of_each_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
@@ -395,9 +407,10 @@ def one_of_each_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     of equal ones a single row. Rows with null ids all stay. The rows that go are few and slim;
     they are broadcast only if counted to be at most BROADCAST_ROWS.
     """
-    groups = cut(simhash_groups(docs, key=key, text=text, **options).filter("doc_id is not null").groupBy("doc_id", "content", "component_id").agg(F.count(F.lit(1)).alias("copies")))
-    first = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_d")).agg(F.min("content").alias("_c"))
-    judged = groups.join(first, groups["doc_id"] == first["_d"], "left")
+    groups = simhash_groups(docs, key=key, text=text, **options).filter("doc_id is not null")
+    groups = cut(groups.groupBy("doc_id", "content", "component_id", "group_name").agg(F.count(F.lit(1)).alias("copies")))
+    first = groups.filter("doc_id = component_id").groupBy(F.col("group_name").alias("_g")).agg(F.min("content").alias("_c"))
+    judged = groups.join(first, groups["group_name"] == first["_g"], "left")
     stays = (F.col("doc_id") == F.col("component_id")) & (F.col("content") == F.col("_c"))
     gone = cut(judged.filter(~stays).select(F.col("doc_id").alias("_d"), F.col("content").alias("_c")))
     twice = cut(groups.filter("copies > 1 and doc_id = component_id").select(F.col("doc_id").alias("_d"), F.col("content").alias("_c")))

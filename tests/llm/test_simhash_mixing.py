@@ -53,7 +53,7 @@ def varied(seed, n):
     return texts + texts[:20] + [None, "", "  \n", "One\tTWO", "one two", "\u00a0x y", "É é"]
 
 
-@pytest.mark.parametrize(("k", "radius", "seeds"), [(4, 4, (42,)), (5, 20, (42, 43)), (4, 0, (42,)), (4, 9, (42,))])
+@pytest.mark.parametrize(("k", "radius", "seeds"), [(4, 4, (42,)), (5, 24, (42, 43)), (4, 0, (42,)), (4, 9, (42,))])
 def test_groups_are_exact(spark, documents, k, radius, seeds):
     rows = list(enumerate(varied(k + radius, 120)))
     random.Random(0).shuffle(rows)
