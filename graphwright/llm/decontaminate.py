@@ -37,10 +37,10 @@ FILTER_BITS = 24
 #: Salts of the join, against windows that very many documents share.
 SALTS = 16
 #: Distinct words that a task remembers at one time, and the longest of them.
-REMEMBERED = 300_000
+REMEMBERED = 40_000
 LONG = 64
 #: Words of a text that are worked on at once.
-BLOCK = 1 << 18
+BLOCK = 1 << 15
 
 # Words that count as units after a number.
 UNITS = frozenset(
@@ -215,11 +215,12 @@ def find_leaks(
     consistent slots, and is threshold or more; kind is verbatim if all slots are the item's own,
     else reparameterised. Texts are worked on whole. Items without a usable window (null or empty
     texts, nothing but placeholders) leak nowhere; null and empty documents hold nothing; rows with
-    null ids are left out; repeated rows count once; further columns are ignored. Either table may
-    be empty.
+    null ids are left out; of items with one id the text that sorts first counts, and documents with
+    one id count as one; further columns are ignored. Either table may be empty.
     """
-    benchmark = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text")).filter("id is not null").distinct()
-    known = cut(template_windows(benchmark, None).dropDuplicates(["id", "pos"]))
+    benchmark = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text")).filter("id is not null")
+    benchmark = benchmark.groupBy("id").agg(F.min("text").alias("text"))
+    known = cut(template_windows(benchmark, None))
     bitmap = window_bitmap(known)
     corpus = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
     found = template_windows(corpus, bitmap).select("id", "pos", "hash", "slots").withColumn("salt", F.pmod("id", F.lit(SALTS)))

@@ -30,7 +30,7 @@ from graphwright.llm.words import slices, utf8_bytes
 
 MARK = "▁"
 #: Pre-tokens outside the proof whose counts are remembered at one time.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pre-tokens of more characters are encoded without being remembered.
 LONG = 64
 

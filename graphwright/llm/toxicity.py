@@ -38,7 +38,7 @@ DECAY = 1e-3
 #: Features that are used however few positives there are; else one for two positives, up to a bound.
 FEW_FEATURES = 200
 #: Words whose scores are remembered at one time.
-REMEMBERED = 300_000
+REMEMBERED = 30_000
 #: Longer words are scored without being remembered.
 LONG = 64
 
@@ -101,7 +101,7 @@ def text_buckets(text: str | None, known: dict[str, set[int]]) -> tuple[np.ndarr
     for word in set(LETTERS.findall((text or "").lower())):
         buckets = known.get(word)
         if buckets is None:
-            if len(known) >= 50_000:
+            if len(known) >= 2_000:
                 known.clear()
             buckets = known[word] = word_buckets(word)
         found.extend(buckets)
