@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.operators.components import connected_components
+from graphwright.llm.shingles import shingle_groups
 from graphwright.llm.words import slices
 from graphwright.plans.checkpoints import cut
 
@@ -401,13 +402,13 @@ def simhash_groups(
 
 
 def one_of_each_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
-    """docs without near-duplicates: of each group the row with the smallest id stays, whole.
+    """docs without near-duplicates: of each group (see shingle_groups) the row with the smallest id stays, whole.
 
     If several rows of a group have that id, the one with the smallest hash of its text stays, and
     of equal ones a single row. Rows with null ids all stay. The rows that go are few and slim;
     they are broadcast only if counted to be at most BROADCAST_ROWS.
     """
-    groups = simhash_groups(docs, key=key, text=text, **options).filter("doc_id is not null")
+    groups = shingle_groups(docs, key=key, text=text, **options).filter("doc_id is not null")
     groups = cut(groups.groupBy("doc_id", "content", "component_id", "group_name").agg(F.count(F.lit(1)).alias("copies")))
     first = groups.filter("doc_id = component_id").groupBy(F.col("group_name").alias("_g")).agg(F.min("content").alias("_c"))
     judged = groups.join(first, groups["group_name"] == first["_g"], "left")

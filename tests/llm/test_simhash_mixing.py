@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from graphwright.llm import mixing, simhash
+from graphwright.llm import mixing, shingles, simhash
 from graphwright.llm.queries import oracle_sql, queries
 from graphwright.sources.tables import read_table
 from tests.compare import duck, same
@@ -106,6 +106,47 @@ def test_one_of_each_group_stays(spark, documents):
     assert twice.count() == 1
 
 
+def exact_sets(text, k=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+@pytest.mark.parametrize("common", [1, 3])
+def test_shingle_groups_are_those_of_exact_jaccard(spark, documents, monkeypatch, common):
+    monkeypatch.setattr(shingles, "COUNTED", common)
+    texts = varied(5, 150)
+    base = [f"v{i}" for i in range(104)]
+    # a passage that many hold, a dense group, and 100 shingles of which 88 (0.786) or 89 (0.802) are shared
+    texts += [" ".join([*base[:30], *(f"u{i}_{j}" for j in range(20))]) for i in range(60)]
+    texts += [" ".join([*base, f"e{i}"]) for i in range(40)]
+    texts += [" ".join(f"x{i}" for i in range(104)), " ".join([*(f"x{i}" for i in range(92)), *(f"y{i}" for i in range(12))])]
+    texts += [" ".join(f"z{i}" for i in range(104)), " ".join([*(f"z{i}" for i in range(93)), *(f"q{i}" for i in range(11))])]
+    texts += [" ".join(f"r{i}" for i in range(40)), " ".join(f"r{i}" for i in range(40)) + " s s s s s" * 100]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["component_id"] for r in shingles.shingle_groups(documents(rows)).collect()}
+    sets = {i: exact_sets(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 9 * both >= 4 * (len(sets[i]) + len(sets[j])):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if r == old else r for k, r in root.items()}
+    assert got == root
+    n = len(texts) - 6
+    assert got[n] != got[n + 1] and got[n + 2] == got[n + 3]
+
+
+def test_near_duplicate_stage_keeps_what_is_less_alike(spark, documents):
+    words = [f"x{i}" for i in range(104)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:91], *(f"y{i}" for i in range(13))])), (3, " ".join([*words, "end"]))]
+    kept = corpus_pipeline.drop_near_copies(spark, documents(rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
 # ---- mixing
 
 
