@@ -1,11 +1,16 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, names and units turn into typed placeholders, all others are
-lower-cased without the punctuation around them. Windows of five template tokens are hashed, and
-the windows of documents are joined with those of benchmark items on the hash. A question with
-other numbers or names keeps its windows; whether it is the same question is then decided by its
-slots: within one alignment of item and document, a slot value of the item must always stand for
-one value in the document, and the other way round.
+lower-cased without the punctuation around them. Windows of five tokens are hashed, and the windows
+of documents are joined with those of benchmark items on the hash. A question with other numbers or
+names keeps its windows; whether it is the same question is then decided by its slots: within one
+alignment of item and document, a slot value of the item must always stand for one value in the
+document, and the other way round. Windows that hold another slot don't count.
+
+Names are told by capitals, so each window is also hashed with placeholders for numbers and units
+only, and with none: a copy in other capitals is found by these, and so is a window of hardly
+anything but numbers or names. Items of fewer than five tokens have one window of their own width,
+and documents are searched at the widths of the items.
 
 Documents are filtered on the way to the join by a bitmap of the items' window hashes. The bitmap
 has a fixed size, whatever the number of items, so it may be sent to every task; what passes it by
@@ -30,7 +35,7 @@ from graphwright.plans.checkpoints import cut
 WINDOW = 5
 #: Share of an item's windows that a document must hold, with consistent slots.
 THRESHOLD = 0.8
-#: A window needs so many tokens that aren't placeholders.
+#: A window with placeholders needs so many other tokens; without placeholders it needs none.
 LITERALS = 3
 #: Bits of the bitmap, as a power of two: 2 MB.
 FILTER_BITS = 24
@@ -111,15 +116,13 @@ class Templates:
             hashes[i], flags[i] = h, f
         return hashes, flags
 
-    def windows(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """(words with letters or digits, hash of the window at each, usable flags, placeholder flags).
-
-        A text of fewer words has one window of them all.
-        """
+    def tokens(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words with letters or digits, hash of each, whether it is a number, a unit, a name)."""
         words = (text or "").split()
         parts = [self._looked_up(words[at : at + BLOCK]) for at in range(0, len(words), BLOCK)]
+        no = np.zeros(0, bool)
         if not parts:
-            return [], np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
+            return [], np.zeros(0, np.uint64), no, no, no
         hashes, flags = (np.concatenate(p) for p in zip(*parts, strict=True))
         opens = np.concatenate([[True], (flags[:-1] & ENDS_SENTENCE) > 0])
         filled = (flags & EMPTY) == 0
@@ -129,31 +132,64 @@ class Templates:
         if not filled.all():
             words = [w for w, f in zip(words, filled.tolist(), strict=True) if f]
             hashes, flags, opens = hashes[filled], flags[filled], opens[filled]
-        n = len(words)
-        if not n:
-            return [], np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, bool)
+        if not words:
+            return [], np.zeros(0, np.uint64), no, no, no
         number = (flags & NUMBER) > 0
         unit = ((flags & UNIT_WORD) > 0) & np.concatenate([[False], number[:-1]])
         name = ((flags & CAPITAL) > 0) & ~opens & ~number & ~unit
-        slot = number | unit | name
-        token = np.where(number, np.uint64(_NUM), np.where(unit, np.uint64(_UNIT), np.where(name, np.uint64(_NAME), hashes)))
-        width = min(WINDOW, n)
-        rolled, literal = np.zeros(n - width + 1, np.uint64), np.zeros(n - width + 1, np.int64)
-        for j in range(width):
-            rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + token[j : n - width + 1 + j]
-            literal += ~slot[j : n - width + 1 + j]
-        rolled ^= rolled >> np.uint64(29)
-        rolled *= np.uint64(0xBF58476D1CE4E5B9)
-        rolled ^= rolled >> np.uint64(32)
-        return words, rolled, literal >= min(LITERALS, width), slot
-
-    def rows(self, text: str | None, keep: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """(positions, hashes, slot values) of a text's usable windows, those in the bitmap only if one is given."""
-        words, hashes, usable, slot = self.windows(text)
-        at = np.flatnonzero(usable & in_bitmap(keep, hashes)) if keep is not None else np.flatnonzero(usable)
-        width = min(WINDOW, len(words)) if words else 0
-        values = [[_EDGE.sub("", words[i]).lower() for i in range(p, p + width) if slot[i]] for p in at.tolist()]
-        return at, hashes[at].view(np.int64), values
+        return words, hashes, number, unit, name
+
+    def rows(self, text: str | None, keep: np.ndarray | None, widths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[list[str]], int]:
+        """(positions, hashes, slot values) of a text's windows, those in the bitmap only if one is given, and the last width.
+
+        Without widths the text is an item: its windows have WINDOW tokens, or all of a shorter text.
+        Hashes of one window that are equal are listed once.
+        """
+        words, hashes, number, unit, name = self.tokens(text)
+        n = len(words)
+        places, found, values, width = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [], 0
+        if not n:
+            return places[0], found[0].view(np.int64), values, width
+        measured = number | unit
+        token = np.where(number, np.uint64(_NUM), np.where(unit, np.uint64(_UNIT), hashes))
+        kinds = [
+            (np.where(name, np.uint64(_NAME), token), measured | name, measured | name),
+            (token, measured, measured),
+            (hashes, np.zeros(n, bool), number),  # a number that stays is a slot value too
+        ]
+        bare: dict[int, str] = {}
+        for width in widths or (min(WINDOW, n),):
+            if width > n:
+                continue
+            earlier: list[np.ndarray] = []
+            for tokens, blank, slot in kinds:
+                rolled, usable = window_hashes(tokens, blank, width)
+                for other in earlier:
+                    usable &= rolled != other
+                # equal hashes have the same placeholders, so both are usable or neither is
+                earlier.append(rolled)
+                at = np.flatnonzero(usable & in_bitmap(keep, rolled)) if keep is not None else np.flatnonzero(usable)
+                places.append(at)
+                found.append(rolled[at])
+                for p in at.tolist():
+                    for i in range(p, p + width):
+                        if slot[i] and i not in bare:
+                            bare[i] = _EDGE.sub("", words[i]).lower()
+                    values.append([bare[i] for i in range(p, p + width) if slot[i]])
+        return np.concatenate(places), np.concatenate(found).view(np.int64), values, width
+
+
+def window_hashes(token: np.ndarray, blank: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the window at each token, whether it has no placeholder or enough other tokens)."""
+    count = len(token) - width + 1
+    rolled, literal = np.full(count, width, np.uint64), np.zeros(count, np.int64)
+    for j in range(width):
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + token[j : count + j]
+        literal += ~blank[j : count + j]
+    rolled ^= rolled >> np.uint64(29)
+    rolled *= np.uint64(0xBF58476D1CE4E5B9)
+    rolled ^= rolled >> np.uint64(32)
+    return rolled, literal >= min(LITERALS, width)
 
 
 def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -162,30 +198,35 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def template_windows(rows: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
-    """(id, text) -> (id, windows, pos, hash, slots): one row for each usable window."""
+def template_windows(rows: DataFrame, bitmap: np.ndarray | None, widths: tuple[int, ...] = ()) -> DataFrame:
+    """(id, text) -> (id, windows, width, pos, hash, slots): one row for each hash of each window.
+
+    windows is the number of all windows of an item, width their tokens; see Templates.rows.
+    """
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in slices(batches):
             ids: list = []
             sizes: list = []
+            spans: list = []
             places, hashes, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for one, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, h, values = templates.rows(text, bitmap)
+                at, h, values, width = templates.rows(text, bitmap, widths)
                 if len(at):
                     ids += [one] * len(at)
-                    sizes += [len(at)] * len(at)
+                    sizes += [int(at.max()) + 1] * len(at)
+                    spans += [width] * len(at)
                     places.append(at)
                     hashes.append(h)
                     slots += values
             if ids:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes)), pa.array(slots, pa.list_(pa.string()))],
-                    names=["id", "windows", "pos", "hash", "slots"],
+                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, pa.int32()), pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes)), pa.array(slots, pa.list_(pa.string()))],
+                    names=["id", "windows", "width", "pos", "hash", "slots"],
                 )
 
-    return rows.mapInArrow(cut_up, "id long, windows long, pos long, hash long, slots array<string>")
+    return rows.mapInArrow(cut_up, "id long, windows long, width int, pos long, hash long, slots array<string>")
 
 
 def window_bitmap(items: DataFrame) -> np.ndarray:
@@ -211,10 +252,9 @@ def find_leaks(
 ) -> DataFrame:
     """(doc_id, item_id, item_windows, shared_windows, consistent_windows, coverage, kind): each leak found.
 
-    coverage is the share of the item's windows that the document holds in alignments with
-    consistent slots, and is threshold or more; kind is verbatim if all slots are the item's own,
-    else reparameterised. Texts are worked on whole. Items without a usable window (null or empty
-    texts, nothing but placeholders) leak nowhere; null and empty documents hold nothing; rows with
+    coverage is the share of all the item's windows that the document holds with consistent slots,
+    and is threshold or more; kind is verbatim if all slots are the item's own, else
+    reparameterised. Texts are worked on whole. Items without a word leak nowhere; null and empty documents hold nothing; rows with
     null ids are left out; of items with one id the text that sorts first counts, and documents with
     one id count as one; further columns are ignored. Either table may be empty.
     """
@@ -222,27 +262,30 @@ def find_leaks(
     benchmark = benchmark.groupBy("id").agg(F.min("text").alias("text"))
     known = cut(template_windows(benchmark, None))
     bitmap = window_bitmap(known)
+    widths = tuple(sorted(r["width"] for r in known.select("width").distinct().collect())) or (WINDOW,)
     corpus = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
-    found = template_windows(corpus, bitmap).select("id", "pos", "hash", "slots").withColumn("salt", F.pmod("id", F.lit(SALTS)))
+    found = template_windows(corpus, bitmap, widths).select("id", "pos", "hash", "slots").withColumn("salt", F.pmod("id", F.lit(SALTS)))
     salted = known.select(
         F.col("id").alias("item_id"), F.col("windows").alias("item_windows"), F.col("pos").alias("item_pos"),
         F.col("hash").alias("h"), F.col("slots").alias("item_slots"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("s"),
     )
     pairs = cut(found.join(salted, (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s"))).select(
-        F.col("id").alias("doc_id"), "item_id", "item_windows", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots"
+        F.col("id").alias("doc_id"), "item_id", "item_windows", "item_pos", "hash", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots"
     ))
     # one value of the item for one of the document, and back, within an alignment
     swaps = F.explode_outer(F.arrays_zip("item_slots", "slots"))
     where = ["doc_id", "item_id", "shift"]
-    values = pairs.withColumn("swap", swaps).select(*where, F.col("swap.item_slots").alias("mine"), F.col("swap.slots").alias("theirs")).filter("mine is not null").distinct()
-    forward = values.groupBy(*where, "mine").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("mine") != F.col("theirs")).alias("changed"))
-    back = values.groupBy(*where, "theirs").agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("changed"))
+    window = [*where, "item_pos", "hash"]
+    swapped = pairs.withColumn("swap", swaps).select(*window, F.col("swap.item_slots").alias("mine"), F.col("swap.slots").alias("theirs")).filter("mine is not null").distinct()
+    values = swapped.select(*where, "mine", "theirs").distinct()
+    forward = values.groupBy(*where, "mine").agg(F.count(F.lit(1)).alias("n_mine"))
+    back = values.groupBy(*where, "theirs").agg(F.count(F.lit(1)).alias("n_theirs"))
     judged = (
-        forward.select(*where, "n", "changed").unionByName(back.select(*where, "n", "changed"))
-        .groupBy(*where).agg((F.max("n") == 1).alias("consistent"), F.max("changed").alias("changed"))
+        swapped.join(forward, [*where, "mine"]).join(back, [*where, "theirs"])
+        .groupBy(*window).agg((F.max(F.greatest("n_mine", "n_theirs")) == 1).alias("consistent"), F.max(F.col("mine") != F.col("theirs")).alias("changed"))
     )
-    aligned = pairs.select(*where, "item_windows", "item_pos").distinct().join(judged, where, "left")
+    aligned = pairs.select(*window, "item_windows").distinct().join(judged, window, "left")
     fits = F.coalesce("consistent", F.lit(True))
     return (
         aligned.groupBy("doc_id", "item_id", "item_windows")

@@ -44,6 +44,35 @@ def test_kinds_of_leaks(spark, documents):
     assert leaks(spark, documents, [], [(1, ITEM)]) == {}
 
 
+def test_copies_in_capitals_numbers_and_short_items(spark, documents):
+    noise = "some other words stand before this place and they go on for a while . "
+    plain = "the quick brown fox jumps over the lazy dog while birds watch from above"
+    numbers = "What is the value of 3 4 5 7 11 13 17 19 23"
+    docs = [
+        (1, noise + plain.upper() + " . " + noise),
+        (2, noise + plain.title()),
+        (3, noise + ITEM.upper().replace("12", "30")),
+        (4, noise + numbers + " " + noise),
+        (5, noise + "What is the value of 2 4 6 8 10 12 14 16 18"),
+        (6, noise + "capital of france " + noise),
+        (7, noise + "12 13 14 15 16 17"),
+        (8, noise + "Great Expectations By Charles Dickens And Others"),
+        (9, "capital of"),
+    ]
+    items = [(1, plain), (2, ITEM), (3, numbers), (4, "Capital of France"), (5, "12 13 14 15 16 17"), (6, "A Tale Great Expectations By Charles Dickens And Others"), (7, "Great Expectations By Charles Dickens And Others")]
+    found = leaks(spark, documents, docs, items)
+    assert found == {(1, 1): "verbatim", (2, 1): "verbatim", (3, 2): "reparameterised", (4, 3): "verbatim", (6, 4): "verbatim", (7, 5): "verbatim", (8, 7): "verbatim"}
+
+
+def test_only_windows_with_an_inconsistent_slot_are_lost(spark, documents):
+    words = [f"w{i}" for i in range(60)]
+    item = " ".join(["give", "7", *words, "and", "7", "more"])
+    doc = item.replace("and 7", "and 9")
+    row = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.find_leaks(documents([(1, doc)]), row).collect()
+    assert [(r["item_windows"], r["shared_windows"], r["consistent_windows"]) for r in got] == [(61, 61, 57)]
+
+
 def test_all_verbatim_items_are_found(spark):
     folder = "/root/testdata/sf0.01"
     docs = {r["doc_id"]: r["text"].split() for r in read_table(spark, folder, "documents").collect()}
