@@ -1,73 +1,105 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text is a bag of lower-case words, hashed into buckets; a bucket's weight is how often its words
-occur. For each of SAMPLES independent draws every bucket has its own gamma(2,1) variables r and c
-and a uniform b. With weight w, t = floor(ln w / r + b), and the bucket with the least
-ln c - r (t - b) - r is the sample, together with t. Two texts have the same sample with a
-probability that equals the generalised Jaccard similarity of their weights, sum of minima over sum
-of maxima, so the share of equal samples estimates it.
+A text is a bag of lower-case words; a word's weight is how often it occurs. For each of SAMPLES
+independent draws every word has its own gamma(2,1) variables r and c and a uniform b, all of which
+follow from a 64-bit hash of the word and the number of the draw. With weight w,
+t = floor(ln w / r + b), and the word with the least ln c - r (t - b) - r is the sample, together
+with t. Two texts have the same sample with a probability that equals the generalised Jaccard
+similarity of their weights, sum of minima over sum of maxima, so the share of equal samples
+estimates it. Words are never folded together: texts without a common word share samples only by
+collisions of 16 bits.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.llm.words import slices
+from graphwright.llm.words import WordTable, slices
 
 SAMPLES = 64
-BUCKETS = 1 << 14
-#: Buckets of a text that are drawn from at once.
+#: Words of a text that are drawn from at once.
 BLOCK = 4096
+#: Words whose keys at weight 1, and whose variables, a task remembers: 34 and 13 MB for 64 samples.
+REMEMBERED_KEYS, REMEMBERED = 1 << 17, 1 << 14
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 random-looking bits of each number (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniform(bits: np.ndarray) -> np.ndarray:
+    """A number between 0 and 1, never 0 or 1, of each number of 23 bits."""
+    return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-23)
+
 
 class Sampler:
-    """The random variables of all buckets and draws, from a fixed seed."""
+    """Draws for words, from a fixed seed."""
 
     def __init__(self, samples: int = SAMPLES, seed: int = 5) -> None:
-        rng = np.random.default_rng(seed)
-        shape = (BUCKETS, samples)
-        self.r = rng.gamma(2.0, 1.0, shape).astype(np.float32)
-        self.log_c = np.log(rng.gamma(2.0, 1.0, shape)).astype(np.float32)
-        self.b = rng.random(shape).astype(np.float32)
-        self.samples = samples
-
-    def weights(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of a text's words, and their weights."""
-        words = Counter((text or "").lower().split())
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.int64, len(words)) % BUCKETS
-        full = np.bincount(at, weights=np.fromiter(words.values(), np.float64, len(words)), minlength=BUCKETS)
-        used = np.flatnonzero(full)
-        return used, full[used]
+        self.samples, self.seed = samples, seed
+        #: two numbers of 64 bits for each draw
+        self.streams = (np.arange(1, 2 * samples + 1, dtype=np.uint64) * _STEP).reshape(2, samples)
+        size = lambda n: max(4 * BLOCK, n * SAMPLES // samples)
+        self.once, self.more = WordTable(size(REMEMBERED_KEYS), self.keys), WordTable(size(REMEMBERED), self.variables)
+
+    def variables(self, words: list[str]) -> list[np.ndarray]:
+        """(codes, r, ln c, b): 64 bits for each word, and the variables of each word and draw."""
+        codes = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(self.seed)), np.uint64, len(words))
+        one, two = (mixed(codes[:, None] + stream) for stream in self.streams)
+        low, up = np.uint64(0x7FFFFF), np.uint64(23)
+        # gamma(2,1): minus the log of two uniforms' product
+        r = -np.log(uniform(one & low) * uniform((one >> up) & low))
+        log_c = np.log(-np.log(uniform(two & low) * uniform((two >> up) & low)))
+        return [codes, r, log_c, uniform(((one >> np.uint64(46)) << np.uint64(5)) | (two >> np.uint64(59)))]
+
+    def keys(self, words: list[str]) -> list[np.ndarray]:
+        """(codes, keys) at weight 1, where t is 0."""
+        codes, r, log_c, b = self.variables(words)
+        return [codes, log_c - r * (np.float32(1) - b)]
 
     def signature(self, text: str | None) -> np.ndarray:
         """One 16-bit sample for each draw; a text without words has the sample 0 everywhere."""
-        used, weight = self.weights(text)
+        bag = Counter((text or "").lower().split())
+        single = [w for w, n in bag.items() if n == 1]
+        several = [w for w, n in bag.items() if n > 1]
+        logs = np.log(np.array([bag[w] for w in several], np.float32))[:, None]
         best = np.full(self.samples, np.inf, np.float32)
-        out = np.zeros(self.samples, np.int64)
+        out = np.zeros(self.samples, np.uint64)
         draws = np.arange(self.samples)
-        for at in range(0, len(used), BLOCK):
-            some = used[at : at + BLOCK]
-            r, b = self.r[some], self.b[some]
-            t = np.floor(np.log(weight[at : at + BLOCK]).astype(np.float32)[:, None] / r + b)
-            key = self.log_c[some] - r * (t - b) - r
-            row = key.argmin(0)
-            least = key[row, draws]
-            wins = least < best
-            mixed = (some[row] * 2654435761 + (t[row, draws].astype(np.int64) + 1024) * 40503) & 0xFFFFFFFF
-            out = np.where(wins, 1 + (mixed ^ (mixed >> 15)) % 65535, out)
-            best = np.where(wins, least, best)
+        for words, table in ((single, self.once), (several, self.more)):
+            for at in range(0, len(words), BLOCK):
+                (codes, *known), rows = table.rows(words[at : at + BLOCK])
+                if table is self.once:
+                    key = known[0][rows]
+                    row = key.argmin(0)
+                    times = np.zeros(self.samples, np.uint64)
+                else:
+                    r, log_c, b = (c[rows] for c in known)
+                    t = np.floor(logs[at : at + BLOCK] / r + b)
+                    key = log_c - r * (t - b + np.float32(1))
+                    row = key.argmin(0)
+                    times = t[row, draws].astype(np.int64).view(np.uint64)
+                least = key[row, draws]
+                sample = mixed(codes[rows[row]] + times * _STEP)
+                wins = least < best
+                out = np.where(wins, np.uint64(1) + sample % np.uint64(65535), out)
+                best = np.where(wins, least, best)
         return out
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word: a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Characters from which a word counts as long.
+LONG = 64
+
 #: Rows of a batch that are Python objects at the same time.
 SLICE_ROWS = 256
 
@@ -35,3 +41,84 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, or with as many underscores before it as make it a column of none of the frames, whatever the case."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: A key with more than one in so many rows is hot; there are fewer than so many of them.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, labels: DataFrame, on: list[str], count: str) -> DataFrame:
+    """rows with the columns of labels, which has each key once and in count how many rows have it.
+
+    Hot keys, fewer than HOT, are broadcast, so their rows stay where they are; the others are
+    shuffled. Both tables are read twice. Rows without a label are left out.
+    """
+    total = labels.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(labels.filter(F.col(count) * HOT > total))
+    others = rows.join(hot.select(*on), on, "left_anti").join(labels.filter(F.col(count) * HOT <= total), on)
+    return rows.join(hot, on).unionByName(others)
+
+
+class WordTable:
+    """Rows of numbers for words, made when first needed; a bounded number of them is remembered.
+
+    When the table is full, the half that was used most often stays. What is remembered decides how
+    long a row takes, never what is in it.
+    """
+
+    def __init__(self, capacity: int, make: Callable[[list[str]], list[np.ndarray]]) -> None:
+        self.capacity, self.make = capacity, make
+        self.ids: dict[str, int] = {}
+        self.used = np.zeros(capacity, np.int64)
+        self.columns: list[np.ndarray] = []
+
+    def rows(self, words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The columns of make, and each word's row in them; at most capacity / 2 distinct words.
+
+        The columns are the table's own; they hold until the next call. Words of more than LONG
+        characters are remembered by their hash.
+        """
+        at, new = self._found(words)
+        whole = {}
+        if max(map(len, new), default=0) > LONG:
+            names = {w: f"\0{xxhash.xxh3_128_hexdigest(w.encode('utf-8', 'replace'))}" for w in new if len(w) > LONG}
+            whole = {name: w for w, name in names.items()}
+            words = [names.get(w, w) for w in words]
+            at, new = self._found(words)
+        if len(self.ids) + len(new) > self.capacity:
+            self._halve()
+            at, new = self._found(words)
+        if new or not self.columns:
+            made = self.make([whole.get(w, w) for w in new])
+            if not self.columns:
+                self.columns = [np.zeros((self.capacity, *m.shape[1:]), m.dtype) for m in made]
+            slots = np.arange(len(self.ids), len(self.ids) + len(new))
+            for column, fresh in zip(self.columns, made, strict=True):
+                column[slots] = fresh
+            self.used[slots] = 0
+            self.ids.update(zip(new, slots.tolist(), strict=True))
+            at, _ = self._found(words)
+        self.used[at] += 1
+        return self.columns, at
+
+    def _found(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Each word's row or -1, and the distinct words without one."""
+        at = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words))
+        return at, list(dict.fromkeys([words[i] for i in np.flatnonzero(at < 0).tolist()]))
+
+    def _halve(self) -> None:
+        stay = np.sort(np.argsort(-self.used[: len(self.ids)], kind="stable")[: self.capacity // 2])
+        words = list(self.ids)  # in the order of their rows
+        for column in self.columns:
+            column[: len(stay)] = column[stay]
+        self.used[: len(stay)] = self.used[stay] // 2
+        self.used[len(stay) :] = 0
+        self.ids = {words[old]: i for i, old in enumerate(stay.tolist())}
