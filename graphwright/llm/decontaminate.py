@@ -1,16 +1,24 @@
 """Benchmark decontamination by template canonicalisation.
 
-Words become template tokens: numbers, names and units turn into typed placeholders, all others are
-lower-cased without the punctuation around them. Windows of five tokens are hashed, and the windows
-of documents are joined with those of benchmark items on the hash. A question with other numbers or
-names keeps its windows; whether it is the same question is then decided by its slots: within one
-alignment of item and document, a slot value of the item must always stand for one value in the
-document, and the other way round. Windows that hold another slot don't count.
-
-Names are told by capitals, so each window is also hashed with placeholders for numbers and units
-only, and with none: a copy in other capitals is found by these, and so is a window of hardly
-anything but numbers or names. Items of fewer than five tokens have one window of their own width,
-and documents are searched at the widths of the items.
+Texts become template tokens: numbers (in digits or words), units and names turn into typed
+placeholders, all other words are lower-cased without the punctuation around them. A number with its
+unit attached is two tokens, a run of number words is one, and so is a run of capitalised words, as
+long as no punctuation parts them. A capitalised word is a name wherever it stands; that of a
+sentence's first word is unknown, but item and document are read alike. Windows of five tokens are
+hashed, and the windows of documents are joined with those of benchmark items on the hash.
+
+Names are told by capitals, so a text is read in two ways: with names as placeholders, and with
+names as words, where each window is hashed with placeholders for numbers and units, and with none.
+So copies in other capitals are found, and items of hardly anything but numbers or names. Items of
+fewer than five tokens have one window of their own width, and documents are searched at the widths
+of the items.
+
+Whether a document holds an item is decided for each pair of them, and each way of reading, by all
+the windows that match. Windows that are no further apart than the item is long make a region. In a
+region each slot value of the item stands for one value in the document, and two names never stand
+for one; the alignments with most windows come first, and windows that contradict them don't count.
+An item's window is held if all its tokens are in windows that count, and a leak is a region that
+holds enough of all the item's windows.
 
 Documents are filtered on the way to the join by a bitmap of the items' window hashes. The bitmap
 has a fixed size, whatever the number of items, so it may be sent to every task; what passes it by
@@ -20,32 +28,35 @@ chance is dropped by the join.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.llm.words import slices
+from graphwright.llm.words import WordTable, slices, unused
 from graphwright.plans.checkpoints import cut
 
 WINDOW = 5
 #: Share of an item's windows that a document must hold, with consistent slots.
 THRESHOLD = 0.8
 #: A window with placeholders needs so many other tokens; without placeholders it needs none.
-LITERALS = 3
+LITERALS = 2
 #: Bits of the bitmap, as a power of two: 2 MB.
 FILTER_BITS = 24
 #: Salts of the join, against windows that very many documents share.
 SALTS = 16
-#: Distinct words that a task remembers at one time, and the longest of them.
-REMEMBERED = 40_000
-LONG = 64
-#: Words of a text that are worked on at once.
-BLOCK = 1 << 15
+#: Rows that name leaking texts are broadcast up to this number, about 8 MB.
+BROADCAST_ROWS = 500_000
+#: Words that a task remembers at one time.
+REMEMBERED = 1 << 17
+#: Words of texts that are worked on at once, about; a longer text is worked on alone.
+BLOCK = 1 << 14
+#: Ways of reading: names as placeholders, names as words.
+NAMED, PLAIN = 0, 1
 
 # Words that count as units after a number.
 UNITS = frozenset(
@@ -58,138 +69,217 @@ UNITS = frozenset(
     degree degrees celsius fahrenheit km/h mph kb mb gb tb""".split()
 )
 
+# English number words.
+SMALL_NUMBERS = """zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen
+    fifteen sixteen seventeen eighteen nineteen""".split()
+TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
+NUMBER_WORDS = dict(zip(SMALL_NUMBERS, range(20), strict=True)) | {t: 10 * i for i, t in enumerate(TENS, 2)} | {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9}
+
 _EDGE = re.compile(r"^[^\w%$€£]+|[^\w%]+$")
-_NUMBER = re.compile(r"^[$€£+\-]?\d[\d.,:/\-]*%?$")
+_NUMBER = re.compile(r"([$€£+\-]?\d[\d.,:/\-]*)([^\d.,:/\-]*)")
 _ENDS = (".", "!", "?", ":")
-_NUM, _NAME, _UNIT = (xxhash.xxh64_intdigest(t) for t in ("<number>", "<name>", "<unit>"))
-
-LITERAL, NUMBER, UNIT_WORD, CAPITAL, ENDS_SENTENCE, EMPTY = 0, 1, 2, 4, 8, 16
-
-
-def word_kind(word: str) -> tuple[int, int]:
-    """(hash of the bare lower-case word, flags) of one word with its punctuation."""
-    if word.isalpha():
-        low = word.lower()
-        flags = (UNIT_WORD if low in UNITS else 0) | (CAPITAL if word[0].isupper() else 0)
-        return xxhash.xxh64_intdigest(low.encode("utf-8", "replace")), flags
-    bare = _EDGE.sub("", word)
-    flags = ENDS_SENTENCE if word.rstrip("\"')»”").endswith(_ENDS) else 0
-    if not bare:
-        return 0, flags | EMPTY
-    if _NUMBER.match(bare):
-        flags |= NUMBER
-    elif bare.lower() in UNITS:
+_NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(t)) for t in ("<number>", "<name>", "<unit>"))
+
+NUMBER, UNIT_WORD, CAPITAL, ENDS_SENTENCE, EMPTY, CLOSED, SPELLED, ATTACHED = (1 << i for i in range(8))
+
+
+def composed(words: list[str]) -> str:
+    """The digits of a run of number words."""
+    total, part = 0, 0
+    for word in words:
+        value = NUMBER_WORDS[word]
+        if value < 100:
+            part += value
+        elif value == 100:
+            part = (part or 1) * value
+        else:
+            total, part = total + (part or 1) * value, 0
+    return str(total + part)
+
+
+def spelled(low: str) -> list[str]:
+    """The number words that a word is made of, if it is made of nothing else."""
+    if "-" not in low:
+        return [low] if low in NUMBER_WORDS else []
+    parts = low.split("-")
+    return parts if all(p in NUMBER_WORDS for p in parts) else []
+
+
+def measure(bare: str) -> tuple[str, str]:
+    """(number, attached unit) of a word; the unit may be missing, and both are if it is no number."""
+    if found := _NUMBER.fullmatch(bare):
+        number, unit = found[1].rstrip(".,:/-"), found[2].lower()
+        if not unit or unit in UNITS:
+            return number, unit
+    return "", ""
+
+
+def word_kind(word: str) -> tuple[int, int, int]:
+    """(hash of the bare lower-case word, flags, hash of the attached unit) of one word with its punctuation."""
+    bare = word if word.isalpha() else _EDGE.sub("", word)
+    flags = 0
+    if bare is not word:
+        tail = word.rstrip("\"')»”")
+        flags = (ENDS_SENTENCE if tail.endswith(_ENDS) else 0) | (CLOSED if not word[-1].isalnum() else 0)
+        if not bare:
+            return 0, flags | EMPTY, 0
+    low, unit = bare.lower(), ""
+    if bare[0].isdecimal() or bare[0] in "$€£+-":
+        number, unit = measure(bare)
+        if number:
+            low = number
+            flags |= NUMBER | (ATTACHED if unit else 0)
+    elif parts := spelled(low):
+        low = composed(parts)
+        flags |= NUMBER | SPELLED
+    elif low in UNITS:
         flags |= UNIT_WORD
     if bare[0].isupper():
         flags |= CAPITAL
-    return xxhash.xxh64_intdigest(bare.lower().encode("utf-8", "replace")), flags
+    return xxhash.xxh64_intdigest(low), flags, xxhash.xxh64_intdigest(unit) if unit else 0
+
+
+def word_kinds(words: list[str]) -> list[np.ndarray]:
+    """(hashes, flags, hashes of attached units) of words."""
+    hashes, flags, units = zip(*map(word_kind, words), strict=True) if words else ((), (), ())
+    return [np.array(hashes, np.uint64), np.array(flags, np.uint8), np.array(units, np.uint64)]
+
+
+class Reading:
+    """Texts one after another as tokens, read in one way.
+
+    text: each token's text; first, last: its words; hashes; number, unit, name: what it stands for.
+    """
+
+    def __init__(self, text: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: np.ndarray, number: np.ndarray, unit: np.ndarray, name: np.ndarray) -> None:
+        self.text, self.first, self.last, self.hashes, self.number, self.unit, self.name = text, first, last, hashes, number, unit, name
+
+    def merged(self, joins: np.ndarray) -> Reading:
+        """Each token that joins made one with the token before it."""
+        if not joins.any():
+            return self
+        starts = np.flatnonzero(~joins)
+        ends = np.append(starts[1:], len(joins)) - 1
+        return Reading(self.text[starts], self.first[starts], self.last[ends], np.add.reduceat(self.hashes, starts), self.number[starts], self.unit[starts], self.name[starts])
 
 
 class Templates:
     """Turns texts into hashed template windows; remembers a bounded number of words."""
 
     def __init__(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.hashes = np.zeros(REMEMBERED + BLOCK, np.uint64)
-        self.flags = np.zeros(REMEMBERED + BLOCK, np.uint8)
-
-    def _looked_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and flags of each of at most BLOCK words."""
-        ids = self.ids
-        if len(ids) > REMEMBERED:
-            ids.clear()
-        at = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
-        apart: list[tuple[int, tuple[int, int]]] = []
-        for i in np.flatnonzero(at < 0).tolist():
-            word = words[i]
-            if len(word) > LONG:
-                apart.append((i, word_kind(word)))
-                at[i] = 0
-                continue
-            n = ids.get(word)
-            if n is None:
-                n = ids[word] = len(ids)
-                self.hashes[n], self.flags[n] = word_kind(word)
-            at[i] = n
-        hashes, flags = self.hashes[at], self.flags[at]
-        for i, (h, f) in apart:
-            hashes[i], flags[i] = h, f
-        return hashes, flags
-
-    def tokens(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(words with letters or digits, hash of each, whether it is a number, a unit, a name)."""
-        words = (text or "").split()
-        parts = [self._looked_up(words[at : at + BLOCK]) for at in range(0, len(words), BLOCK)]
-        no = np.zeros(0, bool)
-        if not parts:
-            return [], np.zeros(0, np.uint64), no, no, no
-        hashes, flags = (np.concatenate(p) for p in zip(*parts, strict=True))
-        opens = np.concatenate([[True], (flags[:-1] & ENDS_SENTENCE) > 0])
-        filled = (flags & EMPTY) == 0
-        # punctuation by itself can end a sentence, and is no token
-        for i in np.flatnonzero(~filled[:-1]):
-            opens[i + 1] |= opens[i]
-        if not filled.all():
-            words = [w for w, f in zip(words, filled.tolist(), strict=True) if f]
-            hashes, flags, opens = hashes[filled], flags[filled], opens[filled]
-        if not words:
-            return [], np.zeros(0, np.uint64), no, no, no
-        number = (flags & NUMBER) > 0
-        unit = ((flags & UNIT_WORD) > 0) & np.concatenate([[False], number[:-1]])
-        name = ((flags & CAPITAL) > 0) & ~opens & ~number & ~unit
-        return words, hashes, number, unit, name
-
-    def rows(self, text: str | None, keep: np.ndarray | None, widths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[list[str]], int]:
-        """(positions, hashes, slot values) of a text's windows, those in the bitmap only if one is given, and the last width.
-
-        Without widths the text is an item: its windows have WINDOW tokens, or all of a shorter text.
+        self.table = WordTable(REMEMBERED, word_kinds)
+
+    def read(self, words: list[str], text: np.ndarray) -> tuple[Reading, Reading]:
+        """(names as placeholders, names as words) of the words of texts; text is the number of each word's text."""
+        parts = []
+        for at in range(0, len(words), REMEMBERED // 2):
+            columns, rows = self.table.rows(words[at : at + REMEMBERED // 2])
+            parts.append([c[rows] for c in columns])
+        hashes, flags, units = (np.concatenate(p) for p in zip(*parts, strict=True))
+        ends = np.concatenate([[0], np.cumsum((flags & ENDS_SENTENCE) > 0)])
+        word = np.flatnonzero((flags & EMPTY) == 0)
+        # a number with its unit is two tokens
+        word = np.repeat(word, 1 + ((flags[word] & ATTACHED) > 0))
+        n = len(word)
+        new = np.ones(n, bool)
+        new[1:] = text[word[1:]] != text[word[:-1]]
+        second = np.zeros(n, bool)
+        second[1:] = word[1:] == word[:-1]
+        before = np.concatenate([[0], word[:-1]])  # the word of the token before
+        kind = flags[word]
+        # a sentence begins where one of the words since the last token, which may be punctuation, has ended one
+        opens = new | (ends[word] > ends[before])
+        number = ((kind & NUMBER) > 0) & ~second
+        earlier = np.zeros(n, bool)
+        earlier[1:] = number[:-1]
+        unit = second | ((kind & UNIT_WORD) > 0) & earlier & ~new & ~opens
+        name = ((kind & CAPITAL) > 0) & ~number & ~unit
+        words_read = Reading(text[word], word, word, np.where(second, units[word], hashes[word]), number, unit, name)
+        # runs go on if no punctuation stands between
+        goes_on = ~opens & ~second & ((flags[before] & CLOSED) == 0) & (word - before == 1)
+        written = (kind & SPELLED) > 0
+        follows = np.zeros(n, bool)
+        follows[1:] = written[:-1]
+        run = goes_on & written & follows
+        plain = words_read.merged(run)
+        goes_on = goes_on[~run]
+        follows = np.zeros(len(goes_on), bool)
+        follows[1:] = plain.name[:-1]
+        return plain.merged(goes_on & plain.name & follows), plain
+
+    def rows(self, texts: list[str | None], keep: np.ndarray | None, widths: tuple[int, ...]) -> Iterator[tuple[int, int, int, int, int, int, list[str]]]:
+        """(text, way of reading, windows, width, position, hash, slot values) of texts' windows, those in the bitmap only if one is given.
+
+        Without widths the texts are items: their windows have WINDOW tokens, or all of a shorter text.
         Hashes of one window that are equal are listed once.
         """
-        words, hashes, number, unit, name = self.tokens(text)
-        n = len(words)
-        places, found, values, width = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [], 0
-        if not n:
-            return places[0], found[0].view(np.int64), values, width
-        measured = number | unit
-        token = np.where(number, np.uint64(_NUM), np.where(unit, np.uint64(_UNIT), hashes))
-        kinds = [
-            (np.where(name, np.uint64(_NAME), token), measured | name, measured | name),
-            (token, measured, measured),
-            (hashes, np.zeros(n, bool), number),  # a number that stays is a slot value too
-        ]
-        bare: dict[int, str] = {}
-        for width in widths or (min(WINDOW, n),):
-            if width > n:
+        split = [(t or "").split() for t in texts]
+        words = [w for own in split for w in own]
+        if not words:
+            return
+        text = np.repeat(np.arange(len(split)), [len(own) for own in split])
+        for way, reading in zip((NAMED, PLAIN), self.read(words, text), strict=True):
+            if not len(reading.text):
                 continue
-            earlier: list[np.ndarray] = []
-            for tokens, blank, slot in kinds:
-                rolled, usable = window_hashes(tokens, blank, width)
-                for other in earlier:
-                    usable &= rolled != other
+            counts = np.bincount(reading.text, minlength=len(split))
+            starts = np.cumsum(counts) - counts
+            for width in widths or tuple(np.unique(np.minimum(counts[counts > 0], WINDOW)).tolist()):
+                if width > len(reading.text):
+                    continue
+                fits = reading.text[: len(reading.text) - width + 1] == reading.text[width - 1 :]
+                if not widths:
+                    fits &= np.minimum(counts, WINDOW)[reading.text[: len(fits)]] == width
+                for at, found, slot in self._windows(reading, way, width, fits, keep):
+                    for p, h in zip(at.tolist(), found.tolist(), strict=True):
+                        values = [v for i in range(p, p + width) if slot[i] for v in [self._value(words, reading, i)]]
+                        mine = int(reading.text[p])
+                        yield mine, way, int(counts[mine]) - width + 1, width, p - int(starts[mine]), h, values
+
+    @staticmethod
+    def _windows(reading: Reading, way: int, width: int, fits: np.ndarray, keep: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(positions, hashes, which tokens are slots) for each kind of placeholders of one way of reading."""
+        measured = reading.number | reading.unit
+        token = np.where(reading.number, _NUM, np.where(reading.unit, _UNIT, reading.hashes))
+        if way == NAMED:
+            kinds = [(np.where(reading.name, _NAME, token), measured | reading.name, measured | reading.name)]
+        else:
+            # a number that stays is a slot value too
+            kinds = [(token, measured, measured), (reading.hashes, np.zeros(len(token), bool), reading.number)]
+        earlier: list[np.ndarray] = []
+        for tokens, blank, slot in kinds:
+            rolled, usable = window_hashes(tokens, blank, width, 2 * width + way)
+            usable &= fits
+            for other in earlier:
                 # equal hashes have the same placeholders, so both are usable or neither is
-                earlier.append(rolled)
-                at = np.flatnonzero(usable & in_bitmap(keep, rolled)) if keep is not None else np.flatnonzero(usable)
-                places.append(at)
-                found.append(rolled[at])
-                for p in at.tolist():
-                    for i in range(p, p + width):
-                        if slot[i] and i not in bare:
-                            bare[i] = _EDGE.sub("", words[i]).lower()
-                    values.append([bare[i] for i in range(p, p + width) if slot[i]])
-        return np.concatenate(places), np.concatenate(found).view(np.int64), values, width
-
-
-def window_hashes(token: np.ndarray, blank: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the window at each token, whether it has no placeholder or enough other tokens)."""
+                usable &= rolled != other
+            earlier.append(rolled)
+            at = np.flatnonzero(usable if keep is None else usable & in_bitmap(keep, rolled))
+            yield at, rolled[at].view(np.int64), slot
+
+    @staticmethod
+    def _value(words: list[str], reading: Reading, i: int) -> str:
+        """The slot value of a token: digits, a unit, or a name in lower case; its type comes first."""
+        bare = [_EDGE.sub("", w).lower() for w in words[reading.first[i] : reading.last[i] + 1]]
+        bare = [w for w in bare if w]
+        if reading.number[i]:
+            parts = [p for w in bare for p in spelled(w)]
+            return f"n{composed(parts)}" if parts else f"n{measure(bare[0])[0]}"
+        if reading.unit[i]:
+            return f"u{measure(bare[0])[1] or bare[0]}"
+        return f"m{' '.join(bare)}"
+
+
+def window_hashes(token: np.ndarray, blank: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the window at each token, whether it has no placeholder or enough other tokens); short windows have none."""
     count = len(token) - width + 1
-    rolled, literal = np.full(count, width, np.uint64), np.zeros(count, np.int64)
+    rolled, literal = np.full(count, seed, np.uint64), np.zeros(count, np.int64)
     for j in range(width):
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + token[j : count + j]
         literal += ~blank[j : count + j]
     rolled ^= rolled >> np.uint64(29)
     rolled *= np.uint64(0xBF58476D1CE4E5B9)
     rolled ^= rolled >> np.uint64(32)
-    return rolled, literal >= min(LITERALS, width)
+    return rolled, literal >= (LITERALS if width >= WINDOW else width)
 
 
 def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -198,35 +288,36 @@ def in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def in_blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Stretches of a list of texts of about BLOCK words, of six bytes each."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= 6 * BLOCK:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def template_windows(rows: DataFrame, bitmap: np.ndarray | None, widths: tuple[int, ...] = ()) -> DataFrame:
-    """(id, text) -> (id, windows, width, pos, hash, slots): one row for each hash of each window.
+    """(id, content, text) -> (id, content, way, windows, width, pos, hash, slots): one row for each hash of each window.
 
     windows is the number of all windows of an item, width their tokens; see Templates.rows.
     """
+    names = ["id", "content", "way", "windows", "width", "pos", "hash", "slots"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in slices(batches):
-            ids: list = []
-            sizes: list = []
-            spans: list = []
-            places, hashes, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-            for one, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, h, values, width = templates.rows(text, bitmap, widths)
-                if len(at):
-                    ids += [one] * len(at)
-                    sizes += [int(at.max()) + 1] * len(at)
-                    spans += [width] * len(at)
-                    places.append(at)
-                    hashes.append(h)
-                    slots += values
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, pa.int32()), pa.array(np.concatenate(places)), pa.array(np.concatenate(hashes)), pa.array(slots, pa.list_(pa.string()))],
-                    names=["id", "windows", "width", "pos", "hash", "slots"],
-                )
-
-    return rows.mapInArrow(cut_up, "id long, windows long, width int, pos long, hash long, slots array<string>")
+            ids, contents, texts = (c.to_pylist() for c in batch.columns)
+            for start, end in in_blocks(texts):
+                found = [(ids[start + i], contents[start + i], *rest) for i, *rest in templates.rows(texts[start:end], bitmap, widths)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
+
+    return rows.mapInArrow(cut_up, "id long, content long, way int, windows long, width int, pos long, hash long, slots array<string>")
 
 
 def window_bitmap(items: DataFrame) -> np.ndarray:
@@ -240,6 +331,43 @@ def window_bitmap(items: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def judged(matches: list[tuple[int, int, list[str], list[str]]], windows: int, width: int) -> tuple[int, int, int, bool]:
+    """(windows held, windows that match, windows that count, whether they are verbatim) of the best region.
+
+    matches are (position in the item, position in the document, the item's slot values, the document's).
+    """
+    matches = sorted(matches, key=lambda m: (m[1], m[0]))
+    best = (0, 0, 0, False)
+    start = 0
+    for i in range(1, len(matches) + 1):
+        if i < len(matches) and matches[i][1] - matches[i - 1][1] <= windows + width:
+            continue
+        region, start = matches[start:i], i
+        best = max(best, _judged_region(region, windows, width))
+    return best
+
+
+def _judged_region(region: list[tuple[int, int, list[str], list[str]]], windows: int, width: int) -> tuple[int, int, int, bool]:
+    often = Counter(m[1] - m[0] for m in region)
+    there: dict[str, str] = {}
+    back: dict[str, str] = {}
+    held = np.zeros(windows + width - 1, bool)
+    counted: set[int] = set()
+    verbatim = True
+    for pos, _, mine, theirs in sorted(region, key=lambda m: (-often[m[1] - m[0]], m[1] - m[0], m[0])):
+        if pos in counted:
+            continue
+        new, new_back = dict(there), dict(back)
+        if any(new.setdefault(a, b) != b or a[0] == "m" and new_back.setdefault(b, a) != a for a, b in zip(mine, theirs, strict=True)):
+            continue
+        there, back = new, new_back
+        counted.add(pos)
+        held[pos : pos + width] = True
+        verbatim &= mine == theirs
+    covered = np.convolve(held, np.ones(width, np.int64), "valid") == width
+    return int(covered.sum()), len({m[0] for m in region}), len(counted), verbatim
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -250,59 +378,60 @@ def find_leaks(
     item_text: str = "text",
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """(doc_id, item_id, item_windows, shared_windows, consistent_windows, coverage, kind): each leak found.
-
-    coverage is the share of all the item's windows that the document holds with consistent slots,
-    and is threshold or more; kind is verbatim if all slots are the item's own, else
-    reparameterised. Texts are worked on whole. Items without a word leak nowhere; null and empty documents hold nothing; rows with
-    null ids are left out; of items with one id the text that sorts first counts, and documents with
-    one id count as one; further columns are ignored. Either table may be empty.
+    """(doc_id, content, item_id, item_windows, shared_windows, consistent_windows, coverage, kind): each leak found.
+
+    coverage is the share of all the item's windows that the document holds in one region with
+    consistent slots, and is threshold or more; kind is verbatim if all slots are the item's own,
+    else reparameterised. Texts are worked on whole. Documents of one id and different texts, told
+    apart by content, a hash of the text, are judged each by itself, and so are items of one id;
+    equal rows count once. Ids may be null. Items without a word leak nowhere; null and empty
+    documents hold nothing; further columns are ignored. Either table may be empty.
     """
-    benchmark = items.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("text")).filter("id is not null")
-    benchmark = benchmark.groupBy("id").agg(F.min("text").alias("text"))
+    benchmark = items.select(F.col(item_key).cast("long").alias("id"), content_hash(item_text).alias("content"), F.col(item_text).alias("text")).distinct()
     known = cut(template_windows(benchmark, None))
     bitmap = window_bitmap(known)
     widths = tuple(sorted(r["width"] for r in known.select("width").distinct().collect())) or (WINDOW,)
-    corpus = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
-    found = template_windows(corpus, bitmap, widths).select("id", "pos", "hash", "slots").withColumn("salt", F.pmod("id", F.lit(SALTS)))
+    corpus = docs.select(F.col(key).cast("long").alias("id"), content_hash(text).alias("content"), F.col(text).alias("text"))
+    found = template_windows(corpus, bitmap, widths).select("id", "content", "pos", "hash", "slots").withColumn("salt", F.pmod(F.xxhash64("id", "content"), F.lit(SALTS)))
     salted = known.select(
-        F.col("id").alias("item_id"), F.col("windows").alias("item_windows"), F.col("pos").alias("item_pos"),
-        F.col("hash").alias("h"), F.col("slots").alias("item_slots"),
+        F.col("id").alias("item_id"), F.col("content").alias("item_content"), "way", "windows", "width", F.col("pos").alias("item_pos"), F.col("hash").alias("h"), F.col("slots").alias("item_slots"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("s"),
     )
-    pairs = cut(found.join(salted, (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s"))).select(
-        F.col("id").alias("doc_id"), "item_id", "item_windows", "item_pos", "hash", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots"
-    ))
-    # one value of the item for one of the document, and back, within an alignment
-    swaps = F.explode_outer(F.arrays_zip("item_slots", "slots"))
-    where = ["doc_id", "item_id", "shift"]
-    window = [*where, "item_pos", "hash"]
-    swapped = pairs.withColumn("swap", swaps).select(*window, F.col("swap.item_slots").alias("mine"), F.col("swap.slots").alias("theirs")).filter("mine is not null").distinct()
-    values = swapped.select(*where, "mine", "theirs").distinct()
-    forward = values.groupBy(*where, "mine").agg(F.count(F.lit(1)).alias("n_mine"))
-    back = values.groupBy(*where, "theirs").agg(F.count(F.lit(1)).alias("n_theirs"))
-    judged = (
-        swapped.join(forward, [*where, "mine"]).join(back, [*where, "theirs"])
-        .groupBy(*window).agg((F.max(F.greatest("n_mine", "n_theirs")) == 1).alias("consistent"), F.max(F.col("mine") != F.col("theirs")).alias("changed"))
-    )
-    aligned = pairs.select(*window, "item_windows").distinct().join(judged, window, "left")
-    fits = F.coalesce("consistent", F.lit(True))
-    return (
-        aligned.groupBy("doc_id", "item_id", "item_windows")
-        .agg(
-            F.count_distinct("item_pos").alias("shared_windows"),
-            F.count_distinct(F.when(fits, F.col("item_pos"))).alias("consistent_windows"),
-            F.count_distinct(F.when(fits & ~F.coalesce("changed", F.lit(False)), F.col("item_pos"))).alias("same"),
-        )
-        .withColumn("coverage", F.col("consistent_windows") / F.col("item_windows"))
-        .filter(F.col("coverage") >= threshold)
-        .withColumn("kind", F.when(F.col("same") >= F.col("consistent_windows"), "verbatim").otherwise("reparameterised"))
-        .select("doc_id", "item_id", "item_windows", "shared_windows", "consistent_windows", "coverage", "kind")
+    pairs = found.join(salted, (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s")))
+    one = ["id", "content", "item_id", "item_content", "way", "windows", "width"]
+    # a window that is held has its tokens in windows that match, of which each has width tokens
+    few = F.size(F.array_distinct(F.col("matches.item_pos"))) * F.col("width") >= F.lit(threshold) * F.col("windows")
+    grouped = pairs.groupBy(*one).agg(F.collect_set(F.struct("item_pos", "pos", "item_slots", "slots")).alias("matches")).filter(few)
+    names = ["shared", "counted", "held", "verbatim"]
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for windows, width, matches in zip(*(batch.column(c).to_pylist() for c in ("windows", "width", "matches")), strict=True):
+                held, shared, counted, verbatim = judged([tuple(m.values()) for m in matches], windows, width)
+                out.append((shared, counted, held, verbatim))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)] if out else [pa.array([], pa.int64())] * 3 + [pa.array([], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in one), *columns], names=[*one, *names])
+
+    schema = "id long, content long, item_id long, item_content long, way int, windows long, width int, shared long, counted long, held long, verbatim boolean"
+    results = grouped.mapInArrow(decided, schema).withColumn("coverage", F.col("held") / F.col("windows")).filter(F.col("coverage") >= threshold)
+    # of the two ways of reading the one with more
+    best = F.max(F.struct("coverage", "verbatim", "held", "windows", "shared", "counted")).alias("best")
+    return results.groupBy("id", "content", "item_id", "item_content").agg(best).select(
+        F.col("id").alias("doc_id"), "content", "item_id",
+        F.col("best.windows").alias("item_windows"), F.col("best.shared").alias("shared_windows"), F.col("best.held").alias("consistent_windows"), "best.coverage",
+        F.when(F.col("best.verbatim"), "verbatim").otherwise("reparameterised").alias("kind"),
     )
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", **options: object) -> DataFrame:
-    """docs without the rows that hold a benchmark item; rows with null ids stay."""
-    leaks = cut(find_leaks(docs, items, key=key, **options).select(F.col("doc_id").alias("_leak")).distinct())
-    small = leaks.count() <= 500_000
-    return docs.join(F.broadcast(leaks) if small else leaks, F.col(key).cast("long") == F.col("_leak"), "left_anti")
+def content_hash(text: str) -> Column:
+    """64 bits that tell the texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
+    """docs without the rows that hold a benchmark item, whatever their id; columns of any name are kept as they are."""
+    leak, hashed = unused("leak_id", docs), unused("leak_content", docs)
+    leaks = cut(find_leaks(docs, items, key=key, text=text, **options).select(F.col("doc_id").alias(leak), F.col("content").alias(hashed)).distinct())
+    same = F.col(key).cast("long").eqNullSafe(F.col(leak)) & (content_hash(text) == F.col(hashed))
+    return docs.join(F.broadcast(leaks) if leaks.count() <= BROADCAST_ROWS else leaks, same, "left_anti")

@@ -39,7 +39,7 @@ def test_kinds_of_leaks(spark, documents):
         (8, (noise * 20_000) + ITEM),
     ]
     found = leaks(spark, documents, docs, [(1, ITEM), (2, None), (3, ""), (4, "12 13 14 15 16 17"), (5, "so short")])
-    assert found == {(1, 1): "verbatim", (2, 1): "reparameterised", (8, 1): "verbatim"}
+    assert found == {(1, 1): "verbatim", (2, 1): "reparameterised", (8, 1): "verbatim", (None, 1): "verbatim"}
     assert leaks(spark, documents, docs, []) == {}
     assert leaks(spark, documents, [], [(1, ITEM)]) == {}
 
@@ -70,7 +70,7 @@ def test_only_windows_with_an_inconsistent_slot_are_lost(spark, documents):
     doc = item.replace("and 7", "and 9")
     row = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = decontaminate.find_leaks(documents([(1, doc)]), row).collect()
-    assert [(r["item_windows"], r["shared_windows"], r["consistent_windows"]) for r in got] == [(61, 61, 57)]
+    assert [(r["item_windows"], r["shared_windows"], r["consistent_windows"]) for r in got] == [(61, 61, 59)]
 
 
 def test_all_verbatim_items_are_found(spark):
@@ -90,9 +90,94 @@ def test_all_verbatim_items_are_found(spark):
 
 
 def test_pipeline_form_drops_only_leaks(spark, documents):
-    docs = documents([(1, ITEM), (2, "clean words only here"), (None, ITEM), (3, None)])
-    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
-    assert sorted(str(r["doc_id"]) for r in decontaminate.without_leaks(docs, items).collect()) == ["2", "3", "None"]
+    # ids say nothing: the leaking rows go, whatever else has their id
+    docs = documents([(1, ITEM), (1, "clean words only here"), (2, "clean words only here"), (None, ITEM), (None, "clean too"), (3, None), (3, None)])
+    items = spark.createDataFrame([(1, ITEM), (None, "an item without an id but with words")], "item_id long, text string")
+    kept = Counter((r["doc_id"], r["text"]) for r in decontaminate.without_leaks(docs, items).collect())
+    assert kept == Counter([(1, "clean words only here"), (2, "clean words only here"), (None, "clean too"), (3, None), (3, None)])
+    named = docs.withColumnsRenamed({"size": "leak_id", "lang": "Leak_Content", "source": "_leak"})
+    assert decontaminate.without_leaks(named, items).columns == named.columns
+    assert decontaminate.without_leaks(named, items).count() == 5
+
+
+def test_items_of_one_id_are_all_searched(spark, documents):
+    other = "quite another question that shares the number of the first one in this list"
+    docs = documents([(1, "x " + ITEM), (2, other + " y")])
+    assert leaks(spark, documents, [(1, "x " + ITEM), (2, other + " y")], [(7, ITEM), (7, other)]) == {(1, 7): "verbatim", (2, 7): "verbatim"}
+    assert decontaminate.find_leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+TEMPLATES = [
+    "{a} has {n} pens and {m} books , and {a} gives {k} of the books to {b} . How many books does {a} have left now ?",
+    "A train leaves {c} at {n} {u} per hour and reaches {d} after {k} hours . How far is {d} from {c} in {u} ?",
+    "{a} walks {n}{v} on the first day and {m}{v} on the second day . What is the whole distance that {a} walked ?",
+    "{a} bought {n} apples for {k} dollars each and sold {m} of them to {b} at twice the price . What did {a} earn ?",
+    "{a} needs {n} minutes to paint a fence of {m} {u} while {b} needs {k} minutes . How long do they need together ?",
+]
+NAMES = ["Tom", "Anna", "Mary Ann", "Bob", "Eve", "José", "Dr Who", "Kim Lee", "Ulrike", "Van Dyke"]
+PLACES = ["Boston", "New York", "Los Angeles", "Albany", "San Juan Bautista", "Rome", "Saint Paul", "Kiel"]
+SPELLED = ["twelve", "seven", "twenty-five", "forty two", "nine", "three hundred", "eighteen", "sixty", "ninety nine", "eleven"]
+
+
+def filled(rng, template):
+    a, b = rng.sample(NAMES, 2)
+    c, d = rng.sample(PLACES, 2)
+    n, m, k = rng.sample(SPELLED, 3) if rng.random() < 0.4 else map(str, rng.sample(range(2, 500), 3))
+    v = rng.choice(["km", "m", "miles"]) if n.isdigit() else " km"
+    return template.format(a=a, b=b, c=c, d=d, n=n, m=m, k=k, u=rng.choice(["km", "miles", "meters"]), v=v)
+
+
+def test_reparameterised_questions_are_found(spark, documents):
+    rng = random.Random(17)
+    noise = ["the weather was fine and nobody asked about it .", "Later on We Met Some people near the old bridge ,", "in 1998 there were 40 of these , Mr Smith said ."]
+    items = [(i, filled(rng, t)) for i, t in enumerate(TEMPLATES)]
+    docs, wanted = [], set()
+    for i, t in enumerate(TEMPLATES):
+        for _ in range(30):
+            wanted.add((len(docs), i))
+            docs.append((len(docs), " ".join([rng.choice(noise), filled(rng, t), rng.choice(noise)])))
+    clean = len(docs)
+    for _ in range(60):  # half of one question, half of another
+        t, o = rng.sample(TEMPLATES, 2)
+        one, two = filled(rng, t).split(), filled(rng, o).split()
+        docs.append((len(docs), " ".join([*one[: len(one) // 2], *rng.choice(noise).split(), *two[: len(two) // 2]])))
+    got = leaks(spark, documents, docs, items)
+    assert len(wanted & set(got)) / len(wanted) >= 0.9
+    assert not {d for d, _ in got if d >= clean}
+
+
+def test_clashing_slots_are_no_leak(spark, documents):
+    words = decontaminate_words(ITEM)
+    rng = random.Random(2)
+    pieces = []
+    for start in range(len(words) - 4):
+        piece = " ".join(words[start : start + 5])
+        pieces.append(piece.replace("Tom", rng.choice(["Bob", "Eve", "Dan", "Kim", "Lee"])).replace("12", str(rng.randrange(20, 99))).replace("5 kg", f"{rng.randrange(6, 99)} kg"))
+    near = " and then ".join(pieces)
+    far = (" so it went on and on " * 20).join(pieces)
+    assert leaks(spark, documents, [(1, near), (2, far)], [(1, ITEM)]) == {}
+
+
+def decontaminate_words(text):
+    return [w for w in text.split() if w not in ",?"]
+
+
+def test_judging_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(200):
+        windows, width = rng.randrange(1, 12), 5
+        matches = [(p, p + 100, [], []) for p in range(windows) if rng.random() < 0.7]
+        tokens = {p + j for p, *_ in matches for j in range(width)}
+        held = sum(all(p + j in tokens for j in range(width)) for p in range(windows))
+        assert decontaminate.judged(matches, windows, width) == (held, len(matches), len(matches), bool(matches))
+
+
+def test_word_kinds():
+    values = {"5km": ("5", "km"), "12%": ("12", "%"), "$3.50": ("$3.50", ""), "3rd": ("", ""), "1,000": ("1,000", ""), "km": ("", "")}
+    assert {w: decontaminate.measure(w) for w in values} == values
+    assert [decontaminate.composed(decontaminate.spelled(w)) for w in ("twelve", "twenty-five", "hundred")] == ["12", "25", "100"]
+    assert decontaminate.composed(["two", "hundred", "thousand", "six"]) == "200006"
+    assert decontaminate.spelled("twenty-fold") == []
 
 
 # ---- fingerprints
@@ -110,6 +195,27 @@ def test_collisions_estimate_generalised_jaccard():
         assert got == pytest.approx(exact, abs=0.06)
 
 
+def test_words_are_not_folded_together():
+    sampler = fingerprint.Sampler(samples=1000)
+    a, b = [f"a{i}" for i in range(20_000)], [f"b{i}" for i in range(20_000)]
+    one, other, half = (sampler.signature(" ".join(w)) for w in (a, b, a[:10_000] + b[:10_000]))
+    assert fingerprint.likeness(one, other) < 0.01
+    assert fingerprint.likeness(one, half) == pytest.approx(1 / 3, abs=0.06)
+    weighed = sampler.signature(" ".join(a + a[:10_000] * 3))
+    assert fingerprint.likeness(one, weighed) == pytest.approx(20_000 / 50_000, abs=0.06)
+
+
+def test_a_small_table_changes_no_signature(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(4000)}" for _ in range(300)) + " long" * 40 + " " + "q" * rng.randrange(60, 90) for _ in range(60)]
+    whole = [fingerprint.Sampler().signature(t) for t in texts]
+    monkeypatch.setattr(fingerprint, "BLOCK", 100)
+    monkeypatch.setattr(fingerprint, "REMEMBERED", 200)
+    monkeypatch.setattr(fingerprint, "REMEMBERED_KEYS", 200)
+    small = fingerprint.Sampler()
+    assert all((small.signature(t) == w).all() for t, w in zip(texts, whole, strict=True))
+
+
 def test_blocks_do_not_change_a_signature(monkeypatch):
     sampler, text = fingerprint.Sampler(), " ".join(f"w{i % 700}" for i in range(3000))
     whole = sampler.signature(text)
