@@ -69,7 +69,8 @@ def _budgeted(rows: DataFrame, weights: tuple[int, ...], share: tuple[int, int],
     )
     small = plan.count() <= BROADCAST_SOURCES
     bounded = F.broadcast if small else (lambda df: df)
-    edge = plan.select("source", "rest", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("before"))
+    # a source that its whole passes fill has no further pass, and no threshold to look for
+    edge = plan.filter("rest > 0").select("source", "rest", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("before"))
     for level in range(LEVELS):
         shift = LEVEL_BITS * (LEVELS - 1 - level)
         known = edge.select(F.col("source").alias("_s"), F.col("rest").alias("_rest"), F.col("low").alias("_low"), F.col("before").alias("_before"))
@@ -98,7 +99,7 @@ def _budgeted(rows: DataFrame, weights: tuple[int, ...], share: tuple[int, int],
     whole = F.lit(1 << (LEVEL_BITS * LEVELS)).cast("long")
     out = plan.join(ends, F.col("source").eqNullSafe(F.col("_s")), "left").select(
         "source", "source_size", "target", "full",
-        # no bucket passes the budget: the rest takes all, or there is nothing to take
+        # no bucket passes the budget: the rest takes all, or there is nothing more to take
         F.coalesce("threshold", F.when(F.col("rest") > 0, whole).otherwise(F.lit(0))).alias("threshold"),
     )
     return bounded(out)
