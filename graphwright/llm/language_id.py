@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwright.llm.words import slices
@@ -40,8 +40,8 @@ class Sampling:
     """Bounds of the training sample: languages, rows of each, characters of each row."""
 
     languages: int = 64
-    rows: int = 1500
-    characters: int = 2000
+    rows: int = 800
+    characters: int = 1500
 
 
 @dataclass
@@ -86,6 +86,19 @@ def subword_counts(text: str) -> np.ndarray:
     return counts
 
 
+def slopes(embeddings: np.ndarray, share: np.ndarray, weights: np.ndarray, bias: np.ndarray, gold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slopes of one text's log loss by the embeddings of its subwords, the weights and the bias.
+
+    share is each subword's share of the text, so share @ embeddings is their average.
+    """
+    vector = share @ embeddings
+    logits = weights @ vector + bias
+    error = np.exp(logits - logits.max())
+    error /= error.sum()
+    error[gold] -= 1
+    return np.outer(share, weights.T @ error), np.outer(error, vector), error
+
+
 def fit(texts: list[str], labels: list[str]) -> LanguageModel | None:
     """A model of labelled texts, or None without any."""
     languages = sorted(set(labels))
@@ -108,15 +121,10 @@ def fit(texts: list[str], labels: list[str]) -> LanguageModel | None:
         rate = RATE * (1 - epoch / EPOCHS)
         for i in rng.permutation(train):
             used, share = rows[i]
-            vector = share @ table[used]
-            logits = weights @ vector + bias
-            error = np.exp(logits - logits.max())
-            error /= error.sum()
-            error[gold[i]] -= 1
-            back = weights.T @ error
-            weights -= rate * np.outer(error, vector)
-            bias -= rate * 0.1 * error
-            table[used] -= (rate * 20) * np.outer(share, back)
+            rows_of, whole, start = slopes(table[used], share, weights, bias, gold[i])
+            weights -= rate * whole
+            bias -= rate * 0.1 * start
+            table[used] -= rate * 20 * rows_of
     scores = table @ weights.T
     check = np.flatnonzero(held) if held.any() else train
     logits = np.array([share @ scores[used] + bias for used, share in (rows[i] for i in check)])
@@ -149,20 +157,26 @@ def _threshold(scores: np.ndarray, right: np.ndarray) -> float:
 def training_sample(labelled: DataFrame, sampling: Sampling, *, key: str, text: str, lang: str) -> tuple[list[str], list[str]]:
     """Texts and languages of at most languages * rows rows, each a stretch of some characters.
 
-    Rows are chosen by a hash of their id, a share per language that follows from counts of all
-    rows, and so is the place of the stretch. Counts and sample are bounded by Sampling.
+    Of each language the rows that come first by a hash of id and text are chosen, and the place of
+    the stretch follows from another hash, so reruns agree. All languages are learned; more than
+    sampling.languages are an error, since the sample is bounded. At most 154 MB by default.
     """
     known = labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(sampling.languages).collect()
-    draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 30))
+    counts = known.groupBy(lang).count().orderBy(lang).limit(sampling.languages + 1).collect()
+    if len(counts) > sampling.languages:
+        raise ValueError(f"more than {sampling.languages} languages: raise Sampling.languages")
+    # twice the share that is wanted on average, of which the first by hash are kept below
     chosen = F.lit(False)
     for row in counts:
-        share = min(1.0, sampling.rows / row["count"])
+        share = min(1.0, 2 * sampling.rows / row["count"])
         chosen = chosen | ((F.col(lang) == row[0]) & (draw < int(share * (1 << 30))))
     size = F.greatest(F.length(text) - F.lit(sampling.characters), F.lit(0))
     start = F.pmod(F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(1)), 2), size + 1).cast("int") + 1
-    sample = known.filter(chosen).select(draw.alias("d"), F.substring(F.col(text), start, F.lit(sampling.characters)).alias("t"), F.col(lang).alias("l"))
-    rows = sorted(sample.limit(2 * sampling.languages * sampling.rows).collect(), key=lambda r: (r["d"], r["l"], r["t"]))
+    sample = known.filter(chosen).select(draw.alias("d"), F.substring(F.col(text), start, F.lit(sampling.characters)).alias("t"), F.col(lang).alias("l")).distinct()
+    first = Window.partitionBy("l").orderBy("d", "t")
+    rows = sample.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sampling.rows).collect()
+    rows.sort(key=lambda r: (r["d"], r["l"], r["t"]))
     return [r["t"] for r in rows], [r["l"] for r in rows]
 
 
