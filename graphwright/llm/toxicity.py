@@ -7,15 +7,16 @@ With the class prior p, the risk of a score f is
     + max(0, loss(f on unlabelled as clean) - p * loss(f on positives as clean))
 
 where the second part can only turn negative by overfitting and then has no slope. Steps get
-smaller, and the model is the mean over the second half of them. The score is linear in counts of distinct words by their features: the word itself, its pieces
-of 4 and 5 characters with the word's ends marked. Features are hashed; those whose shares among
-positives and unlabelled text differ most are used. Training is numpy on a bounded sample.
+smaller, and the model is the mean over the second half of them. The score is linear in counts of
+features of a text's distinct words: the word itself, its pieces of 4 and 5 characters with the
+word's ends marked. Features are hashed; those whose shares among positives and unlabelled text
+differ most are used. Training is numpy on a bounded sample. Features of many words are hashed at
+once, from their code points, so nothing has to be remembered between texts.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,10 +38,8 @@ RATE = 0.1
 DECAY = 1e-3
 #: Features that are used however few positives there are; else one for two positives, up to a bound.
 FEW_FEATURES = 200
-#: Words whose scores are remembered at one time.
-REMEMBERED = 30_000
-#: Longer words are scored without being remembered.
-LONG = 64
+#: Characters of words that are hashed at once, about; a longer word is hashed alone.
+BLOCK = 1 << 17
 
 
 @dataclass
@@ -61,82 +60,113 @@ class ToxicityModel:
     bias: float
 
 
-def word_buckets(word: str) -> set[int]:
-    """Hashed features of one lower-case word."""
-    marked = f"<{word}>".encode()
-    found = {zlib.crc32(marked) % BUCKETS}
-    framed = f"<{word}>"
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) for each feature of these lower-case words: numbers of the words in order, and hashes."""
+    codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(lengths) - lengths
+    word = np.repeat(np.arange(len(words)), lengths)
+    place = np.arange(len(codes)) - starts[word]
+    # a word: the sum of its characters' hashes, each by its place
+    each = (codes + place.astype(np.uint64) * np.uint64(0x1000193)) * np.uint64(0x9E3779B97F4A7C15)
+    whole = np.add.reduceat(each ^ (each >> np.uint64(29)), starts) if len(words) else each
+    found, owners = [whole * np.uint64(0xBF58476D1CE4E5B9)], [np.arange(len(words))]
     for n in PIECES:
-        for i in range(len(framed) - n + 1):
-            found.add(zlib.crc32(framed[i : i + n].encode(), n) % BUCKETS)
-    return found
+        at = np.flatnonzero(place <= lengths[word] - n)
+        code = np.full(len(at), n, np.uint64)
+        for j in range(n):
+            code = code * np.uint64(0x100000001B3) + codes[at + j]
+        found.append(code * np.uint64(0x9E3779B97F4A7C15))
+        owners.append(word[at])
+    return np.concatenate(owners), (np.concatenate(found) >> np.uint64(44)).astype(np.int64)
+
+
+def features(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, bucket) of each feature of each text's distinct words, in blocks of about BLOCK characters."""
+    words: list[str] = []
+    owners: list[int] = []
+    size = 0
+
+    def flushed() -> tuple[np.ndarray, np.ndarray]:
+        word, bucket = word_features(words)
+        return np.array(owners)[word], bucket
+
+    for i, text in enumerate(texts):
+        own = list(dict.fromkeys(LETTERS.findall((text or "").lower())))
+        words += own
+        owners += [i] * len(own)
+        size += len(text or "")
+        if size >= BLOCK and words:
+            yield flushed()
+            words, owners, size = [], [], 0
+    if words:
+        yield flushed()
 
 
 class Scorer:
-    """Scores whole texts with a model; remembers a bounded number of words."""
+    """Scores whole texts with a model."""
 
     def __init__(self, model: ToxicityModel) -> None:
         self.bias = model.bias
-        self.weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
-        self.known: dict[str, float] = {}
-
-    def score(self, text: str | None) -> float:
-        """Probability of being toxic, 0 to 1."""
-        total, known = self.bias, self.known
-        for word in set(LETTERS.findall((text or "").lower())):
-            value = known.get(word)
-            if value is None:
-                value = sum(self.weight.get(b, 0.0) for b in word_buckets(word))
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(word) <= LONG:
-                    known[word] = value
-            total += value
-        return float(1 / (1 + np.exp(-min(max(total, -60.0), 60.0))))
-
-
-def text_buckets(text: str | None, known: dict[str, set[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and the number of its distinct words that have each."""
-    found: list[int] = []
-    for word in set(LETTERS.findall((text or "").lower())):
-        buckets = known.get(word)
-        if buckets is None:
-            if len(known) >= 2_000:
-                known.clear()
-            buckets = known[word] = word_buckets(word)
-        found.extend(buckets)
-    return np.unique(np.array(found, np.int64), return_counts=True)
+        self.weight = np.zeros(BUCKETS, np.float32)
+        self.weight[model.buckets] = model.weights
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Probability of being toxic, 0 to 1, of each text."""
+        total = np.full(len(texts), self.bias)
+        for text, bucket in features(texts):
+            total += np.bincount(text, self.weight[bucket], len(texts))
+        return 1 / (1 + np.exp(-np.clip(total, -60, 60)))
+
+
+def text_buckets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its buckets, and how often its distinct words have each."""
+    blocks = [f for f in features(texts)]
+    text, bucket = (np.concatenate([np.zeros(0, np.int64), *(b[i] for b in blocks)]) for i in (0, 1))
+    order = np.argsort(text, kind="stable")
+    ends = np.searchsorted(text[order], np.arange(len(texts) + 1))
+    for i in range(len(texts)):
+        yield np.unique(bucket[order[ends[i] : ends[i + 1]]], return_counts=True)
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-z)), without overflow."""
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def risk_and_slope(xp: np.ndarray, xu: np.ndarray, weights: np.ndarray, bias: float, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk of positives xp and unlabelled rows xu, and its slope by the weights and the bias.
+
+    The loss is the logistic one. The clean part is held at 0 where it is negative, and has no slope there.
+    """
+    fp, fu = xp @ weights + bias, xu @ weights + bias
+    toxic = prior * np.logaddexp(0, -fp).mean()
+    clean = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    gp, gu = -prior * sigmoid(-fp) / len(fp), np.zeros(len(fu))
+    if clean >= 0:
+        gp, gu = gp - prior * sigmoid(fp) / len(fp), sigmoid(fu) / len(fu)
+    return float(toxic + max(0.0, clean)), np.append(xp.T @ gp + xu.T @ gu, gp.sum() + gu.sum())
 
 
 def fit(counts: np.ndarray, positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk; counts has a row per text."""
     rng = np.random.default_rng(11)
     pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
-    weights, bias = np.zeros(counts.shape[1]), float(np.log(prior / (1 - prior)))
-    first, second = np.zeros(len(weights) + 1), np.zeros(len(weights) + 1)
-    step = 0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    mean, kept = np.zeros(len(weights) + 1), 0
+    model = np.append(np.zeros(counts.shape[1]), np.log(prior / (1 - prior)))
+    first, second = np.zeros(len(model)), np.zeros(len(model))
+    mean, kept, step = np.zeros(len(model)), 0, 0
     for epoch in range(EPOCHS):
+        rate = RATE * (1 - epoch / EPOCHS)
         for some in np.array_split(rng.permutation(unl), max(1, len(unl) // BATCH)):
             mine = pos if len(pos) <= BATCH else rng.choice(pos, BATCH, replace=False)
-            xp, xu = counts[mine].astype(np.float64), counts[some].astype(np.float64)
-            fp, fu = xp @ weights + bias, xu @ weights + bias
-            clean = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            toxic_slope = -prior * sigmoid(-fp) / len(mine)
-            clean_u, clean_p = sigmoid(fu) / len(some), -prior * sigmoid(fp) / len(mine)
-            # a negative clean part is held at 0 and has no slope
-            gp, gu = (toxic_slope + clean_p, clean_u) if clean >= 0 else (toxic_slope, 0 * clean_u)
-            slope = np.append(xp.T @ gp + xu.T @ gu + DECAY * weights, gp.sum() + gu.sum())
+            _, slope = risk_and_slope(counts[mine].astype(np.float64), counts[some].astype(np.float64), model[:-1], model[-1], prior)
+            slope[:-1] += DECAY * model[:-1]
             step += 1
             first = 0.9 * first + 0.1 * slope
             second = 0.999 * second + 0.001 * slope * slope
-            rate = RATE * (1 - epoch / EPOCHS)
-            move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-            weights -= move[:-1]
-            bias -= move[-1]
+            model -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
             if epoch >= EPOCHS // 2:
-                mean, kept = mean + np.append(weights, bias), kept + 1
+                mean, kept = mean + model, kept + 1
     return mean[:-1] / kept, float(mean[-1] / kept)
 
 
@@ -151,21 +181,21 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, sampling:
     if not toxic or not rows:
         return None
     prior = min(max(toxic / known, 1e-3), 0.9)
-    draw = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
-    share = min(1.0, sampling.positives / toxic)
-    # at most about sampling.positives ids
-    ids = named.filter((F.col("toxic") == 1) & (draw < int(share * (1 << 30)))).select(F.col(key).alias("_id")).limit(2 * sampling.positives)
+    # the ids that come first by a hash, so that every run draws the same
+    ids = named.filter("toxic = 1").select(F.col(key).alias("_id")).orderBy(F.xxhash64(key), key).limit(sampling.positives)
     chosen = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(ids), F.col(key) == F.col("_id"), "left")
-    take = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(1 << 30)) < int(min(1.0, sampling.unlabelled / rows) * (1 << 30))
+    # by text too, so that rows without an id are not drawn all or none
+    take = F.pmod(F.xxhash64(F.col(key), F.col("_text"), F.lit(1)), F.lit(1 << 30)) < int(min(1.0, sampling.unlabelled / rows) * (1 << 30))
     sets = F.array_compact(F.array(F.when(F.col("_id").isNotNull(), F.lit(True)), F.when(take, F.lit(False))))
     sample = cut(chosen.withColumn("positive", F.explode(sets)).select("positive", F.col("_text").alias("text")))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, words = np.zeros((2, BUCKETS), np.int32), {}
+        seen = np.zeros((2, BUCKETS), np.int32)
         texts = [0, 0]
-        for batch in slices(batches):
-            for positive, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen[int(positive), text_buckets(t, words)[0]] += 1
+        for batch in slices(batches, SLICE_ROWS // 8):
+            positives, bodies = (c.to_pylist() for c in batch.columns)
+            for positive, (found, _) in zip(positives, text_buckets(bodies), strict=True):
+                seen[int(positive), found] += 1
                 texts[int(positive)] += 1
         used = np.flatnonzero(seen.any(0))
         yield pa.RecordBatch.from_arrays(
@@ -185,11 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, sampling:
         return None
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, set[int]] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_ROWS // 8):
             at, counts = [], []
-            for t in batch.column(1).to_pylist():
-                found, times = text_buckets(t, words)
+            for found, times in text_buckets(batch.column(1).to_pylist()):
                 place = np.minimum(np.searchsorted(buckets, found), len(buckets) - 1)
                 hit = buckets[place] == found
                 at.append(place[hit].tolist())
@@ -198,7 +226,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str, text: str, sampling:
                 [batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["positive", "at", "counts"]
             )
 
-    drawn = sample.mapInArrow(vectors, "positive boolean, at array<int>, counts array<int>")
+    drawn = sample.mapInArrow(vectors, "positive boolean, at array<int>, counts array<int>").orderBy(F.xxhash64("at", "counts"), "positive", "at", "counts")
+    # as many as are drawn on average and then some; very many rows of one id come in part
     drawn = sorted(drawn.limit(2 * (sampling.positives + sampling.unlabelled)).collect(), key=lambda r: (r["positive"], r["at"], r["counts"]))
     table = np.zeros((len(drawn), len(buckets)), np.uint8)
     for i, row in enumerate(drawn):
@@ -230,7 +259,8 @@ def score_toxicity(
         for column in texts:
             values: list[float] = []
             for at in range(0, len(column), SLICE_ROWS):
-                values += [scorer.score(t) if scorer else 0.0 for t in column.slice(at, SLICE_ROWS).to_pylist()]
+                some = column.slice(at, SLICE_ROWS).to_pylist()
+                values += scorer.scores(some).tolist() if scorer else [0.0] * len(some)
             yield pa.array(values, pa.float64())
 
     return docs.withColumn("toxicity", scored(F.col(text)))
