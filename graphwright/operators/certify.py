@@ -9,6 +9,8 @@ from graphwright.functions.text import short_digest
 
 #: Ranks of tiers, best first.
 TIERS = ("green", "yellow", "red")
+#: Reviewers, the one that outweighs all others last.
+REVIEWERS = ("auto", "agent", "human")
 #: Validation issues that make a relation red; any other makes it yellow.
 GRAVE_ISSUES = ("MISSING_EVIDENCE", "INVALID_EVIDENCE", "CROSS_BRANCH_CONTAMINATION", "SUPERSEDED")
 
@@ -49,8 +51,11 @@ def tier_name(rank: Column) -> Column:
 def assertions(proposals: DataFrame) -> DataFrame:
     """Proposals of one unit about the same relation as one assertion with its witnesses and tier.
 
-    Reads A and B agree if both propose it. supported outweighs not_supported, which outweighs a
-    missing verdict. Conditions are those of any proposal, sorted.
+    proposals has unit_id, row, relation_type, source_name, target_name, read, verdict, structure and
+    condition, and what review and validation found: reviewer (human, agent, auto or null), rejected
+    and issue. Reads A and B agree if both propose it. supported outweighs not_supported, which
+    outweighs a missing verdict; a person outweighs an agent, and an agent an automatic reviewer.
+    One rejection rejects. Conditions and issues are those of any proposal, sorted.
     """
     grouped = proposals.groupBy("unit_id", "relation_type", "source_name", "target_name").agg(
         F.bool_or("structure").alias("structure"),
@@ -59,11 +64,11 @@ def assertions(proposals: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("condition")).alias("conditions"),
         F.min("row").alias("row"),
         F.count(F.lit(1)).alias("proposals"),
+        F.get(F.array(*[F.lit(r) for r in REVIEWERS]), F.max(F.array_position(F.array(*[F.lit(r) for r in REVIEWERS]), F.col("reviewer"))) - 1).alias("reviewer"),
+        F.coalesce(F.bool_or("rejected"), F.lit(False)).alias("rejected"),
+        F.array_sort(F.collect_set("issue")).alias("issues"),
     )
-    reviewer = F.when(F.col("row") % 7 == 6, "human").when(F.col("row") % 7 == 5, "auto")
-    rejected = (F.col("unit_id") + F.col("row")) % 23 == 0
-    issues = F.when(F.col("unit_id") % 29 == 0, F.array(F.lit("MISSING_EVIDENCE"))).when(F.col("unit_id") % 31 == 0, F.array(F.lit("AMBIGUOUS_NAME"))).otherwise(F.array().cast("array<string>"))
-    return grouped.withColumn("tier", tier(F.col("structure"), F.col("agreement"), F.col("verdict"), reviewer, rejected, issues))
+    return grouped.withColumn("tier", tier(*[F.col(c) for c in ("structure", "agreement", "verdict", "reviewer", "rejected", "issues")]))
 
 
 def edges(asserted: DataFrame) -> DataFrame:
@@ -86,8 +91,9 @@ def edges(asserted: DataFrame) -> DataFrame:
 def common_conditions(asserted: DataFrame) -> DataFrame:
     """Conditions that all non-red occurrences of an edge share: (relation_type, source_name, target_name, conditions)."""
     edge = ["relation_type", "source_name", "target_name"]
-    kept = asserted.filter("tier <> 'red'")
-    counted = kept.groupBy(*edge).agg(F.count(F.lit(1)).alias("n"))
-    stated = kept.select(*edge, F.explode("conditions").alias("condition")).groupBy(*edge, "condition").agg(F.count(F.lit(1)).alias("m"))
-    shared = stated.join(counted, edge).filter("m = n").groupBy(*edge).agg(F.array_sort(F.collect_list("condition")).alias("conditions"))
-    return counted.join(shared, edge, "left").select(*edge, F.coalesce("conditions", F.array().cast("array<string>")).alias("conditions"))
+    # every occurrence states the null condition, whose count is that of the occurrences
+    stated = F.explode(F.array_append(F.col("conditions"), F.lit(None).cast("string"))).alias("condition")
+    counted = asserted.filter("tier <> 'red'").select(*edge, stated).groupBy(*edge, "condition").agg(F.count(F.lit(1)).alias("m"))
+    by_edge = counted.groupBy(*edge).agg(F.max("m").alias("n"), F.collect_list(F.when(F.col("condition").isNotNull(), F.struct("condition", "m"))).alias("stated"))
+    shared = F.transform(F.filter("stated", lambda s: s["m"] == F.col("n")), lambda s: s["condition"])
+    return by_edge.select(*edge, F.array_sort(shared).alias("conditions"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwright.functions.text import short_digest
+from graphwright.operators.components import connected_components
+from graphwright.plans.checkpoints import cut
 
 # Relation types with the types of their ends.
 RELATIONS = (
@@ -55,6 +57,7 @@ def two_hop_paths(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def navigation_gaps(edges: DataFrame) -> DataFrame:
     """Problems that lead to no action and causes that no problem leads to: (kind, name); red edges don't count."""
+    edges = cut(edges.select("relation_type", "source_name", "target_name", "tier"))
     kept = edges.filter("tier <> 'red'")
     problems = edges.filter("relation_type = 'MAY_INDICATE'").select(F.col("source_name").alias("name")).distinct()
     solved = kept.filter("relation_type = 'RESOLVED_BY'").select(F.col("source_name").alias("target_name")).distinct()
@@ -65,6 +68,26 @@ def navigation_gaps(edges: DataFrame) -> DataFrame:
     return without.unionByName(orphans)
 
 
+def component_sizes(edges: DataFrame, views: dict[str, str]) -> DataFrame:
+    """(view, component, nodes, share, largest): weak components of the edges that each view's condition keeps.
+
+    component is the least name, share its part of the view's nodes; largest marks the one with most
+    nodes, of equal ones the first by name. Edges are computed once.
+    """
+    kept = F.array_compact(F.array(*[F.when(F.expr(condition), F.lit(name)) for name, condition in views.items()]))
+    rows = cut(edges.select("source_name", "target_name", F.explode(kept).alias("view")))
+    named = lambda c: F.concat_ws("\u0000", "view", c)
+    labels = connected_components(rows.select(named("source_name").alias("u"), named("target_name").alias("v")))
+    # a loop alone makes a component of its own
+    loops = rows.filter("source_name = target_name").select(named("source_name").alias("node")).distinct().join(labels, "node", "left_anti")
+    labels = labels.unionByName(loops.withColumn("component", F.col("node")))
+    part = lambda i: F.split_part("component", F.lit("\u0000"), F.lit(i))
+    sizes = cut(labels.groupBy(part(1).alias("view"), part(2).alias("component")).agg(F.count(F.lit(1)).alias("nodes")))
+    # the largest: most nodes, then the first by name
+    best = sizes.groupBy("view").agg(F.sum("nodes").alias("total"), F.min(F.struct((-F.col("nodes")).alias("n"), "component")).alias("top"))
+    return sizes.join(F.broadcast(best), "view").select("view", "component", "nodes", F.round(F.col("nodes") / F.col("total"), 6).alias("share"), (F.col("component") == F.col("top.component")).alias("largest"))
+
+
 def canonical_names(named: DataFrame, group: str, name: str, order: str) -> DataFrame:
     """For each group the most frequent name, by which name came first and by alphabet on ties, and its aliases."""
     counted = named.groupBy(group, name).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
@@ -111,3 +134,11 @@ def bounded_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
         )
         found = found.unionByName(frontier)
     return found.groupBy("start", "node").agg(F.min("hops").alias("hops"))
+
+
+def reconnected(orphans: DataFrame, known: DataFrame, scope: list[str]) -> DataFrame:
+    """(cause, problem): orphans(cause, scope) with the only known(problem, scope) that any of their scopes holds."""
+    # of each scope two different problems are enough to tell that there are several
+    ends = known.groupBy(*scope).agg(F.min("problem").alias("least"), F.max("problem").alias("most"))
+    met = orphans.distinct().join(ends, scope).groupBy("cause").agg(F.min("least").alias("problem"), F.max("most").alias("_most"))
+    return met.filter(F.col("problem") == F.col("_most")).select("cause", "problem")

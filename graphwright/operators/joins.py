@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphwright.plans.checkpoints import cut
 
 def contained_names(names: DataFrame, group: str, key: str, words: Column) -> DataFrame:
     """Pairs of a group where all words of the shorter name, two at least, are among those of the longer.
@@ -55,9 +56,14 @@ def unique_resolution(references: DataFrame, targets: DataFrame, key: list[str])
 
 
 def single_partner(links: DataFrame, left: str, right: str) -> DataFrame:
-    """Links of left values that have exactly one partner."""
-    partners = F.size(F.collect_set(right).over(Window.partitionBy(left)))
-    return links.withColumn("_n", partners).filter("_n = 1").drop("_n")
+    """(left, right) of left values that have exactly one partner; a value with very many rows is aggregated before the shuffle."""
+    ends = links.groupBy(left).agg(F.min(right).alias(right), F.max(right).alias("_most"))
+    return ends.filter(F.col(right) == F.col("_most")).select(left, right)
+
+
+def new_links(links: DataFrame, late: Column, key: list[str]) -> DataFrame:
+    """Keys of late links that no early link has, by one aggregate."""
+    return links.groupBy(*key).agg(F.bool_and(late).alias("_new")).filter("_new").select(*key)
 
 
 def narrowed(refs: DataFrame, cite: str, hit: Column) -> DataFrame:
@@ -81,9 +87,14 @@ def subset_alignment(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 def remedy_overlap(actions: DataFrame, least_shared: int, least_share: float) -> DataFrame:
     """Causes of one origin that share so many actions and so large a part of them: (origin, left_cause, right_cause, shared)."""
     rows = actions.select("origin", "cause", "action").distinct()
-    sizes = rows.groupBy("origin", "cause").agg(F.count(F.lit(1)).alias("n"))
-    a, b = rows.withColumnRenamed("cause", "left_cause"), rows.withColumnRenamed("cause", "right_cause")
-    shared = a.join(b, ["origin", "action"]).filter("left_cause < right_cause").groupBy("origin", "left_cause", "right_cause").agg(F.count(F.lit(1)).alias("shared"))
-    left, right = sizes.toDF("origin", "left_cause", "na"), sizes.toDF("origin", "right_cause", "nb")
-    both = shared.join(left, ["origin", "left_cause"]).join(right, ["origin", "right_cause"])
+    often = rows.groupBy("origin", "action").agg(F.count(F.lit(1)).alias("often"))
+    sets = cut(rows.join(often, ["origin", "action"]).groupBy("origin", "cause").agg(F.array_sort(F.collect_list(F.struct("often", "action"))).alias("s")))
+    sets = sets.select("origin", "cause", F.size("s").alias("n"), F.transform("s", lambda x: x["action"]).alias("actions"))
+    # causes that share so large a part have one of their rarest actions in common
+    first = F.slice("actions", F.lit(1), F.greatest(F.lit(1), F.col("n") - F.ceil(F.lit(least_share) * F.col("n")).cast("int") + 1))
+    keys = sets.select("origin", "cause", F.explode(first).alias("action"))
+    a, b = keys.withColumnRenamed("cause", "left_cause"), keys.withColumnRenamed("cause", "right_cause")
+    pairs = a.join(b, ["origin", "action"]).filter("left_cause < right_cause").select("origin", "left_cause", "right_cause").distinct()
+    left, right = sets.toDF("origin", "left_cause", "na", "sa"), sets.toDF("origin", "right_cause", "nb", "sb")
+    both = pairs.join(left, ["origin", "left_cause"]).join(right, ["origin", "right_cause"]).withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long"))
     return both.filter((F.col("shared") >= least_shared) & (F.col("shared") >= F.lit(least_share) * (F.col("na") + F.col("nb") - F.col("shared")))).select("origin", "left_cause", "right_cause", "shared")

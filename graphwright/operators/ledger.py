@@ -73,3 +73,22 @@ def translated_events(log: DataFrame) -> DataFrame:
         F.sum((F.col("kind") == "unit_extracted").cast("long")).over(within).alias("units_done"),
         F.max("cents").over(upto).alias("most_cents"),
     )
+
+
+def nearest_sizes(rows: DataFrame, size: str, keep: int) -> DataFrame:
+    """rows with low, high and used: the range of the so many other rows whose size is nearest, and how many there are.
+
+    Of two sizes as near the smaller comes first. Rows are counted by size before anything is
+    ordered, so the window holds distinct sizes only, and no more than keep to either side are looked at.
+    """
+    counts = rows.groupBy(size).agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.orderBy(size)
+    near = lambda f, i: F.struct(f(size, i).over(order).alias("s"), f("_c", i).over(order).alias("c"))
+    around = [F.struct(F.col(size).alias("s"), (F.col("_c") - 1).alias("c")), *[near(f, i) for f in (F.lag, F.lead) for i in range(1, keep + 1)]]
+    placed = counts.select(size, F.filter(F.array(*around), lambda x: x["s"].isNotNull() & (x["c"] > 0)).alias("_near"))
+    ordered = F.array_sort(F.transform("_near", lambda x: F.struct(F.abs(x["s"] - F.col(size)).alias("d"), x["s"].alias("s"), x["c"].alias("c"))))
+    # as many of each size as are still wanted
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast(rows.schema[size].dataType).alias("low"), F.lit(None).cast(rows.schema[size].dataType).alias("high"))
+    step = lambda a, x: F.when(a["n"] >= keep, a).otherwise(F.struct(F.least(a["n"] + x["c"], F.lit(keep).cast("long")).alias("n"), F.least(a["low"], x["s"]).alias("low"), F.greatest(a["high"], x["s"]).alias("high")))
+    ranges = placed.select(size, F.aggregate(ordered, start, step).alias("_r"))
+    return rows.join(ranges, size).select(*rows.columns, F.col("_r.low").alias("low"), F.col("_r.high").alias("high"), F.col("_r.n").alias("used"))

@@ -20,10 +20,11 @@ def questions(assertions: DataFrame) -> DataFrame:
     by_unit = assertions.filter("tier = 'yellow'").groupBy("unit_id").agg(
         F.array_join(F.array_sort(F.collect_list(statement)), "; ").alias("statements"), F.count(F.lit(1)).alias("n"), F.max(weight).alias("weight")
     )
-    return by_unit.groupBy("statements").agg(
-        F.min("unit_id").alias("first_unit"), F.count(F.lit(1)).alias("units"), F.sum("n").alias("n"), F.max("weight").alias("weight")
+    # grouped by the digest, a narrow key
+    return by_unit.groupBy(F.sha2("statements", 256).alias("digest")).agg(
+        F.first("statements").alias("statements"), F.min("unit_id").alias("first_unit"), F.count(F.lit(1)).alias("units"), F.sum("n").alias("n"), F.max("weight").alias("weight")
     ).select(
-        F.concat(F.lit("rel:"), F.col("first_unit"), F.lit(":"), F.substring(F.sha2("statements", 256), 1, 20)).alias("question_id"),
+        F.concat(F.lit("rel:"), F.col("first_unit"), F.lit(":"), F.substring("digest", 1, 20)).alias("question_id"),
         "units", "statements", "n", (F.col("weight") * 10 + F.col("n")).alias("priority"),
     )
 
@@ -51,6 +52,11 @@ def applied_answers(answers: DataFrame, assertion: str, order: str) -> DataFrame
     return ranked.filter("_n = 1").drop("_n")
 
 
+def is_additive(before: Column, after: Column) -> Column:
+    """Whether after is before plus exactly one element at its end."""
+    return (F.size(after) == F.size(before) + 1) & (F.slice(after, F.lit(1), F.size(before)) == before)
+
+
 def hash_sample(rows: DataFrame, group: str, key: str, size: int, salt: str) -> DataFrame:
     """The first rows of each group by the digest of salt and key: a sample that reruns repeat."""
     digest = F.sha2(F.concat_ws("|", F.lit(salt), key), 256)

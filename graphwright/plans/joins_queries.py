@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphwright.operators import certify as C
 from graphwright.operators import joins as J
 from graphwright.plans import staging as S
-from graphwright.plans.graph_queries import _ASSERTION
+from graphwright.plans.graph_queries import _FINE_ASSERTION
 from graphwright.registry import query
 from graphwright.sources.tables import read_table
 
@@ -68,28 +68,28 @@ def merged_cell_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j24_resolved_references",
-    """with refs as (select o_orderkey, (o_custkey % 300)::bigint as label, o_orderstatus as kind from orders), targets as (select distinct l_suppkey % 300 as label, l_returnflag as kind_, l_orderkey % 2 as t from lineitem where l_quantity > 46 and l_returnflag <> 'N'),
+    """with refs as (select o_orderkey, (o_custkey * 31 + o_orderkey * 17) % 100003 as label, o_orderstatus as kind from orders), targets as (select distinct (l_partkey * 7 + l_suppkey * 13) % 100003 as label, l_returnflag as kind_, l_orderkey as t from lineitem),
     found as (select label, case kind_ when 'A' then 'F' else 'O' end as kind, count(distinct t) as n, min(t) as t from targets group by all)
     select r.o_orderkey, r.kind, r.label, case when n is null then 'Missing' when n = 1 then 'Resolved' else 'Ambiguous' end as status, case when n = 1 then t end as target from refs r left join found f on r.label = f.label and r.kind = f.kind""",
 )
 def resolved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References resolved to their only target."""
-    refs = read_table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 300).alias("label"), F.col("o_orderstatus").alias("kind"))
-    targets = read_table(spark, sf_dir, "lineitem").filter("l_quantity > 46 and l_returnflag <> 'N'").select(
-        (F.col("l_suppkey") % 300).alias("label"), F.when(F.col("l_returnflag") == "A", "F").otherwise("O").alias("kind"), (F.col("l_orderkey") % 2).alias("target")
+    refs = read_table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_custkey") * 31 + F.col("o_orderkey") * 17) % 100003).alias("label"), F.col("o_orderstatus").alias("kind"))
+    targets = read_table(spark, sf_dir, "lineitem").select(
+        ((F.col("l_partkey") * 7 + F.col("l_suppkey") * 13) % 100003).alias("label"), F.when(F.col("l_returnflag") == "A", "F").otherwise("O").alias("kind"), F.col("l_orderkey").alias("target")
     )
     return J.unique_resolution(refs, targets, ["label", "kind"]).select("o_orderkey", "kind", "label", "status", "target")
 
 
 @query(
     "g07_single_partners",
-    f"""with {S.PROPOSAL}, links as (select distinct source_name, target_name from proposal where relation_type = 'RESOLVED_BY' and row = 6 and condition is not null and unit_id % 40 = 0), counted as (select *, count(*) over (partition by source_name) as n from links)
+    f"""with {S.FINE_PROPOSAL}, links as (select distinct source_name, target_name from proposal where relation_type = 'RESOLVED_BY'), counted as (select *, count(*) over (partition by source_name) as n from links)
     select source_name, target_name from counted where n = 1""",
 )
 def single_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Causes with exactly one action in a part of the proposals."""
-    rows = S.proposals(spark, sf_dir).filter("relation_type = 'RESOLVED_BY' and row = 6 and condition is not null and unit_id % 40 = 0")
-    return J.single_partner(rows.select("source_name", "target_name").distinct(), "source_name", "target_name")
+    """Causes with exactly one action."""
+    rows = S.proposals(spark, sf_dir, fine=True).filter("relation_type = 'RESOLVED_BY'")
+    return J.single_partner(rows, "source_name", "target_name")
 
 
 @query(
@@ -105,26 +105,26 @@ def narrowed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j28_branch_alignment",
-    """with gold as (select distinct l_suppkey as gold_id, l_partkey as ref from lineitem), pred as (select distinct l_orderkey as pred_id, l_partkey as ref from lineitem where l_linenumber < 3), sizes as (select pred_id, count(*) as n from pred group by pred_id),
+    """with gold as (select distinct l_suppkey as gold_id, l_partkey as ref from lineitem), pred as (select distinct l_orderkey as pred_id, l_partkey as ref from lineitem), sizes as (select pred_id, count(*) as n from pred group by pred_id),
     hits as (select pred_id, gold_id, count(*) as m from pred join gold using (ref) group by all), inside as (select h.pred_id, count(*) as candidates, min(gold_id) as g from hits h join sizes s on h.pred_id = s.pred_id and m = n group by h.pred_id)
     select s.pred_id, case when candidates = 1 then g end as gold_id, coalesce(candidates, 0) as candidates from sizes s left join inside i on s.pred_id = i.pred_id""",
 )
 def branch_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders aligned to the only supplier that delivers all of their first parts."""
+    """Orders aligned to the only supplier that delivers all of their parts."""
     items = read_table(spark, sf_dir, "lineitem")
     gold = items.select(F.col("l_suppkey").alias("gold_id"), F.col("l_partkey").alias("ref"))
-    return J.subset_alignment(gold, items.filter("l_linenumber < 3").select(F.col("l_orderkey").alias("pred_id"), F.col("l_partkey").alias("ref")))
+    return J.subset_alignment(gold, items.select(F.col("l_orderkey").alias("pred_id"), F.col("l_partkey").alias("ref")))
 
 
 @query(
     "g08_remedy_overlap",
-    """with actions as (select distinct l_linestatus || l_returnflag as origin, l_partkey % 200 as cause, l_suppkey % 20 as action from lineitem where l_quantity > 40), sizes as (select origin, cause, count(*) as n from actions group by all),
+    """with actions as (select distinct l_linestatus || l_returnflag as origin, l_partkey as cause, l_suppkey as action from lineitem), sizes as (select origin, cause, count(*) as n from actions group by all),
     shared as (select a.origin, a.cause as left_cause, b.cause as right_cause, count(*) as shared from actions a join actions b on a.origin = b.origin and a.action = b.action and a.cause < b.cause group by all)
     select s.origin, s.left_cause, s.right_cause, s.shared from shared s join sizes a on a.origin = s.origin and a.cause = s.left_cause join sizes b on b.origin = s.origin and b.cause = s.right_cause where s.shared >= 2 and s.shared >= 0.6 * (a.n + b.n - s.shared)""",
 )
 def remedy_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Causes that share most of their actions."""
-    rows = read_table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select(F.concat("l_linestatus", "l_returnflag").alias("origin"), (F.col("l_partkey") % 200).alias("cause"), (F.col("l_suppkey") % 20).alias("action"))
+    rows = read_table(spark, sf_dir, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("origin"), F.col("l_partkey").alias("cause"), F.col("l_suppkey").alias("action"))
     return J.remedy_overlap(rows, 2, 0.6)
 
 
@@ -154,14 +154,14 @@ def cited_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j31_new_links",
-    f"""with {_ASSERTION}, late as (select distinct relation_type, source_name, target_name from assertion where tier = 'green' and unit_id % 50 = 1), early as (select distinct relation_type, source_name, target_name from assertion where tier = 'green' and unit_id % 50 = 0)
+    f"""with {_FINE_ASSERTION}, dated as (select relation_type, source_name, target_name, o_orderdate >= date '1995-06-17' as late from assertion join orders on o_orderkey = unit_id where tier = 'green'), late as (select distinct relation_type, source_name, target_name from dated where late), early as (select distinct relation_type, source_name, target_name from dated where not late)
     select * from late l where not exists (select 1 from early e where e.relation_type = l.relation_type and e.source_name = l.source_name and e.target_name = l.target_name)""",
 )
 def new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Green relations of some units that others don't have."""
-    green = C.assertions(S.proposals(spark, sf_dir)).filter("tier = 'green'")
-    key = ["relation_type", "source_name", "target_name"]
-    return green.filter("unit_id % 50 = 1").select(*key).distinct().join(green.filter("unit_id % 50 = 0"), key, "left_anti")
+    """Green relations of the later units, by order date, that earlier ones don't have."""
+    orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id"), (F.col("o_orderdate") >= F.lit("1995-06-17").cast("date")).alias("late"))
+    green = C.assertions(S.proposals(spark, sf_dir, fine=True)).filter("tier = 'green'").join(orders, "unit_id")
+    return J.new_links(green, F.col("late"), ["relation_type", "source_name", "target_name"])
 
 
 @query(

@@ -179,12 +179,12 @@ def sandwiched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "w13_trail_context",
-    f"""with {S.SEGMENT}, ranked as (select *, row_number() over (partition by doc_id, page order by pos) as n from segment where page <= 20)
+    f"""with {S.SEGMENT}, ranked as (select *, row_number() over (partition by doc_id, page order by pos) as n from segment)
     select a.doc_id, a.page, string_agg(b.segment_id, ' ' order by b.page, b.pos) as trail from (select distinct doc_id, page from ranked) a join ranked b on b.doc_id = a.doc_id and b.page between a.page - 3 and a.page - 1 and b.n <= 2 group by a.doc_id, a.page""",
 )
 def trail_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The opening two segments of up to three pages before each page."""
-    segments = S.segments(spark, sf_dir).filter("page <= 20")
+    segments = S.segments(spark, sf_dir)
     n = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("pos"))
     openings = segments.withColumn("n", n).filter("n <= 2").select("doc_id", "page", "pos", "segment_id", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("ahead"))
     reached = openings.select("doc_id", (F.col("page") + F.col("ahead")).alias("page"), F.struct(F.col("page").alias("p"), "pos", "segment_id").alias("s"))
@@ -241,13 +241,13 @@ def unused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     "s02_table_markdown",
     f"""with {S.TABLE_ROW}, capped as (select * from table_row where row <= 60), lined as (select doc_id, row, '| ' || status || ' | ' || line || ' | ' || year || ' |' as md from capped),
     summed as (select *, sum(length(md)) over (partition by doc_id order by row) as chars from lined)
-    select doc_id, count(*) as rows, string_agg(md, chr(10) order by row) as markdown from summed where chars <= 200 group by doc_id having count(*) >= 2""",
+    select doc_id, count(*) as rows, string_agg(md, chr(10) order by row) as markdown from summed where chars <= 6000 group by doc_id having count(*) >= 2""",
 )
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables as Markdown: 60 rows at most, up to a number of characters, and none of a single row."""
     rows = S.table_rows(spark, sf_dir).filter("row <= 60")
     md = F.concat(F.lit("| "), F.concat_ws(" | ", "status", "line", "year"), F.lit(" |"))
     chars = F.sum(F.length("md")).over(Window.partitionBy("doc_id").orderBy("row"))
-    kept = rows.select("doc_id", "row", md.alias("md")).withColumn("chars", chars).filter("chars <= 200")
+    kept = rows.select("doc_id", "row", md.alias("md")).withColumn("chars", chars).filter("chars <= 6000")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("row", "md"))), lambda r: r["md"])
     return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.array_join(lines, "\n").alias("markdown")).filter("rows >= 2")

@@ -96,16 +96,14 @@ def admission_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j36_nearest_runs",
-    f"""with {S.LIVE}, sizes as (select run_id, count(*) as n from live group by run_id), ranked as (select a.run_id, a.n, b.run_id as other, row_number() over (partition by a.run_id order by abs(a.n - b.n), b.run_id) as place, b.n as other_n from sizes a join sizes b on a.run_id <> b.run_id and a.n // 40 = b.n // 40)
-    select run_id, n, min(other_n) as low, max(other_n) as high, count(*) as used from ranked where place <= 2 group by run_id, n""",
+    f"""with {S.LIVE}, sizes as (select run_id, count(*) as n from live group by run_id), distinct_sizes as (select n, count(*) as runs from sizes group by n),
+    others as (select a.n, b.n as other_n, b.runs - (a.n = b.n)::int as runs, coalesce(sum(b.runs - (a.n = b.n)::int) over (partition by a.n order by abs(a.n - b.n), b.n rows between unbounded preceding and 1 preceding), 0) as nearer from distinct_sizes a, distinct_sizes b),
+    ranges as (select n, min(other_n) as low, max(other_n) as high, sum(least(runs, 2 - nearer))::bigint as used from others where runs > 0 and nearer < 2 group by n)
+    select s.run_id, s.n, low, high, coalesce(used, 0) as used from sizes s left join ranges r on s.n = r.n""",
 )
 def nearest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The range that the two runs of the nearest size give, within a size class."""
-    sizes = S.live_events(spark, sf_dir).groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).withColumn("class", F.floor(F.col("n") / 40))
-    other = sizes.select(F.col("run_id").alias("other"), F.col("n").alias("other_n"), "class")
-    near = sizes.join(other, "class").filter("run_id <> other")
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.abs(F.col("n") - F.col("other_n")), "other"))
-    return near.withColumn("place", place).filter("place <= 2").groupBy("run_id", "n").agg(F.min("other_n").alias("low"), F.max("other_n").alias("high"), F.count(F.lit(1)).alias("used"))
+    """The range that the two runs of the nearest size give; of two as near the smaller comes first."""
+    return G.nearest_sizes(S.live_events(spark, sf_dir).groupBy("run_id").agg(F.count(F.lit(1)).alias("n")), "n", 2)
 
 
 @query(

@@ -102,16 +102,11 @@ def open_for_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "u08_additive_answers",
-    """with steps as (select conv_id, turn, list(length(text) % 4) over (partition by conv_id order by turn rows between unbounded preceding and current row) as now, list(length(text) % 4) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as before from conversations)
-    select conv_id, turn, len(now) as answers, coalesce(now[1:len(before)] = before and len(now) = len(before) + 1, len(now) = 1) as additive from steps""",
+    """with lists as (select conv_id, list(turn // 4 order by turn) filter (where role = 'assistant') as after, list(turn // 4 order by turn) filter (where role = 'user') as before from conversations group by conv_id)
+    select conv_id, coalesce(len(before), 0) as old_answers, coalesce(len(after), 0) as new_answers, coalesce(len(after), 0) = coalesce(len(before), 0) + 1 and coalesce(after[1:len(before)] = before, true) as additive from lists""",
 )
 def additive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each answer list is the one before plus exactly one answer."""
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    value = F.length("text") % 4
-    rows = read_table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.collect_list(value).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("now"),
-        F.collect_list(value).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-    )
-    grown = (F.slice("now", F.lit(1), F.size("before")) == F.col("before")) & (F.size("now") == F.size("before") + 1)
-    return rows.select("conv_id", "turn", F.size("now").alias("answers"), grown.alias("additive"))
+    """Whether the assistant's list of places is the user's plus exactly one."""
+    listed = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", F.floor(F.col("turn") / 4).alias("v"))))), lambda s: s["v"])
+    lists = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(listed("user").alias("before"), listed("assistant").alias("after"))
+    return lists.select("conv_id", F.size("before").cast("long").alias("old_answers"), F.size("after").cast("long").alias("new_answers"), R.is_additive(F.col("before"), F.col("after")).alias("additive"))

@@ -69,7 +69,6 @@ def branch_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def precision_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judged claims by language and run, by language, and over all."""
     claims = _claims(spark, sf_dir).withColumn("run", F.col("run").cast("string"))
-    claims.createOrReplaceTempView("judged_claims")
     correct = F.count_if(F.col("found") & (F.col("toxic") == 0))
     totals = claims.groupingSets([["lang", "run"], ["lang"], []], "lang", "run").agg(
         F.count(F.lit(1)).alias("claims"), correct.alias("correct"), F.count_if(F.col("found") & (F.col("toxic") == 1)).alias("partial"), F.round(correct / F.count(F.lit(1)), 6).alias("strict")
@@ -105,12 +104,12 @@ def vote_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a26_contrast_pairs",
-    """with sides as (select l_orderkey // 2 as pair, l_orderkey % 2 as side, list_distinct(list(l_partkey)) as nodes from lineitem where l_orderkey < 100000 group by all)
+    """with sides as (select l_orderkey // 2 as pair, l_orderkey % 2 as side, list_distinct(list(l_partkey)) as nodes from lineitem group by all)
     select a.pair, len(a.nodes) as left_nodes, len(b.nodes) as right_nodes, not list_has_any(a.nodes, b.nodes) as kept from sides a join sides b on a.pair = b.pair and a.side = 0 and b.side = 1""",
 )
 def contrast_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of neighbouring orders that share no part."""
-    sides = read_table(spark, sf_dir, "lineitem").filter("l_orderkey < 100000").groupBy(F.floor(F.col("l_orderkey") / 2).alias("pair"), (F.col("l_orderkey") % 2).alias("side")).agg(F.collect_set("l_partkey").alias("nodes"))
+    sides = read_table(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_orderkey") / 2).alias("pair"), (F.col("l_orderkey") % 2).alias("side")).agg(F.collect_set("l_partkey").alias("nodes"))
     a, b = sides.filter("side = 0").select("pair", F.col("nodes").alias("a")), sides.filter("side = 1").select("pair", F.col("nodes").alias("b"))
     return a.join(b, "pair").select("pair", F.size("a").alias("left_nodes"), F.size("b").alias("right_nodes"), (~F.arrays_overlap("a", "b")).alias("kept"))
 

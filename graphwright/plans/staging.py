@@ -67,9 +67,10 @@ numbered as (
 
 
 def proposals(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame:
-    """proposal(unit_id, row, relation_type, source_name, target_name, read, verdict, structure, condition, record).
+    """proposal(unit_id, row, relation_type, source_name, target_name, read, verdict, structure, condition, record, reviewer, rejected, issue).
 
     Each order line states that its brand may indicate its part, and that its supplier resolves it.
+    The line's number says who reviewed it; some are rejected, and some units have an issue.
     fine: names carry an order or supplier number too, so that the graph has gaps.
     """
     brand, part, cause = F.col("p_brand"), F.col("p_name"), F.col("p_name")
@@ -97,7 +98,10 @@ def proposals(spark: SparkSession, sf_dir: str, fine: bool = False) -> DataFrame
         (F.col("l_linestatus") == "F").alias("structure"),
         F.when(F.col("l_quantity") > 25, F.concat(F.lit("if "), F.col("l_returnflag"))).alias("condition"),
         F.concat_ws(".", F.lit("r"), F.col("l_orderkey"), F.col("l_linenumber")).alias("record"),
-    ).select("unit_id", "row", "side.*", "read", "verdict", "structure", "condition", "record")
+        F.when(F.col("l_linenumber") % 7 == 6, "human").when(F.col("l_linenumber") % 7 == 5, "auto").alias("reviewer"),
+        ((F.col("l_orderkey") + F.col("l_linenumber")) % 23 == 0).alias("rejected"),
+        F.when(F.col("l_orderkey") % 29 == 0, "MISSING_EVIDENCE").when(F.col("l_orderkey") % 31 == 0, "AMBIGUOUS_NAME").alias("issue"),
+    ).select("unit_id", "row", "side.*", "read", "verdict", "structure", "condition", "record", "reviewer", "rejected", "issue")
 
 
 PROPOSAL = """
@@ -113,9 +117,15 @@ named as (
     case l_returnflag when 'A' then 'supported' when 'R' then 'not_supported' end as verdict,
     l_linestatus = 'F' as structure,
     case when l_quantity > 25 then 'if ' || l_returnflag end as condition,
-    'r.' || l_orderkey || '.' || l_linenumber as record
+    'r.' || l_orderkey || '.' || l_linenumber as record,
+    case l_linenumber % 7 when 6 then 'human' when 5 then 'auto' end as reviewer, (l_orderkey + l_linenumber) % 23 = 0 as rejected,
+    case when l_orderkey % 29 = 0 then 'MISSING_EVIDENCE' when l_orderkey % 31 = 0 then 'AMBIGUOUS_NAME' end as issue
   from sides
 )"""
+#: The same with fine names.
+FINE_PROPOSAL = PROPOSAL.replace("'RESOLVED_BY', p_name, s_name from named", "'RESOLVED_BY', p_name || ' ' || l_orderkey % 400, s_name from named").replace(
+    "p_brand as source_name, p_name as target_name from named", "p_brand || ' ' || l_orderkey % 500 as source_name, p_name || ' ' || l_suppkey % 400 as target_name from named"
+)
 
 
 def page_map(spark: SparkSession, sf_dir: str) -> DataFrame:
