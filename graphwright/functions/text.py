@@ -55,15 +55,24 @@ def scoring_words(text: Column, stop: tuple[str, ...] = SCORING_STOP) -> Column:
 
 
 def token_f1(left: Column, right: Column) -> Column:
-    """Harmonic mean of the shares of common words, as multisets; 0 if either side has none."""
-    a, b = scoring_words(left), scoring_words(right)
-    both = F.aggregate(
-        F.array_distinct(a),
-        F.lit(0),
-        lambda n, w: n + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))),
-    )
-    precision, recall = both / F.size(a), both / F.size(b)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0) | (both == 0), 0.0).otherwise(2 * precision * recall / (precision + recall))
+    """Harmonic mean of the shares of common words, as multisets; 0 if either side has none.
+
+    The words of both sides are bound to a lambda variable, so they are made once for a row.
+    """
+
+    def of(words: Column) -> Column:
+        a, b = words["a"], words["b"]
+        both = F.aggregate(
+            F.array_distinct(F.array_intersect(a, b)),
+            F.lit(0),
+            lambda n, w: n + F.least(F.size(F.filter(a, lambda x: x == w)), F.size(F.filter(b, lambda x: x == w))),
+        )
+        # 2 precision recall / (precision + recall), with both bound once as well
+        score = lambda n: F.when((F.size(a) == 0) | (F.size(b) == 0) | (n == 0), 0.0).otherwise(2 * (n / F.size(a)) * (n / F.size(b)) / (n / F.size(a) + n / F.size(b)))
+        return F.get(F.transform(F.array(both), score), F.lit(0))
+
+    bound = F.array(F.struct(scoring_words(left).alias("a"), scoring_words(right).alias("b")))
+    return F.get(F.transform(bound, of), F.lit(0))
 
 
 def names_match(text: Column, name: Column) -> Column:
