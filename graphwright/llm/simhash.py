@@ -21,9 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphwright.llm.words import slices, spread_join
 from graphwright.operators.components import connected_components
-from graphwright.llm.shingles import shingle_groups
-from graphwright.llm.words import slices
 from graphwright.plans.checkpoints import cut
 
 #: Fingerprints that one cell of a partition's index holds, about.
@@ -32,8 +31,6 @@ CELL_FINGERPRINTS = 1 << 16
 PAIR_BLOCK = 1 << 18
 #: Shingles that are hashed at once.
 SHINGLE_BLOCK = 1 << 16
-#: Ids of rows that go are broadcast up to this number, about 16 MB.
-BROADCAST_ROWS = 500_000
 #: Cost of one row sent to a cell, in verified pairs.
 ROW_COST = 200
 
@@ -66,13 +63,22 @@ def simhash(text: str | None, words_in_shingle: int, seeds: tuple[int, ...] = (4
         ones = np.zeros(64, np.int64)
         for at in range(0, len(starts), SHINGLE_BLOCK):
             pairs = zip(starts[at : at + SHINGLE_BLOCK].tolist(), ends[at : at + SHINGLE_BLOCK].tolist(), strict=True)
-            hashes = np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in pairs]), np.uint8).reshape(-1, 8)
-            for byte in range(8):
-                ones[8 * byte : 8 * byte + 8] += np.bincount(hashes[:, byte], minlength=256) @ _BITS
-        prints.append(int.from_bytes(np.packbits(ones * 2 > len(starts)).tobytes(), "big"))
+            ones += bit_counts(np.frombuffer(b"".join([digest(joined[a:b], seed) for a, b in pairs]), np.uint8))
+        prints.append(majority(ones, len(starts)))
     return tuple(prints)
 
 
+def bit_counts(digests: np.ndarray) -> np.ndarray:
+    """How often each of 64 bits is set in digests of 8 bytes, the highest bit of the first byte first."""
+    digests = digests.reshape(-1, 8)
+    return np.concatenate([np.bincount(digests[:, byte], minlength=256) @ _BITS for byte in range(8)])
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that are set in over half of n hashes."""
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, words_in_shingle: int, seeds: tuple[int, ...], *, key: str, text: str) -> DataFrame:
     """(doc_id long, content long, fp_0 .. long): fingerprints as signed longs, one column for each seed.
 
@@ -223,13 +229,15 @@ def flips(bits: int, radius: int) -> list[int]:
 
 
 class Forest:
-    """Components among the rows of one cell; keeps labels only, never pairs."""
+    """Components among the rows of one cell; keeps labels and one partner of each row, never pairs."""
 
     def __init__(self, n: int) -> None:
         self.root = np.arange(n)
+        self.partner = np.arange(n)
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Joins the components of a[i] and b[i]; labels are the smallest rows."""
+        """Joins the components of a[i] and b[i]; labels are the smallest rows, and so are partners of those linked."""
+        np.minimum.at(self.partner, np.maximum(a, b), np.minimum(a, b))
         root = self.root
         while True:
             ra, rb = root[a], root[b]
@@ -285,8 +293,8 @@ def link_runs(forest: Forest, words: list[np.ndarray], radius: int, left: np.nda
 def cell_links(cell: pa.Table, names: list[str], radius: int, low_bits: dict[int, list[int]]) -> pa.Table:
     """Links of one cell: rows at home against each other, and visitors against rows at home.
 
-    Returns (u, v), fingerprints in hex: each row that is linked to an earlier one, with the first of
-    its component.
+    Returns (u, v, near), fingerprints in hex: each row of a component but its first, with the first
+    and with the first row that it is linked to itself, which may be missing.
     """
     prints = np.stack([cell.column(c).to_numpy() for c in names], 1).view(np.uint64)
     part = cell.column("part")[0].as_py()
@@ -309,11 +317,14 @@ def cell_links(cell: pa.Table, names: list[str], radius: int, low_bits: dict[int
             link_runs(forest, words, radius, guests, guest_keys, home, home_keys, mask, ordered=False)
     linked = np.flatnonzero(forest.root != np.arange(len(prints)))
     named = lambda rows: ["".join(f"{word:016X}" for word in row) for row in prints[rows].tolist()]
-    return pa.table({"u": pa.array(named(linked), pa.string()), "v": pa.array(named(forest.root[linked]), pa.string())})
+    near = [name if other else None for name, other in zip(named(forest.partner[linked]), (forest.partner[linked] != linked).tolist(), strict=True)]
+    return pa.table({"u": pa.array(named(linked), pa.string()), "v": pa.array(named(forest.root[linked]), pa.string()), "near": pa.array(near, pa.string())})
 
 
 def near_links(prints: DataFrame, words: int, radius: int, parts: range | None = None) -> DataFrame:
-    """(u, v), names of fingerprints (see node_name) that connect what is linked; prints are distinct.
+    """(u, v, near), names of fingerprints (see node_name); u and v connect what is linked, near is one that u is linked to, or null.
+
+    prints are distinct.
 
     A partition's index is cut into cells by the first bits of the key, as many as keep a cell at
     about CELL_FINGERPRINTS rows. A row is at home in one cell and visits the cells whose first bits
@@ -359,7 +370,7 @@ def near_links(prints: DataFrame, words: int, radius: int, parts: range | None =
     def linked(cell: pa.Table) -> pa.Table:
         return cell_links(cell, names, radius, low)
 
-    return cells.select("part", "cell", "block_a", "block_b", "side", "reach", *names).groupBy("part", "cell", "block_a", "block_b").applyInArrow(linked, "u string, v string")
+    return cells.select("part", "cell", "block_a", "block_b", "side", "reach", *names).groupBy("part", "cell", "block_a", "block_b").applyInArrow(linked, "u string, v string, near string")
 
 
 def node_name(names: list[str]) -> Column:
@@ -391,37 +402,10 @@ def simhash_groups(
     """
     names = [f"fp_{i}" for i in range(len(seeds))]
     each = cut(fingerprints(docs, words_in_shingle, seeds, key=key, text=text))
-    distinct = cut(each.groupBy(*names).agg(F.min("doc_id").alias("doc_id")))
+    distinct = cut(each.groupBy(*names).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows")))
     groups = connected_components(near_links(distinct, len(seeds), radius))
     placed = distinct.withColumn("_node", node_name(names)).join(groups, F.col("_node") == F.col("node"), "left")
-    placed = placed.withColumn("component", F.coalesce("component", "_node"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = placed.join(least, "component").select(*[F.col(c).alias(f"_{c}") for c in names], "component_id", F.col("component").alias("group_name"))
-    same = [F.col(c) == F.col(f"_{c}") for c in names]
-    return each.join(labels, same).select("doc_id", "content", *names, "component_id", "group_name")
-
-
-def one_of_each_group(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
-    """docs without near-duplicates: of each group (see shingle_groups) the row with the smallest id stays, whole.
-
-    If several rows of a group have that id, the one with the smallest hash of its text stays, and
-    of equal ones a single row. Rows with null ids all stay. The rows that go are few and slim;
-    they are broadcast only if counted to be at most BROADCAST_ROWS.
-    """
-    groups = shingle_groups(docs, key=key, text=text, **options).filter("doc_id is not null")
-    groups = cut(groups.groupBy("doc_id", "content", "component_id", "group_name").agg(F.count(F.lit(1)).alias("copies")))
-    first = groups.filter("doc_id = component_id").groupBy(F.col("group_name").alias("_g")).agg(F.min("content").alias("_c"))
-    judged = groups.join(first, groups["group_name"] == first["_g"], "left")
-    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("content") == F.col("_c"))
-    gone = cut(judged.filter(~stays).select(F.col("doc_id").alias("_d"), F.col("content").alias("_c")))
-    twice = cut(groups.filter("copies > 1 and doc_id = component_id").select(F.col("doc_id").alias("_d"), F.col("content").alias("_c")))
-    same = (F.col(key).cast("long") == F.col("_d")) & (content_hash(text) == F.col("_c"))
-
-    def bounded(rows: DataFrame) -> DataFrame:
-        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-    kept = docs.join(bounded(gone), same, "left_anti")
-    if twice.isEmpty():
-        return kept
-    repeated = kept.join(bounded(twice), same, "left_semi").dropDuplicates([key, text])
-    return kept.join(bounded(twice), same, "left_anti").unionByName(repeated)
+    placed = cut(placed.select(*names, "doc_id", "rows", F.coalesce("component", "_node").alias("component")))
+    least = cut(placed.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    labels = cut(spread_join(placed.drop("doc_id"), least, ["component"], "members").select(*names, "rows", "component_id", F.col("component").alias("group_name")))
+    return spread_join(each, labels, names, "rows").select("doc_id", "content", *names, "component_id", "group_name")

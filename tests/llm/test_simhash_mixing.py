@@ -98,12 +98,16 @@ def test_thresholds_keep_the_pigeonhole_promise():
 
 def test_one_of_each_group_stays(spark, documents):
     base = " ".join(f"w{i}" for i in range(200))
-    rows = [(3, base), (1, base + " end"), (2, base), (2, base), (9, "quite another text with its own words"), (None, base), (None, base), (1, "a second text under the same id here")]
-    kept = Counter((r["doc_id"], r["text"]) for r in simhash.one_of_each_group(documents(rows)).collect())
-    assert kept == Counter([(1, base + " end"), (9, rows[4][1]), (None, base), (None, base), (1, rows[7][1])])
-    assert simhash.one_of_each_group(documents([])).count() == 0
-    twice = simhash.one_of_each_group(documents([(1, base), (1, base)]))
+    rows = [(3, base), (1, base + " end"), (2, base), (2, base), (9, "quite another text with its own words"), (None, base), (None, base), (1, "a second text under the same id here"), (None, "no id but words of its own here"), (None, "no id but words of its own here")]
+    kept = Counter((r["doc_id"], r["text"]) for r in shingles.one_of_each_group(documents(rows)).collect())
+    assert kept == Counter([(1, base + " end"), (9, rows[4][1]), (1, rows[7][1]), (None, rows[8][1])])
+    assert shingles.one_of_each_group(documents([])).count() == 0
+    twice = shingles.one_of_each_group(documents([(1, base), (1, base)]))
     assert twice.count() == 1
+    named = documents(rows).withColumnsRenamed({"size": "kept_id", "lang": "_D", "source": "_c", "n_chars": "row"})
+    assert shingles.one_of_each_group(named).columns == named.columns
+    assert shingles.one_of_each_group(named).count() == 4
+    assert shingles.one_of_each_group(documents([(3, None), (2, ""), (4, " ")])).first()["doc_id"] == 2
 
 
 def exact_sets(text, k=5):
