@@ -9,6 +9,8 @@ Only counts per arc reach the driver (shards * points numbers, a fixed bound). T
 done for whole runs of rows: the outcome is a list of segments of the ring order, each with its
 shard and first slot. A row finds its segment from its rank in ring order, and ranks come from
 counts of small cells plus a row number inside each cell, so that no task ever holds a hot arc.
+Equal texts share a cell unless they have more copies than a cell is to hold. Points, cells and
+segments are looked up in broadcast tables of fixed size; no Python runs on the rows.
 """
 
 from __future__ import annotations
@@ -17,15 +19,20 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphwright.plans.checkpoints import cut
+
 #: Points of each shard on the ring.
 VIRTUAL_NODES = 128
 #: Aimed rows of a cell, at least; grows with the table so that cells stay countable.
 CELL_ROWS = 500
 CELLS = 2_000_000
+#: Texts with more copies than a cell holds are broadcast up to this number.
+BROADCAST_TEXTS = 200_000
+#: Leading bits of a position by which its arc is looked up.
+LOOKUP_BITS = 12
 
 
 def ring_points(shards: int, virtual_nodes: int = VIRTUAL_NODES) -> tuple[np.ndarray, np.ndarray]:
@@ -104,15 +111,20 @@ def shard_rows(
     make up the whole table, and an empty table gives an empty result. Columns named shard, slot or
     _ring_* are replaced.
     """
+    spark = docs.sparkSession
     points, owner = ring_points(shards, virtual_nodes)
     keep = [c for c in docs.columns if c not in ("shard", "slot") and not c.startswith("_ring_")]
     arcs = len(points)
 
-    @F.pandas_udf("int")
-    def arc_of(position: pd.Series) -> pd.Series:
-        return pd.Series((np.searchsorted(points, position.to_numpy()) % arcs).astype(np.int32))
+    # the arc of a position: points before its stretch of the ring, and those of the stretch that are below it
+    high = points >> (32 - LOOKUP_BITS)
+    stretches = [(b, int(np.searchsorted(high, b)), points[high == b].tolist()) for b in range(1 << LOOKUP_BITS)]
+    lookup = F.broadcast(spark.createDataFrame(stretches, "_ring_high int, _ring_before int, _ring_points array<bigint>"))
+    position = ring_position(F.col(text))
+    placed = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("_ring_high", F.shiftright(position, 32 - LOOKUP_BITS).cast("int")).join(lookup, "_ring_high", "left")
+    below = F.size(F.filter("_ring_points", lambda p: p < position))
+    placed = placed.withColumn("_ring_arc", F.pmod(F.col("_ring_before") + below, F.lit(arcs)).cast("int")).drop("_ring_high", "_ring_before", "_ring_points")
 
-    placed = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("_ring_arc", arc_of(ring_position(F.col(text))))
     per_arc = np.zeros(arcs, np.int64)
     for row in placed.groupBy("_ring_arc").count().collect():  # at most shards * virtual_nodes rows
         per_arc[row["_ring_arc"]] = row["count"]
@@ -121,27 +133,27 @@ def shard_rows(
     cells = np.maximum(1, -(-per_arc // cell_rows))
     segments = walk(per_arc, owner, capacities(total, shards, slack))
     first_rank = np.concatenate([[0], np.cumsum(per_arc)[:-1]]).astype(np.int64)
-
-    @F.pandas_udf("int")
-    def cell_of(arc: pd.Series, spread: pd.Series) -> pd.Series:
-        return pd.Series(np.mod(spread.to_numpy(), cells[arc.to_numpy()]).astype(np.int32))
-
-    @F.pandas_udf("shard int, slot long")
-    def segment_of(arc: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        at = first_rank[arc.to_numpy()] + rank.to_numpy()
-        run = np.searchsorted(segments.starts, at, side="right") - 1
-        return pd.DataFrame({"shard": segments.shard[run].astype(np.int32), "slot": segments.slot[run] + at - segments.starts[run]})
+    begins = np.searchsorted(segments.starts, first_rank, side="right") - 1
+    ends = np.searchsorted(segments.starts, first_rank + per_arc, side="left")
+    runs = [[(int(segments.starts[i]), int(segments.shard[i]), int(segments.slot[i])) for i in range(max(0, begins[arc]), ends[arc])] for arc in range(arcs)]
+    by_arc = [(arc, int(cells[arc]), int(first_rank[arc]), runs[arc]) for arc in range(arcs)]
+    by_arc = F.broadcast(spark.createDataFrame(by_arc, "_ring_arc int, _ring_cells bigint, _ring_first bigint, _ring_runs array<struct<start:bigint,shard:int,slot:bigint>>"))
 
     content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    spread = F.shiftrightunsigned(F.xxhash64(F.col(key)), 1)
-    placed = placed.withColumn("_ring_cell", cell_of("_ring_arc", spread)).withColumn("_ring_content", content)
+    placed = placed.withColumn("_ring_content", content)
+    # hot texts: each has more rows than a cell, so there are fewer of them than cells
+    hot = placed.groupBy("_ring_content").agg(F.count(F.lit(1)).alias("_ring_n")).filter(F.col("_ring_n") > cell_rows).select("_ring_content", F.lit(True).alias("_ring_hot"))
+    hot = cut(hot)
+    placed = placed.join(F.broadcast(hot) if hot.count() <= BROADCAST_TEXTS else hot, "_ring_content", "left").join(by_arc.select("_ring_arc", "_ring_cells"), "_ring_arc")
+    spread = F.when(F.col("_ring_hot"), F.xxhash64("_ring_content", F.col(key))).otherwise(F.xxhash64("_ring_content", F.lit(1)))
+    placed = placed.withColumn("_ring_cell", F.pmod(spread, F.col("_ring_cells")).cast("int"))
     in_cell = Window.partitionBy("_ring_arc", "_ring_cell")
     ordered = placed.withColumn("_ring_row", F.row_number().over(in_cell.orderBy("_ring_content", F.col(key))))
     counts = placed.groupBy("_ring_arc", "_ring_cell").agg(F.count(F.lit(1)).alias("_ring_n"))
     earlier = Window.partitionBy("_ring_arc").orderBy("_ring_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_ring_arc", "_ring_cell", F.coalesce(F.sum("_ring_n").over(earlier), F.lit(0)).alias("_ring_offset"))
-    ranked = ordered.join(offsets, ["_ring_arc", "_ring_cell"])
-    rank = F.col("_ring_offset") + F.col("_ring_row") - 1
-    out = ranked.withColumn("_ring_at", segment_of("_ring_arc", rank))
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("_ring_at.shard").alias("shard"), F.col("_ring_at.slot").alias("slot"))
-
+    ranked = ordered.join(offsets, ["_ring_arc", "_ring_cell"]).join(by_arc.select("_ring_arc", "_ring_first", "_ring_runs"), "_ring_arc")
+    rank = F.col("_ring_first") + F.col("_ring_offset") + F.col("_ring_row") - 1
+    run = F.element_at(F.filter("_ring_runs", lambda r: r["start"] <= F.col("_ring_rank")), -1)
+    out = ranked.withColumn("_ring_rank", rank).withColumn("_ring_at", run)
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("_ring_at.shard").alias("shard"), (F.col("_ring_at.slot") + F.col("_ring_rank") - F.col("_ring_at.start")).alias("slot"))
