@@ -140,9 +140,15 @@ def word_kind(word: str) -> tuple[int, int, int]:
 
 
 def word_kinds(words: list[str]) -> list[np.ndarray]:
-    """(hashes, flags, hashes of attached units) of words."""
-    hashes, flags, units = zip(*map(word_kind, words), strict=True) if words else ((), (), ())
-    return [np.array(hashes, np.uint64), np.array(flags, np.uint8), np.array(units, np.uint64)]
+    """(hashes, flags, hashes of attached units) of words; plain words, which most are, take a short way."""
+    lows = list(map(str.lower, words))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, lows), np.uint64, len(words))
+    flags = np.fromiter((CAPITAL if w[0].isupper() else 0 for w in words), np.uint8, len(words))
+    units = np.zeros(len(words), np.uint64)
+    for i, (word, low) in enumerate(zip(words, lows, strict=True)):
+        if not word.isalpha() or low in UNITS or low in NUMBER_WORDS:
+            hashes[i], flags[i], units[i] = word_kind(word)
+    return [hashes, flags, units]
 
 
 class Reading:
