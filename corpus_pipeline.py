@@ -1,7 +1,10 @@
 """A corpus pipeline of five stages, each by one operator of graphwright.llm.
 
 Stages take (spark, docs, sf_dir) and return the columns of documents; the last one adds shard and
-slot. Each works on all rows that its predecessor kept.
+slot. Each works on all rows that its predecessor kept. Null and empty texts are clean, are each
+other's near-duplicates, hold no benchmark item and weigh nothing in the mix, so of them none is
+left after it. Ids may be null or repeat: rows are told apart by id and text. Of equal rows one
+stays. Further columns are kept, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from graphwright.llm.decontaminate import without_leaks
 from graphwright.llm.mixing import materialised
 from graphwright.llm.sharding import shard_rows
-from graphwright.llm.simhash import one_of_each_group
+from graphwright.llm.shingles import one_of_each_group
 from graphwright.llm.toxicity import score_toxicity
 from graphwright.plans.checkpoints import cut
 from graphwright.sources.tables import read_table
@@ -22,8 +25,10 @@ BATCH_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Has texts sent to Python in small batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Has texts sent to Python in small batches, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's own default, for slim rows
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
