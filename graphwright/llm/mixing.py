@@ -18,6 +18,8 @@ LEVEL_BITS = 12
 LEVELS = 3
 #: Thresholds of at most so many sources are broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 20_000
+#: What mix_sources adds.
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_passes")
 
 
 def row_hash(id_column: Column) -> Column:
@@ -121,29 +123,23 @@ def mix_sources(
     takes the row; sizes times passes sum up to near the source's target, at most half a row (of
     rows with one hash) off it. Rows with the same id share a hash and are taken alike, so reruns
     agree and repeated rows stay together. A null source is a source of its own, in last place. An
-    empty table gives an empty result; sources without words have target 0 and are not taken.
-    Other columns are kept; columns named mix_* are replaced.
+    empty table gives an empty result; sources without words have target 0 and are not taken, nor
+    are rows without words beyond whole passes of their source. All columns are kept but those of
+    the four names, which are replaced.
     """
     slim = cut(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), row_hash(F.col(key)).alias("h")))
     ends = _budgeted(slim, weights, share, cap)
-    names = {c: f"_mix_{c}" for c in ends.columns}
-    ends = ends.select(*[F.col(c).alias(n) for c, n in names.items()])
-    fixed = [c for c in docs.columns if not c.startswith(("mix_", "_mix_"))]
-    joined = docs.select(*[F.col(f"`{c}`") for c in fixed], word_count(F.col(text)).alias("mix_size"), row_hash(F.col(key)).alias("_mix_h")).join(
-        ends, F.col(source).eqNullSafe(F.col("_mix_source")), "left"
-    )
-    passes = F.col("_mix_full") + (F.col("_mix_h") < F.col("_mix_threshold")).cast("long")
-    return joined.select(
-        *[F.col(f"`{c}`") for c in fixed],
-        "mix_size",
-        F.col("_mix_source_size").alias("mix_source_size"),
-        F.col("_mix_target").alias("mix_target"),
-        passes.alias("mix_passes"),
-    )
-
-
-def materialised(docs: DataFrame, **options: object) -> DataFrame:
-    """The mix itself: the columns of docs, each row as often as the mix takes it."""
-    mixed = mix_sources(docs, **options)
+    # the rows' own columns travel as one, so that no name of theirs can clash
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
+    rows = docs.select(kept.alias("row"), F.col(source).alias("of"), word_count(F.col(text)).alias("mix_size"), row_hash(F.col(key)).alias("h"))
+    joined = rows.join(ends, F.col("of").eqNullSafe(F.col("source")), "left")
+    passes = F.col("full") + (F.col("h") < F.col("threshold")).cast("long")
+    return joined.select("row.*", "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), passes.alias("mix_passes"))
+
+
+def materialised(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", **options: object) -> DataFrame:
+    """The mix itself: the columns of docs, whatever their names, each row as often as the mix takes it."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"), F.col(source).alias("source"), F.col(key).alias("id"))
+    mixed = mix_sources(packed, text="text", source="source", key="id", **options)
     times = F.sequence(F.lit(1).cast("long"), F.col("mix_passes"))
-    return mixed.filter("mix_passes > 0").withColumn("_mix_turn", F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed.filter("mix_passes > 0").select("row", F.explode(times)).select("row.*")

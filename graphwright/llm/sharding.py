@@ -108,20 +108,22 @@ def shard_rows(
     With slack 0 the numbers of rows of any two shards differ by one at most; with slack s no shard
     exceeds (1 + s) times the mean, and fewer rows leave their own arc. Null ids and texts are
     allowed (a null text counts as empty), repeated rows get slots of their own, a single text may
-    make up the whole table, and an empty table gives an empty result. Columns named shard, slot or
-    _ring_* are replaced.
+    make up the whole table, and an empty table gives an empty result. All columns are kept but
+    those named shard and slot, which are replaced.
     """
     spark = docs.sparkSession
     points, owner = ring_points(shards, virtual_nodes)
-    keep = [c for c in docs.columns if c not in ("shard", "slot") and not c.startswith("_ring_")]
     arcs = len(points)
+    # the rows' own columns travel as one, so that no name of theirs can clash
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")])
+    rows = docs.select(kept.alias("_ring_own"), F.col(key).alias("_ring_key"), F.col(text).alias("_ring_text"))
 
     # the arc of a position: points before its stretch of the ring, and those of the stretch that are below it
     high = points >> (32 - LOOKUP_BITS)
     stretches = [(b, int(np.searchsorted(high, b)), points[high == b].tolist()) for b in range(1 << LOOKUP_BITS)]
     lookup = F.broadcast(spark.createDataFrame(stretches, "_ring_high int, _ring_before int, _ring_points array<bigint>"))
-    position = ring_position(F.col(text))
-    placed = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("_ring_high", F.shiftright(position, 32 - LOOKUP_BITS).cast("int")).join(lookup, "_ring_high", "left")
+    position = ring_position(F.col("_ring_text"))
+    placed = rows.withColumn("_ring_high", F.shiftright(position, 32 - LOOKUP_BITS).cast("int")).join(lookup, "_ring_high", "left")
     below = F.size(F.filter("_ring_points", lambda p: p < position))
     placed = placed.withColumn("_ring_arc", F.pmod(F.col("_ring_before") + below, F.lit(arcs)).cast("int")).drop("_ring_high", "_ring_before", "_ring_points")
 
@@ -139,16 +141,16 @@ def shard_rows(
     by_arc = [(arc, int(cells[arc]), int(first_rank[arc]), runs[arc]) for arc in range(arcs)]
     by_arc = F.broadcast(spark.createDataFrame(by_arc, "_ring_arc int, _ring_cells bigint, _ring_first bigint, _ring_runs array<struct<start:bigint,shard:int,slot:bigint>>"))
 
-    content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    placed = placed.withColumn("_ring_content", content)
+    content = F.xxhash64(F.coalesce(F.col("_ring_text"), F.lit("")))
+    placed = placed.withColumn("_ring_content", content).drop("_ring_text")
     # hot texts: each has more rows than a cell, so there are fewer of them than cells
     hot = placed.groupBy("_ring_content").agg(F.count(F.lit(1)).alias("_ring_n")).filter(F.col("_ring_n") > cell_rows).select("_ring_content", F.lit(True).alias("_ring_hot"))
     hot = cut(hot)
     placed = placed.join(F.broadcast(hot) if hot.count() <= BROADCAST_TEXTS else hot, "_ring_content", "left").join(by_arc.select("_ring_arc", "_ring_cells"), "_ring_arc")
-    spread = F.when(F.col("_ring_hot"), F.xxhash64("_ring_content", F.col(key))).otherwise(F.xxhash64("_ring_content", F.lit(1)))
+    spread = F.when(F.col("_ring_hot"), F.xxhash64("_ring_content", "_ring_key")).otherwise(F.xxhash64("_ring_content", F.lit(1)))
     placed = placed.withColumn("_ring_cell", F.pmod(spread, F.col("_ring_cells")).cast("int"))
     in_cell = Window.partitionBy("_ring_arc", "_ring_cell")
-    ordered = placed.withColumn("_ring_row", F.row_number().over(in_cell.orderBy("_ring_content", F.col(key))))
+    ordered = placed.withColumn("_ring_row", F.row_number().over(in_cell.orderBy("_ring_content", "_ring_key")))
     counts = placed.groupBy("_ring_arc", "_ring_cell").agg(F.count(F.lit(1)).alias("_ring_n"))
     earlier = Window.partitionBy("_ring_arc").orderBy("_ring_cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_ring_arc", "_ring_cell", F.coalesce(F.sum("_ring_n").over(earlier), F.lit(0)).alias("_ring_offset"))
@@ -156,4 +158,4 @@ def shard_rows(
     rank = F.col("_ring_first") + F.col("_ring_offset") + F.col("_ring_row") - 1
     run = F.element_at(F.filter("_ring_runs", lambda r: r["start"] <= F.col("_ring_rank")), -1)
     out = ranked.withColumn("_ring_rank", rank).withColumn("_ring_at", run)
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("_ring_at.shard").alias("shard"), (F.col("_ring_at.slot") + F.col("_ring_rank") - F.col("_ring_at.start")).alias("slot"))
+    return out.select("_ring_own.*", F.col("_ring_at.shard").alias("shard"), (F.col("_ring_at.slot") + F.col("_ring_rank") - F.col("_ring_at.start")).alias("slot"))
