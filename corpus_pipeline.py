@@ -10,6 +10,7 @@ stays. Further columns are kept, whatever their names. An empty table gives an e
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphwright.llm.decontaminate import without_leaks
 from graphwright.llm.mixing import materialised
@@ -36,7 +37,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
     slim = docs.select("doc_id", "text")
-    return score_toxicity(docs, slim, labels).filter("toxicity < 0.5").select(*docs.columns)
+    # whole rows travel as one column, so that no name of theirs can clash
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return score_toxicity(packed, slim, labels).filter("toxicity < 0.5").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
