@@ -98,3 +98,26 @@ def remedy_overlap(actions: DataFrame, least_shared: int, least_share: float) ->
     left, right = sets.toDF("origin", "left_cause", "na", "sa"), sets.toDF("origin", "right_cause", "nb", "sb")
     both = pairs.join(left, ["origin", "left_cause"]).join(right, ["origin", "right_cause"]).withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long"))
     return both.filter((F.col("shared") >= least_shared) & (F.col("shared") >= F.lit(least_share) * (F.col("na") + F.col("nb") - F.col("shared")))).select("origin", "left_cause", "right_cause", "shared")
+
+
+def placed_before(tables: DataFrame, blocks: DataFrame, near: float) -> DataFrame:
+    """(page, top, before_block): the first block, by its top, that doesn't stand above a table of its page; null at the end of the page.
+
+    Blocks and tables of a page are put in one order, and each table takes the next block after it,
+    so no table is compared with every block.
+    """
+    rows = blocks.select("page", F.col("top").alias("at"), "pos", F.lit(1).alias("_block"), F.lit(None).cast("double").alias("top"))
+    rows = rows.unionByName(tables.select("page", (F.col("top") - near).alias("at"), F.lit(None).cast("long").alias("pos"), F.lit(0).alias("_block"), F.col("top").cast("double").alias("top")))
+    after = Window.partitionBy("page").orderBy("at", "_block", "pos").rowsBetween(1, Window.unboundedFollowing)
+    found = rows.withColumn("before_block", F.first("pos", ignorenulls=True).over(after))
+    return found.filter("_block = 0").select("page", "top", "before_block").distinct()
+
+
+def outside_tables(blocks: DataFrame, tables: DataFrame, near: float) -> DataFrame:
+    """Blocks that no table of their page holds: none whose box, and whose words without spaces, hold the block's."""
+    t = tables.select(F.col("page").alias("_p"), F.col("top").alias("_a"), F.col("bottom").alias("_b"), F.col("x0").alias("_l"), F.col("x1").alias("_r"), F.replace("words", F.lit(" "), F.lit("")).alias("_w"))
+    inside = (
+        (F.col("page") == F.col("_p")) & (F.col("top") >= F.col("_a") - near) & (F.col("top") <= F.col("_b") + near)
+        & (F.col("x0") >= F.col("_l") - near) & (F.col("x1") <= F.col("_r") + near) & F.col("_w").contains(F.replace("words", F.lit(" "), F.lit("")))
+    )
+    return blocks.join(t, inside, "left_anti")

@@ -45,3 +45,17 @@ def weighted_share(judged: DataFrame, group: str) -> DataFrame:
         F.round(F.col("yes") / F.col("all"), 6).alias("lower"),
         F.round((F.col("yes") + F.col("all") - F.col("known")) / F.col("all"), 6).alias("upper"),
     )
+
+
+def micro_recall(claims: DataFrame, family: str) -> DataFrame:
+    """(family, hits, total, low, high): claims found of all claims, with the 95 % interval."""
+    totals = claims.groupBy(family).agg(F.count_if("found").alias("hits"), F.count(F.lit(1)).alias("total"))
+    low, high = wilson(F.col("hits"), F.col("total"))
+    return totals.select(family, "hits", "total", low.alias("low"), high.alias("high"))
+
+
+def merge_effect(relations: DataFrame, group: str, before: tuple[Column, Column], after: tuple[Column, Column]) -> DataFrame:
+    """(group, edges_before, edges_after, edges_delta, sources_delta): distinct edges and sources under two namings."""
+    count = lambda ends: F.count_distinct(F.concat_ws("|", *ends))
+    sizes = relations.groupBy(group).agg(count(before).alias("edges_before"), count(after).alias("edges_after"), F.count_distinct(before[0]).alias("_b"), F.count_distinct(after[0]).alias("_a"))
+    return sizes.select(group, "edges_before", "edges_after", (F.col("edges_after") - F.col("edges_before")).alias("edges_delta"), (F.col("_a") - F.col("_b")).alias("sources_delta"))
