@@ -134,7 +134,7 @@ def corrupt_text(text: Column) -> Column:
 def reading_quality(text: Column) -> Column:
     """A proxy for the quality of recognised text, 0 to 1, four digits.
 
-    Weights: printable .30, letters and digits .25, length to 160 .20, words to 18 .25, less .60 each
+    Fixed values: printable .30, letters and digits .25, length to 160 .20, words to 18 .25, less .60 each
     for the shares of replacement and control characters.
     """
     value = F.btrim(text, F.lit(" \t\r\n"))

@@ -276,6 +276,7 @@ def unit_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pricing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model names matched to price lists by ordered prefixes, with a default."""
+    # Names of models and of their price lists.
     names = F.array(*[F.lit(m) for m in ("gpt-6-luna", "gpt-6-luna-2026", "gpt-5.6-sol-x", "gpt-5.6", "other", "GPT-5.4-mini ")])
     m = F.lower(F.btrim(F.element_at(names, (F.col("event_id") % 6 + 1).cast("int"))))
     key = F.when(m.isin("gpt-5.6", "gpt-5.6-sol") | m.startswith("gpt-5.6-sol-"), "gpt-5.6-sol")
