@@ -330,10 +330,9 @@ def window_bitmap(items: DataFrame) -> np.ndarray:
     """The bitmap of all hashes of items(hash); at most 2 ** FILTER_BITS / 64 rows reach the driver."""
     bit = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
     mask = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - FILTER_BITS}) & 63L as int))")
-    cells = items.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(mask).alias("mask")).collect()
+    cells = items.groupBy(F.shiftright(bit, 6).alias("cell")).agg(F.bit_or(mask).alias("mask")).toArrow()
     out = np.zeros((1 << FILTER_BITS) // 64, np.uint64)
-    for row in cells:
-        out[row["cell"]] = np.uint64(row["mask"] & 0xFFFFFFFFFFFFFFFF)
+    out[cells.column("cell").to_numpy().astype(np.int64)] = cells.column("mask").to_numpy().astype(np.int64).view(np.uint64)
     return out.view(np.uint8)
 
 
