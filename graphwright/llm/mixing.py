@@ -129,12 +129,12 @@ def mix_sources(
     """
     slim = cut(docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size"), row_hash(F.col(key)).alias("h")))
     ends = _budgeted(slim, weights, share, cap)
-    # the rows' own columns travel as one, so that no name of theirs can clash
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ADDED])
-    rows = docs.select(kept.alias("row"), F.col(source).alias("of"), word_count(F.col(text)).alias("mix_size"), row_hash(F.col(key)).alias("h"))
+    # the rows' own columns get names that clash with none below, and theirs back at the end
+    own = [c for c in docs.columns if c not in ADDED]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)], F.col(source).alias("of"), word_count(F.col(text)).alias("mix_size"), row_hash(F.col(key)).alias("h"))
     joined = rows.join(ends, F.col("of").eqNullSafe(F.col("source")), "left")
     passes = F.col("full") + (F.col("h") < F.col("threshold")).cast("long")
-    return joined.select("row.*", "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), passes.alias("mix_passes"))
+    return joined.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), passes.alias("mix_passes"))
 
 
 def materialised(docs: DataFrame, *, text: str = "text", source: str = "source", key: str = "doc_id", **options: object) -> DataFrame:

@@ -114,9 +114,9 @@ def shard_rows(
     spark = docs.sparkSession
     points, owner = ring_points(shards, virtual_nodes)
     arcs = len(points)
-    # the rows' own columns travel as one, so that no name of theirs can clash
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")])
-    rows = docs.select(kept.alias("_ring_own"), F.col(key).alias("_ring_key"), F.col(text).alias("_ring_text"))
+    # the rows' own columns get names that clash with none below, and theirs back at the end
+    own = [c for c in docs.columns if c not in ("shard", "slot")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)], F.col(key).alias("_ring_key"), F.col(text).alias("_ring_text"))
 
     # the arc of a position: points before its stretch of the ring, and those of the stretch that are below it
     high = points >> (32 - LOOKUP_BITS)
@@ -158,4 +158,4 @@ def shard_rows(
     rank = F.col("_ring_first") + F.col("_ring_offset") + F.col("_ring_row") - 1
     run = F.element_at(F.filter("_ring_runs", lambda r: r["start"] <= F.col("_ring_rank")), -1)
     out = ranked.withColumn("_ring_rank", rank).withColumn("_ring_at", run)
-    return out.select("_ring_own.*", F.col("_ring_at.shard").alias("shard"), (F.col("_ring_at.slot") + F.col("_ring_rank") - F.col("_ring_at.start")).alias("slot"))
+    return out.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(own)], F.col("_ring_at.shard").alias("shard"), (F.col("_ring_at.slot") + F.col("_ring_rank") - F.col("_ring_at.start")).alias("slot"))
