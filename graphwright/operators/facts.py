@@ -26,8 +26,11 @@ def alignment_edges(compatible: DataFrame, gold: DataFrame, predictions: DataFra
     are EXACT; others are as judged(gold_fact, pred_fact, judgment), and EQUIVALENT ones are edges if
     their hard parts, types, codes and kinds, agree. Weights are the obligations covered.
     """
-    g = gold.select(F.col("fact_id").alias("gold_fact"), F.col("meaning").alias("gm"), F.col("hard").alias("gh"), F.col("evidence").alias("ge")).dropDuplicates(["gold_fact"])
-    p = predictions.select(F.col("fact_id").alias("pred_fact"), F.col("meaning").alias("pm"), F.col("hard").alias("ph"), F.col("evidence").alias("pe")).dropDuplicates(["pred_fact"])
+    g = gold.select(F.col("fact_id").alias("gold_fact"), F.col("meaning").alias("gm"), F.col("hard").alias("gh"), F.col("evidence").alias("ge"))
+    p = predictions.select(F.col("fact_id").alias("pred_fact"), F.col("meaning").alias("pm"), F.col("hard").alias("ph"), F.col("evidence").alias("pe"))
+    # of repeated facts the least counts
+    g = g.groupBy("gold_fact").agg(F.min(F.struct("gm", "gh", "ge")).alias("g")).select("gold_fact", "g.*")
+    p = p.groupBy("pred_fact").agg(F.min(F.struct("pm", "ph", "pe")).alias("p")).select("pred_fact", "p.*")
     rows = compatible.join(g, "gold_fact").join(p, "pred_fact").join(judgments, ["gold_fact", "pred_fact"], "left")
     exact = (F.col("gm") == F.col("pm")) & F.arrays_overlap("ge", "pe")
     edge = exact | (F.coalesce(F.col("judgment") == "EQUIVALENT", F.lit(False)) & (F.col("gh") == F.col("ph")))

@@ -40,8 +40,8 @@ def last_attempt(log: DataFrame) -> DataFrame:
 
 
 def latest_items(log: DataFrame) -> DataFrame:
-    """The last event of each item in a run, repeated sequence numbers counting once."""
-    once = log.dropDuplicates(["run_id", "seq"])
+    """The last event of each item in a run, of events with one sequence number the least counts."""
+    once = log.groupBy("run_id", "seq").agg(F.min(F.struct("item", "kind")).alias("e")).select("run_id", "seq", "e.*")
     return once.groupBy("run_id", "item").agg(F.max(F.struct("seq", "kind")).alias("e"), F.count(F.lit(1)).alias("events")).select(
         "run_id", "item", F.col("e.seq").alias("seq"), F.col("e.kind").alias("kind"), "events"
     )
@@ -63,10 +63,11 @@ def nth_uses(rows: DataFrame, key: list[str], order: list[str], keep: int) -> Da
 def translated_events(log: DataFrame) -> DataFrame:
     """Each event of a run with what is known by then: attempt, units done in it, and the largest cost so far.
 
-    log(run_id, seq, kind, cents); repeated sequence numbers count once.
+    log(run_id, seq, kind, cents); of events with one sequence number the least counts.
     """
     upto = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.dropDuplicates(["run_id", "seq"]).withColumn("attempt", F.sum((F.col("kind") == "run_started").cast("long")).over(upto))
+    once = log.groupBy("run_id", "seq").agg(F.min(F.struct("kind", "cents")).alias("e")).select("run_id", "seq", "e.*")
+    rows = once.withColumn("attempt", F.sum((F.col("kind") == "run_started").cast("long")).over(upto))
     within = Window.partitionBy("run_id", "attempt").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select(
         "run_id", "seq", "kind", "attempt",

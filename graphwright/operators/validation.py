@@ -82,7 +82,7 @@ def issues(graph: Graph, base: Graph, ontology: Ontology) -> DataFrame:
     out.append(found(roots, "ROOT_COUNT", "graph", "id", error=True))
 
     # nodes against what they were, and against their edges now and before
-    old = base.nodes.groupBy("node_id").agg(F.first("component").alias("old_component"), F.lit(True).alias("was"))
+    old = base.nodes.groupBy("node_id").agg(F.min("component").alias("old_component"), F.lit(True).alias("was"))
     now = node_facts(graph)
     before = node_facts(base).select("node_id", *[F.col(c).alias(f"old_{c}") for c in ("incident", "resolved", "caused", "path")])
     every = cut(nodes.join(old, "node_id", "left").join(now, "node_id", "left").join(before, "node_id", "left"))
@@ -121,9 +121,12 @@ def issues(graph: Graph, base: Graph, ontology: Ontology) -> DataFrame:
     out.append(found(mine.join(occurrences, "edge_id", "left_anti"), "NO_OCCURRENCES", "edge", "edge_id", error=True))
     held = mine.select("edge_id").join(occurrences, "edge_id")
     out.append(found(held.groupBy("edge_id", "occ_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "DUPLICATE_ID", "edge", "edge_id", error=True, field="occurrence"))
-    same = base.occurrences.select("edge_id", "occ_id", F.struct("segment", "condition", "trusted", "status").alias("was")).groupBy("edge_id", "occ_id").agg(F.first("was").alias("was"))
+    # contents as texts that tell null from empty; of a repeated occurrence the least one counts
+    fields = ("segment", "condition", F.col("trusted").cast("string"), "status")
+    content = F.concat_ws("|", *[F.when(F.col(f).isNull() if isinstance(f, str) else f.isNull(), "0").otherwise(F.concat(F.lit("1"), f)) for f in fields])
+    same = base.occurrences.groupBy("edge_id", "occ_id").agg(F.min(content).alias("was"))
     live = held.filter("status is null or status <> 'rejected'").join(same, ["edge_id", "occ_id"], "left")
-    moved = ~F.struct("segment", "condition", "trusted", "status").eqNullSafe(F.col("was"))
+    moved = ~content.eqNullSafe(F.col("was"))
     out.append(found(live.filter("not trusted"), "UNVERIFIED_CONTENT", "edge", "edge_id", moved))
     out.append(found(live.filter("segment is null"), "NO_EVIDENCE", "edge", "edge_id", moved))
     result = out[0]

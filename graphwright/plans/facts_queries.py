@@ -25,7 +25,7 @@ _COMPATIBLE = f"""{_FACTS}, compatible as materialized (
     join pred p on p.branch_id = a.branch_id and p.relation = g.relation and p.scope_status in ('VERIFIED_STRUCTURE', 'VERIFIED_REVIEW') group by all
 ), aligned as (
   select c.gold_fact, c.pred_fact, case when g.meaning = p.meaning then 'EXACT' when (length(c.gold_fact) * 7 + length(c.pred_fact) + p.hard) % 3 = 0 then 'EQUIVALENT' when (length(c.gold_fact) * 7 + length(c.pred_fact) + p.hard) % 3 = 1 then 'DIFFERENT' else 'UNJUDGED' end as verdict, obligations
-  from compatible c join (select fact_id, any_value(meaning) as meaning from gold group by fact_id) g on c.gold_fact = g.fact_id join pred p on c.pred_fact = p.fact_id
+  from compatible c join (select fact_id, min(meaning) as meaning from gold group by fact_id) g on c.gold_fact = g.fact_id join pred p on c.pred_fact = p.fact_id
 )"""
 
 

@@ -59,12 +59,12 @@ def edge_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.edge_edits(edges, edits, occurrences)
 
 
-_EDITED = f"""{S.named(occurrence=S.OCCURRENCE, edit=S.OCCURRENCE_EDIT)}, judged as (
+_EDITED = f"""{S.named(occurrence=S.OCCURRENCE, edit=S.OCCURRENCE_EDIT)}, judged as materialized (
   select coalesce(o.edge_id, e.edge_id) as edge_id, coalesce(o.occ_id, e.occ_id) as occ_id, o.segment as old_segment, o.condition as old_condition, o.trusted as old_trusted, o.status as old_status, e.segment as new_segment, e.condition as new_condition,
     case when op is null then 'kept' when op = 'add' and o.edge_id is not null then 'DUPLICATE_ID' when op <> 'add' and o.edge_id is null then 'OCCURRENCE_NOT_FOUND' when op = 'delete' then 'deleted'
       when not regexp_full_match(e.segment, '{_ALLOWED}') then 'SEGMENT_NOT_ALLOWED' when op = 'add' then 'added' when o.segment is not distinct from e.segment and o.condition is not distinct from e.condition then 'unchanged' else 'updated' end as outcome
   from occurrence o full join edit e on o.edge_id = e.edge_id and o.occ_id = e.occ_id
-), edited as (
+), edited as materialized (
   select edge_id, occ_id, case when outcome in ('added', 'updated') then new_segment else old_segment end as segment, case when outcome in ('added', 'updated') then new_condition else old_condition end as condition,
     case when outcome in ('added', 'updated') then false else old_trusted end as trusted, case when outcome not in ('added', 'updated') then old_status end as status, outcome from judged
 )"""
@@ -140,6 +140,9 @@ def _facts(prefix: str, edge: str, occurrence: str) -> str:
   {prefix}path as materialized (select distinct a.source as node_id from {prefix}hop a join {prefix}second b on a.target = b.source where a.type in ('MAY_INDICATE', 'INDICATES') and (a.condition is null or f2 or list_contains(c2, a.condition)))"""
 
 
+#: The content of an occurrence as a text that tells null from empty.
+_CONTENT = " || '|' || ".join(f"case when {c} is null then '0' else '1' || {c} end" for c in ("segment", "condition", "trusted::varchar", "status"))
+
 _ISSUE = f"""{_BASE}, {_NEW}, {_facts("", "new_edge", "new_occurrence")}, {_facts("old_", "edge", "occurrence")},
 old_node as (select node_id, min(component) as component from node group by node_id),
 every as materialized (select n.*, o.component as old_component, o.node_id is null as new_, n.node_id in (select node_id from incident) as incident, n.node_id in (select node_id from resolved) as resolved, n.node_id in (select node_id from caused) as caused, n.node_id in (select node_id from path) as path,
@@ -150,8 +153,8 @@ placed as (select e.*, s.type as s, t.type as t from new_edge e left join ends s
 fits(name, s, t) as (values {", ".join(str(r) for r in ONTOLOGY.relations)}),
 stated as (select p.edge_id, case when s is null or t is null then 'ORPHAN_EDGE' when not exists (select 1 from fits f where f.name = p.type and f.s = p.s and f.t = p.t) then 'ENDPOINT_TYPE' when p.s = 'Asset' and not derived then 'DERIVED_READ_ONLY' end as code from placed p),
 held as materialized (select o.* from new_edge e join new_occurrence o using (edge_id) where not derived),
-was as (select edge_id, occ_id, any_value(segment) as segment, any_value(condition) as condition, any_value(trusted) as trusted, any_value(status) as status, true as there from occurrence group by edge_id, occ_id),
-live as (select h.*, not (coalesce(w.there, false) and h.segment is not distinct from w.segment and h.condition is not distinct from w.condition and h.trusted is not distinct from w.trusted and h.status is not distinct from w.status) as moved from held h left join was w on h.edge_id = w.edge_id and h.occ_id = w.occ_id where h.status is null or h.status <> 'rejected'),
+was as (select edge_id, occ_id, min({_CONTENT}) as content from occurrence group by edge_id, occ_id),
+live as (select h.*, {_CONTENT} is distinct from w.content as moved from held h left join was w on h.edge_id = w.edge_id and h.occ_id = w.occ_id where h.status is null or h.status <> 'rejected'),
 issue as materialized (
   select 'DUPLICATE_ID' as code, 'node' as kind, node_id as id, null::varchar as field, 'error' as severity, true as introduced from new_node group by node_id having count(*) > 1
   union all select 'DUPLICATE_ID', 'edge', edge_id, null, 'error', true from new_edge group by edge_id having count(*) > 1

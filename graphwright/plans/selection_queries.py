@@ -237,12 +237,12 @@ def review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "o09_caps",
-    f"with {_BASE}, ranked as (select edge_id, occ_id, segment, row_number() over (partition by edge_id order by trusted desc, occ_id) as n from occurrence where segment is not null) select edge_id, string_agg(segment, ' ' order by n) as shown, count(*) as items from ranked where n <= 5 group by edge_id",
+    f"with {_BASE}, ranked as (select edge_id, occ_id, segment, row_number() over (partition by edge_id order by trusted desc, occ_id, segment) as n from occurrence where segment is not null) select edge_id, string_agg(segment, ' ' order by n) as shown, count(*) as items from ranked where n <= 5 group by edge_id",
 )
 def caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five pieces of evidence of each edge, trusted ones before others."""
     rows = GS.rows(spark, sf_dir, GS.OCCURRENCE).filter("segment is not null")
-    kept = Z.first_of(rows, "edge_id", 5, F.desc("trusted"), F.col("occ_id"))
+    kept = Z.first_of(rows, "edge_id", 5, F.desc("trusted"), F.col("occ_id"), F.col("segment"))
     shown = F.transform(F.array_sort(F.collect_list(F.struct("place", "segment"))), lambda x: x["segment"])
     return kept.groupBy("edge_id").agg(F.array_join(shown, " ").alias("shown"), F.count(F.lit(1)).alias("items"))
 
