@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphwright.llm.chat_format import conversation_digests, reconstruct
 from graphwright.llm.decontaminate import find_leaks
 from graphwright.llm.fingerprint import fingerprint_documents
 from graphwright.llm.language_id import identify
+from graphwright.llm.manifest import build_manifest, encoded, folded, hashed, proof_hash
 from graphwright.llm.mixing import mix_sources
+from graphwright.llm.periodic_runs import find_runs
+from graphwright.llm.quality import fit_quality, judge_quality, with_features
 from graphwright.llm.sharding import shard_rows
 from graphwright.llm.simhash import simhash_groups
 from graphwright.llm.token_count import count_tokens
 from graphwright.llm.toxicity import score_toxicity
 from graphwright.llm.url_filter import filter_urls, url_host, url_path
-from graphwright.llm.words import id_fold, utf8_bytes
+from graphwright.llm.words import WORD, id_fold, utf8_bytes
+from graphwright.plans.checkpoints import cut
 from graphwright.sources.tables import read_table
 
 #: Words in host names that put a host on the derived list of op1.
@@ -240,6 +244,116 @@ from edges
 """
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle manifest of all documents, one tree a language; some leaves are tampered with and checked."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+
+    def leaf(n_chars: Column) -> Column:
+        return hashed(encoded(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text")))
+
+    # null ids, and null counts, are not tampered with
+    touched = (F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")), F.lit(7)) == 0) & F.col("n_chars").isNotNull()
+    tampered = F.when(touched, leaf(F.col("n_chars") + 1)).alias("tampered")
+    proofs = build_manifest(docs, F.col("lang"), [F.col("doc_id")], leaf(F.col("n_chars")), [F.col("doc_id"), tampered])
+    root = folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root")
+    told = proofs.select("doc_id", "leaf", "subroot", "root", proof_hash(F.col("path")).alias("proof_sha256"), root)
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+#: The CRC-32 of a decimal number's text, in DuckDB.
+_CRC32 = (
+    "xor(list_reduce([4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint), "
+    "lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x % 2 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295::bigint)"
+)
+
+
+def _field(value: str) -> str:
+    return f"case when {value} is null then '-' else strlen({value}::varchar) || ':' || {value} end"
+
+
+OP11_SQL = f"""
+with recursive leaves as materialized (
+  select doc_id, lang, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as n, leaf, tampered from (
+    select doc_id, lang, sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', 'n_chars', 'text')))}) as leaf,
+      case when {_CRC32} % 7 = 0 and n_chars is not null then sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', '(n_chars + 1)', 'text')))}) end as tampered
+    from documents)
+), lower_ as (
+  select lang, 0 as l, i, leaf as h, n from leaves
+  union all select lang, l + 1, i // 2, sha256(string_agg(h, '' order by i)), (n + 1) // 2 from lower_ where n > 1 group by lang, l, i // 2, n
+), trees as materialized (
+  select lang, h, row_number() over (order by lang nulls first) - 1 as i, count(*) over () as n from lower_ where n = 1
+), upper_ as (
+  select 0 as l, i, h, n from trees
+  union all select l + 1, i // 2, sha256(string_agg(h, '' order by i)), (n + 1) // 2 from upper_ where n > 1 group by l, i // 2, n
+), low as materialized (select * from lower_ where n > 1), up as materialized (select * from upper_ where n > 1),
+steps as (
+  select f.lang, f.i, x.l as place, s.h, s.i < (f.i >> x.l) as before_ from leaves f join (select distinct lang, l from low) x on x.lang is not distinct from f.lang
+    left join low s on s.lang is not distinct from f.lang and s.l = x.l and s.i = xor(f.i >> x.l, 1::bigint)
+  union all
+  select f.lang, f.i, 1000 + x.l, s.h, s.i < (t.i >> x.l) from leaves f join trees t on t.lang is not distinct from f.lang cross join (select distinct l from up) x
+    left join up s on s.l = x.l and s.i = xor(t.i >> x.l, 1::bigint)
+), ways as (
+  select lang, i, list(case when h is null then '' when before_ then '<' || h else '>' || h end order by place) as way from steps group by lang, i
+), told as (
+  select f.doc_id, f.leaf, t.h as subroot, (select h from upper_ where n = 1) as root, coalesce(way, []) as way, coalesce(tampered, leaf) as seen
+  from leaves f join trees t on t.lang is not distinct from f.lang left join ways w on w.lang is not distinct from f.lang and w.i = f.i
+), found as (
+  select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda s: substr(s, 2)), '')) as proof_sha256,
+    list_reduce([seen] || way, lambda h, s: case when s = '' then sha256(h) when s[1] = '<' then sha256(substr(s, 2) || h) else sha256(h || substr(s, 2)) end) as folded_root
+  from told
+)
+select *, folded_root = root as verified from found
+"""
+
+
+def looped(text: Column, doc_id: Column) -> Column:
+    """The text of op12: for one id in ten by its CRC-32, words from a place on repeat with a period; else the text itself.
+
+    Null ids keep their text.
+    """
+    h = F.crc32(F.encode(doc_id.cast("string"), "utf-8"))
+    g = F.floor(h / 10)
+
+    def looping(words: Column) -> Column:
+        n = F.size(words)
+        first = F.pmod(g, n)
+        period = F.floor((n - first) / (F.pmod(g, F.lit(8)) + 3)) + 1
+        place = lambda i: F.when(i < first, i).otherwise(first + F.pmod(i - first, period))
+        return F.array_join(F.transform(words, lambda _, i: F.get(words, place(i).cast("int"))), " ")
+
+    # bound to a name of their own, so that words are split once
+    made = F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(f"({WORD})"))), looping), 1)
+    return F.when((F.pmod(h, F.lit(10)) == 0) & F.regexp_like(text, F.lit(WORD)), made).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in all documents, a tenth of them made to loop, and the texts without them."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", looped(F.col("text"), F.col("doc_id")).alias("text"))
+    found = find_runs(docs)
+    # of the runs in order of start and period the first with the greatest length a period
+    better = lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), better)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    told = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "collapsed")
+    return told.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.col("n_runs") > 0, F.concat("lines", F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents are kept: those that pass the base and are likelier good than not by the rules' votes."""
+    featured = cut(with_features(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    judged = judge_quality(featured, fit_quality(featured))
+    failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & (F.col("quality") >= 0.5)).alias("kept"), "quality",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name; each takes a session and the folder of the tables."""
     return {
@@ -253,9 +367,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
+        "op11_manifest": op11_manifest,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_quality": op13_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op1_url_filter": OP1_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_url_filter": OP1_SQL, "op10_mixing": OP10_SQL, "op11_manifest": OP11_SQL}

@@ -51,6 +51,69 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
+#: Bits of a window's hash that are compared before its words.
+HASH_MASK = (1 << 64) - 1
+
+
+class Words:
+    """The words of some texts, as bytes and as numbers; equal words have equal numbers."""
+
+    def __init__(self, texts: list[bytes | None]) -> None:
+        # bytes are split at just the six ASCII white-space characters
+        self.of = [t.split() if t else [] for t in texts]
+        self.counts = np.fromiter(map(len, self.of), np.int64, len(self.of))
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
+        numbers: dict[bytes, int] = {}
+        self.numbers = np.fromiter((numbers.setdefault(w, len(numbers)) for words in self.of for w in words), np.int64, int(self.starts[-1]))
+        #: the word of each number
+        self.distinct = list(numbers)
+
+    def text_of(self) -> np.ndarray:
+        """For each word the place of its text."""
+        return np.repeat(np.arange(len(self.of)), self.counts)
+
+    def repeated_windows(self, size: int) -> np.ndarray:
+        """For each word whether the window of so many words from it on lies in its text and is there twice or more.
+
+        Windows are sorted by a hash and compared with their neighbours as words, so this is exact.
+        """
+        out = np.zeros(len(self.numbers), bool)
+        text = self.text_of()
+        at = np.flatnonzero(text[: len(text) - size + 1] == text[size - 1 :]) if len(text) >= size else np.zeros(0, np.int64)
+        if not len(at):
+            return out
+        numbers = self.numbers.astype(np.uint64)
+        key = text[at].astype(np.uint64)
+        for i in range(size):
+            key = (key ^ numbers[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        key &= np.uint64(HASH_MASK)
+        order = np.argsort(key)
+        key, at = key[order], at[order]
+        twins = np.flatnonzero(key[1:] == key[:-1])
+        alike = text[at[twins]] == text[at[twins + 1]]
+        for i in range(size):
+            alike &= self.numbers[at[twins] + i] == self.numbers[at[twins + 1] + i]
+        if alike.all():
+            out[at[twins]] = out[at[twins + 1]] = True
+            return out
+        # two windows share a hash: those with such hashes are compared as they are
+        clashing = np.isin(key, key[twins[~alike]])
+        seen: dict[tuple[int, ...], list[int]] = {}
+        for i in at[clashing].tolist():
+            seen.setdefault((int(text[i]), *self.numbers[i : i + size].tolist()), []).append(i)
+        for places in seen.values():
+            out[places] = len(places) > 1
+        sure = ~clashing[twins]
+        out[at[twins[sure]]] = out[at[twins[sure] + 1]] = True
+        return out
+
+
+def text_bytes(column: pa.Array) -> list[bytes | None]:
+    """The texts of an Arrow column in UTF-8."""
+    return column.cast(pa.binary()).to_pylist()
+
+
 #: A key with more than one in so many rows is hot; there are fewer than so many of them.
 HOT = 1000
 
