@@ -64,3 +64,40 @@ def similarity(left: Column, right: Column) -> Column:
         return pd.Series([name_similarity(x, y) for x, y in distinct], dtype="float64").take(codes).reset_index(drop=True)
 
     return compared(left, right)
+
+
+#: Letters from common to rare. Any order of characters gives right results; this one parts names well.
+COMMON = " etaoinsrhldcumfpgwybvkxjqz"
+
+
+def character_tokens(text: str) -> list[str]:
+    """Each character of a text with how often it came before, rare ones first: two texts share as many as they have characters in common."""
+    seen: dict[str, int] = {}
+    out = []
+    for c in text:
+        seen[c] = seen.get(c, 0) + 1
+        common = len(COMMON) - COMMON.index(c) if c in COMMON else 0
+        out.append((common - 8 * seen[c], f"{c}{seen[c]}"))
+    return [token for _, token in sorted(out)]
+
+
+def canonical(name: Column) -> Column:
+    """A struct of a name's words joined by spaces, its distinct numbers, and its characters as tokens, in Arrow batches."""
+
+    @F.pandas_udf("text string, digits string, tokens array<string>")
+    def made(names: pd.Series) -> pd.DataFrame:
+        words = [canonical_words(n or "") for n in names]
+        texts = [" ".join(w) for w in words]
+        return pd.DataFrame({"text": texts, "digits": [",".join(sorted(digit_runs(w))) for w in words], "tokens": [character_tokens(t) for t in texts]})
+
+    return made(name)
+
+
+def matching_ratio(left: Column, right: Column) -> Column:
+    """The matching ratio of two texts as they are, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def compared(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return compared(left, right)

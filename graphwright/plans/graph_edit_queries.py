@@ -242,12 +242,11 @@ def compatible_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j16_similar_nodes")
 def similar_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of one type whose names begin alike and are very similar; beyond SQL, held against brute force in a test."""
+    """Nodes of one type whose names are very similar; beyond SQL, held against brute force in a test."""
     nodes = S.rows(spark, sf_dir, S.NEW_NODE).distinct()
     plain = F.btrim(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}_]+", " "))
     named = nodes.groupBy("type", plain.alias("plain")).agg(F.min("node_id").alias("node_id"), F.count(F.lit(1)).alias("nodes"))
-    block = named.withColumn("block", F.concat_ws(":", "type", F.substring("plain", 1, 3)))
-    return similar_pairs(block, "block", "node_id", "plain", 0.9)
+    return similar_pairs(named, "type", "node_id", "plain", 0.9)
 
 
 @query(

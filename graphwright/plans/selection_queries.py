@@ -9,6 +9,7 @@ from graphwright.operators import certify as C
 from graphwright.operators import graph as G
 from graphwright.operators import review as R
 from graphwright.operators import selection as Z
+from graphwright.operators.ranking import ranked
 from graphwright.plans import graph_staging as GS
 from graphwright.plans import staging as S
 from graphwright.plans.graph_queries import _ASSERTION, _EDGE, _FINE_EDGE
@@ -250,7 +251,7 @@ def caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o10_export_order", f"with {_BASE} select node_id, row_number() over (partition by type order by name, node_id)::int as place from node")
 def export_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each node comes in an export, within its type."""
-    return GS.rows(spark, sf_dir, GS.NODE).select("node_id", F.row_number().over(Window.partitionBy("type").orderBy("name", "node_id")).alias("place"))
+    return ranked(GS.rows(spark, sf_dir, GS.NODE).select("type", "name", "node_id"), ["type"], [F.col("name"), F.col("node_id")]).select("node_id", F.col("place").cast("int").alias("place"))
 
 
 @query(
@@ -263,7 +264,8 @@ def table_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     cell = F.when(k % 7 == 0, "").when(k % 7 == 1, F.lit(None)).when(k % 3 == 0, (k * 37 % 1000).cast("string")).otherwise(F.col("c_mktsegment"))
     rows = read_table(spark, sf_dir, "customer").withColumn("cell", cell)
-    return rows.select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*Z.natural_order(F.col("cell")), "c_custkey")).alias("place"))
+    placed = ranked(rows.select("c_nationkey", "c_custkey", "cell"), ["c_nationkey"], [*Z.natural_order(F.col("cell")), F.col("c_custkey")])
+    return placed.select("c_custkey", F.col("place").cast("int").alias("place"))
 
 
 @query(
