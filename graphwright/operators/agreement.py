@@ -35,7 +35,7 @@ def same_relation_pairs(proposals: DataFrame, least: float = LOOSE) -> DataFrame
     sides = {}
     for side in "lr":
         sides[side] = proposals.select(
-            "unit_id", "relation", context_key(F.col("conditions")).alias("context"), normalize_name(F.col("source.name")).alias("sn"), normalize_name(F.col("target.name")).alias("tn"),
+            "unit_id", "relation", context_key(F.col("conditions")).alias("context"), F.coalesce(normalize_name(F.col("source.name")), F.lit("")).alias("sn"), F.coalesce(normalize_name(F.col("target.name")), F.lit("")).alias("tn"),
             *[v.alias(f"{side}_{n}") for n, v in {"ord": F.col("ord"), "read": F.col("read"), "branch": F.col("branch_id"), "epistemic": F.col("epistemic"), "cites": F.coalesce("cites", F.array().cast("array<string>")), "s": F.col("source"), "t": F.col("target")}.items()],
         )
     c = lambda name: F.col(name)
