@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphwright.functions.text import short_digest
 from graphwright.operators.components import connected_components
+from graphwright.operators.ranking import ranked
 from graphwright.plans.checkpoints import cut
 
 # Relation types with the types of their ends.
@@ -68,21 +69,30 @@ def navigation_gaps(edges: DataFrame) -> DataFrame:
     return without.unionByName(orphans)
 
 
+#: Bits of a node's number; those above tell its view.
+VIEW_BITS = 48
+
+
 def component_sizes(edges: DataFrame, views: dict[str, str]) -> DataFrame:
     """(view, component, nodes, share, largest): weak components of the edges that each view's condition keeps.
 
     component is the least name, share its part of the view's nodes; largest marks the one with most
     nodes, of equal ones the first by name. Edges are computed once.
     """
-    kept = F.array_compact(F.array(*[F.when(F.expr(condition), F.lit(name)) for name, condition in views.items()]))
-    rows = cut(edges.select("source_name", "target_name", F.explode(kept).alias("view")))
-    named = lambda c: F.concat_ws("\u0000", "view", c)
-    labels = connected_components(rows.select(named("source_name").alias("u"), named("target_name").alias("v")))
+    kept = F.array_compact(F.array(*[F.when(F.expr(condition), F.lit(i).cast("long")) for i, condition in enumerate(views.values())]))
+    rows = cut(edges.select("source_name", "target_name", kept.alias("views")).filter("size(views) > 0"))
+    # names as numbers in their order, so that the least number is the least name; each view has its own
+    names = cut(ranked(rows.select(F.col("source_name").alias("name")).union(rows.select("target_name")).distinct(), [], [F.col("name")]))
+    numbered = rows.join(names.toDF("source_name", "s"), "source_name").join(names.toDF("target_name", "t"), "target_name")
+    numbered = cut(numbered.select("s", "t", F.explode("views").alias("v")))
+    node = lambda c: F.shiftleft("v", VIEW_BITS).bitwiseOR(F.col(c))
+    labels = connected_components(numbered.select(node("s").alias("u"), node("t").alias("v")))
     # a loop alone makes a component of its own
-    loops = rows.filter("source_name = target_name").select(named("source_name").alias("node")).distinct().join(labels, "node", "left_anti")
+    loops = numbered.filter("s = t").select(node("s").alias("node")).distinct().join(labels, "node", "left_anti")
     labels = labels.unionByName(loops.withColumn("component", F.col("node")))
-    part = lambda i: F.split_part("component", F.lit("\u0000"), F.lit(i))
-    sizes = cut(labels.groupBy(part(1).alias("view"), part(2).alias("component")).agg(F.count(F.lit(1)).alias("nodes")))
+    counted = labels.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    named = counted.select(F.shiftright("component", VIEW_BITS).alias("v"), F.col("component").bitwiseAND(F.lit((1 << VIEW_BITS) - 1)).alias("place"), "nodes").join(names, "place")
+    sizes = cut(named.select(F.get(F.array(*map(F.lit, views)), F.col("v").cast("int")).alias("view"), F.col("name").alias("component"), "nodes"))
     # the largest: most nodes, then the first by name
     best = sizes.groupBy("view").agg(F.sum("nodes").alias("total"), F.min(F.struct((-F.col("nodes")).alias("n"), "component")).alias("top"))
     return sizes.join(F.broadcast(best), "view").select("view", "component", "nodes", F.round(F.col("nodes") / F.col("total"), 6).alias("share"), (F.col("component") == F.col("top.component")).alias("largest"))

@@ -93,3 +93,23 @@ def nearest_sizes(rows: DataFrame, size: str, keep: int) -> DataFrame:
     step = lambda a, x: F.when(a["n"] >= keep, a).otherwise(F.struct(F.least(a["n"] + x["c"], F.lit(keep).cast("long")).alias("n"), F.least(a["low"], x["s"]).alias("low"), F.greatest(a["high"], x["s"]).alias("high")))
     ranges = placed.select(size, F.aggregate(ordered, start, step).alias("_r"))
     return rows.join(ranges, size).select(*rows.columns, F.col("_r.low").alias("low"), F.col("_r.high").alias("high"), F.col("_r.n").alias("used"))
+
+
+#: Kinds after which a run says no more.
+FINAL = ("run_finished", "run_failed")
+
+
+def tailed(log: DataFrame, after: int, now: Column, silence: str) -> DataFrame:
+    """(run_id, seq, happened, kind, synthetic): what a follower of each run gets from its last attempt.
+
+    log(run_id, seq, happened, kind): events past a sequence number up to the first final one. A run
+    without a final event whose last one is longer ago than silence, an interval, ends with a failure
+    that is made up: its number follows the last, its time is the last's.
+    """
+    run = Window.partitionBy("run_id")
+    rows = last_attempt(log)
+    rows = rows.withColumn("_final", F.min(F.when(F.col("kind").isin(*FINAL), F.col("seq"))).over(run))
+    told = rows.filter((F.col("seq") > after) & (F.col("_final").isNull() | (F.col("seq") <= F.col("_final"))))
+    last = rows.filter("_final is null").groupBy("run_id").agg(F.max("seq").alias("seq"), F.max("happened").alias("happened"))
+    dead = last.filter(F.col("happened") < now - F.expr(f"interval {silence}")).select("run_id", (F.col("seq") + 1).alias("seq"), "happened", F.lit("run_failed").alias("kind"), F.lit(True).alias("synthetic"))
+    return told.select("run_id", "seq", "happened", "kind", F.lit(False).alias("synthetic")).unionByName(dead)

@@ -148,3 +148,14 @@ def translated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event of every run with the state of the run after it."""
     live = S.live_events(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
     return G.translated_events(live)
+
+
+@query(
+    "t04_tailed_events",
+    f"""with {S.LIVE}, attempt as (select *, max(seq) filter (where kind = 'run_started') over (partition by run_id) as start from live), kept as (select *, min(seq) filter (where kind in ('run_finished', 'run_failed')) over (partition by run_id) as final from attempt where start is null or seq >= start)
+    select run_id, seq, happened, kind, false as synthetic from kept where seq > 500 and (final is null or seq <= final)
+    union all select run_id, max(seq) + 1, max(happened), 'run_failed', true from kept where final is null group by run_id having max(happened) < timestamp '2024-01-28 00:00:00'""",
+)
+def tailed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a follower of each run gets past event 500; runs silent for two days on January 30 have failed."""
+    return G.tailed(S.live_events(spark, sf_dir).select("run_id", "seq", "happened", "kind"), 500, F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"), "2 days")

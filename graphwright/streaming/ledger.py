@@ -11,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from graphwright.operators.ledger import FINAL
+
 
 def event_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
     """New Parquet files of a folder as a stream of events."""
@@ -66,6 +68,46 @@ def translated_stream(events: DataFrame) -> DataFrame:
     )
 
 
+def tailed_stream(events: DataFrame, after: int, silence_ms: int) -> DataFrame:
+    """What a follower of each run gets, as a stream: events past a sequence number, from the last attempt there is, up to a final one.
+
+    events(run_id, seq, happened, kind). A run starts at the last attempt of the first batch that has
+    it; a later attempt opens it again. A processing-time timer is set with each batch of a run that
+    has no final event; if it goes off, a failure is made up with the next number. The state of a run
+    is its last number, whether it has ended, and its last time, so a restart loses and repeats nothing.
+    """
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["run_id", "seq", "happened", "kind", "synthetic"]
+        if state.hasTimedOut:
+            seen, _, happened = state.get
+            state.update((seen + 1, True, happened))
+            yield pd.DataFrame([(key[0], seen + 1, happened, "run_failed", True)], columns=columns)
+            return
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        seen, ended, happened = state.get if state.exists else (-1, False, None)
+        if not state.exists:
+            starts = rows.loc[rows["kind"] == "run_started", "seq"]
+            rows = rows[rows["seq"] >= starts.max()] if len(starts) else rows
+        out = []
+        for seq, at, kind in rows[["seq", "happened", "kind"]].itertuples(index=False, name=None):
+            if seq <= seen:
+                continue
+            seen, happened = int(seq), at
+            ended = ended and kind != "run_started"
+            if not ended and seq > after:
+                out.append((key[0], seen, at, kind, False))
+            ended = ended or kind in FINAL
+        state.update((seen, ended, happened))
+        if not ended:
+            state.setTimeoutDuration(silence_ms)
+        yield pd.DataFrame(out, columns=columns)
+
+    return events.groupBy("run_id").applyInPandasWithState(
+        follow, "run_id long, seq long, happened timestamp, kind string, synthetic boolean", "seen long, ended boolean, happened timestamp", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
 def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> StreamingQuery:
     """Processes what is there, then stops; the result is the in-memory table of that name, for small results."""
     running = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
