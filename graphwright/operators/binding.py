@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwright.functions.parsing import text_key
+from graphwright.functions.similar import similarity
 from graphwright.operators.graph import repaired_relation
 
 # Fixed value: how the name of a cause begins that the source does not name.
@@ -277,3 +278,10 @@ def step_context(steps: DataFrame) -> DataFrame:
     parents = steps.filter("letter = ''").groupBy("doc", "seq", "number").agg(F.min("pos").alias("_parent"))
     joined = steps.join(heads, ["doc", "seq"]).join(parents, ["doc", "seq", "number"], "left")
     return joined.withColumn("parent", F.when(F.col("letter") != "", F.col("_parent"))).drop("_parent")
+
+
+def restated(proposals: DataFrame, least: float = 0.9) -> DataFrame:
+    """proposals with restated: whether the target is a cause that only repeats the source's name."""
+    cause = F.coalesce(F.col("target_type") == "FailureMode", F.lit(False))
+    score = similarity(F.when(cause, F.col("source_name")), F.when(cause, F.col("target_name")))
+    return proposals.withColumn("restated", cause & (score >= least))

@@ -100,3 +100,41 @@ def invalidated(edges: DataFrame, occurrences: DataFrame, changed: DataFrame) ->
     ends = edges.filter("not derived").select("edge_id", F.explode(F.array("source", "target")).alias("node_id"))
     touched = ends.join(changed.select("node_id").distinct(), "node_id", "left_semi").select("edge_id").distinct()
     return occurrences.join(touched, "edge_id", "left_semi").select("edge_id", "occ_id")
+
+
+def recomputed(nodes: DataFrame, edges: DataFrame, occurrences: DataFrame, touched: DataFrame, root: str, relations: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """(edge_id, type, source, target, derived, trusted, tier, conditions, occurrences): all edges after an edit.
+
+    nodes(node_id, type), edges(edge_id, type, source, target, derived), occurrences(edge_id, occ_id,
+    segment, condition, tier, status, review_hash). An occurrence is trusted unless it is rejected: if
+    it is green, or was confirmed as it still is. An edge is trusted if one that isn't rejected is; its
+    tier is the best of those, green or yellow, or none. Conditions, those that all of them share, are
+    given for touched edges only, null for others, which keep theirs. Links of a single root to all
+    nodes in its relations' ranges are made again, with the trust and tier of what meets the node; an
+    old link keeps its id, others are gone. Without a single root there are none. Repeated nodes count once.
+    """
+    live = F.coalesce(F.col("status") != "rejected", F.lit(True))
+    same = F.coalesce((F.col("status") == "confirmed") & (F.col("review_hash") == content_hash(F.col("edge_id"), F.col("segment"), F.col("condition"))), F.lit(False))
+    trusted = live & ((F.col("tier") == "green") | same)
+    mine = edges.filter("not derived").select("edge_id", "type", "source", "target").distinct()
+    rank = F.min(F.when(live & F.col("tier").isin("green", "yellow"), F.when(F.col("tier") == "green", 0).otherwise(1)))
+    # null stands for no condition, which an occurrence shares with none
+    by = occurrences.groupBy("edge_id").agg(
+        F.bool_or(trusted).alias("trusted"), rank.alias("rank"), F.count_if(live).alias("occurrences"), F.count_distinct(F.when(live, F.coalesce("condition", F.lit("")))).alias("different"), F.max(F.when(live, F.col("condition"))).alias("common"),
+    )
+    marked = mine.join(by, "edge_id", "left").join(touched.select("edge_id", F.lit(True).alias("touched")), "edge_id", "left")
+    shared = F.when((F.col("different") == 1) & F.col("common").isNotNull(), F.array("common")).otherwise(F.array().cast("array<string>"))
+    tier = F.when(F.col("rank") == 0, "green").when(F.col("rank") == 1, "yellow")
+    own = marked.select("edge_id", "type", "source", "target", F.lit(False).alias("derived"), F.coalesce("trusted", F.lit(False)).alias("trusted"), tier.alias("tier"), F.when(F.col("touched"), shared).alias("conditions"), F.coalesce("occurrences", F.lit(0)).alias("occurrences"), "rank")
+
+    known = nodes.select("node_id", "type").distinct()
+    roots = known.filter(F.col("type") == root).agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("root")).filter("n = 1")
+    goals = F.array(*[F.struct(F.lit(n).alias("relation"), F.lit(r).alias("range")) for n, d, r in relations if d == root])
+    links = known.select("node_id", "type", F.explode(goals).alias("g")).filter("type = g.range").join(F.broadcast(roots)).select(F.col("g.relation").alias("type"), F.col("root").alias("source"), F.col("node_id").alias("target"))
+    old = edges.filter("derived").groupBy("type", "source", "target").agg(F.min("edge_id").alias("edge_id"))
+    met = own.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("target"), "trusted", "rank").groupBy("target").agg(F.bool_or("trusted").alias("trusted"), F.min("rank").alias("rank"))
+    made = F.concat(F.lit("v3e_"), F.substring(F.sha2(F.concat_ws("|", "type", "source", "target"), 256), 1, 20))
+    derived = links.join(old, ["type", "source", "target"], "left").join(met, "target", "left").select(
+        F.coalesce("edge_id", made).alias("edge_id"), "type", "source", "target", F.lit(True).alias("derived"), F.coalesce("trusted", F.lit(False)).alias("trusted"), tier.alias("tier"), F.lit(None).cast("array<string>").alias("conditions"), F.lit(1).cast("long").alias("occurrences")
+    )
+    return own.drop("rank").unionByName(derived)

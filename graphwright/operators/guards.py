@@ -96,3 +96,39 @@ def sentence(relation: Column, source: Column, target: Column) -> Column:
 def rendered_question(question: Column, statements: Column, options: Column) -> Column:
     """A question as one text: its id, its statements as a list, and its options in order."""
     return F.concat_ws("\n", F.concat(F.lit("Question "), question), F.lit("What the system proposes:"), F.array_join(F.transform(statements, lambda s: F.concat(F.lit("  - "), s)), "\n"), F.lit("Answer with one option:"), F.array_join(F.transform(options, lambda o: F.concat(F.lit("  "), o)), "\n"))
+
+
+def page_routes(pages: DataFrame, image_share: float, drawings: int) -> DataFrame:
+    """pages with reasons and routes: how each is to be read, and why.
+
+    pages(.., segments, short, table, complex_table, image_share, drawings, images, unreadable): layout
+    alone says what may need a visual reading, not whether the page matters. A page is a candidate if
+    its text can't be read, most of many segments are short, images take a large share, it has many
+    drawings, or a table with merged or listing cells.
+    """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    reasons = F.array_compact(F.array(
+        F.when(flag("unreadable"), "NATIVE_TEXT_UNREADABLE"), F.when((F.col("segments") >= 8) & (F.col("short") * 2 >= F.col("segments")), "SHORT_BLOCK_LAYOUT"),
+        F.when(F.col("image_share") >= image_share, "IMAGE_AREA_CANDIDATE"), F.when(F.col("drawings") >= drawings, "DRAWING_DENSITY_CANDIDATE"), F.when(flag("complex_table"), "COMPLEX_TABLE"),
+    ))
+    rows = pages.withColumn("reasons", reasons)
+    text = F.coalesce(F.col("segments"), F.lit(0)) > 0
+    seen = text | (F.coalesce("images", F.lit(0)) > 0) | (F.coalesce("drawings", F.lit(0)) > 0)
+    routes = F.array_compact(F.array(F.when(text, "TEXT"), F.when(flag("table"), "TABLE"), F.when((F.size("reasons") > 0) & seen, "VISUAL_REVIEW"), F.when(flag("unreadable"), "OCR_REVIEW")))
+    return rows.withColumns({"routes": routes, "reasons": F.when(F.size("reasons") > 0, F.col("reasons")).otherwise(F.array(F.lit("READABLE_NATIVE_TEXT")))})
+
+
+def routed_map(page_map: DataFrame, routes: DataFrame, key: list[str]) -> DataFrame:
+    """page_map with what a visual reading found: a diagnostic page joins the map, confirmed, with its evidence; an unresolved one is marked.
+
+    page_map(*key, label, confirmed, evidence), routes(*key, relevance, evidence).
+    """
+    found = routes.select(*key, "relevance", F.col("evidence").alias("_seen"))
+    rows = page_map.join(found, key, "left")
+    hit = F.coalesce(F.col("relevance") == "DIAGNOSTIC", F.lit(False))
+    none = F.array().cast("array<string>")
+    return rows.withColumns({
+        "label": F.when(hit, "diagnostic").otherwise(F.col("label")), "confirmed": hit | F.col("confirmed"),
+        "evidence": F.when(hit, F.array_sort(F.array_union(F.coalesce("evidence", none), F.coalesce("_seen", none)))).otherwise(F.col("evidence")),
+        "unresolved": F.coalesce(F.col("relevance") == "UNRESOLVED", F.lit(False)),
+    }).drop("relevance", "_seen")

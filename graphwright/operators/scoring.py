@@ -59,3 +59,28 @@ def merge_effect(relations: DataFrame, group: str, before: tuple[Column, Column]
     count = lambda ends: F.count_distinct(F.concat_ws("|", *ends))
     sizes = relations.groupBy(group).agg(count(before).alias("edges_before"), count(after).alias("edges_after"), F.count_distinct(before[0]).alias("_b"), F.count_distinct(after[0]).alias("_a"))
     return sizes.select(group, "edges_before", "edges_after", (F.col("edges_after") - F.col("edges_before")).alias("edges_delta"), (F.col("_a") - F.col("_b")).alias("sources_delta"))
+
+
+def pairs_to_judge(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """(claim, kind, first_edge, edges, ids): what a judge compares with each claim.
+
+    found(claim, kind, edge): candidates of a claim's indicator or action. edges(edge, type, source,
+    record, trusted) has one row for each occurrence, trusted by its own tier or else the edge's. An
+    indicator is compared with each candidate alone; an action with all trusted remedies of the
+    candidate's cause on the same record, which may make up a compound action, once for each such group.
+    """
+    facts = edges.groupBy("edge").agg(F.min(F.struct("type", "source", "record", "trusted")).alias("e")).select("edge", "e.*")
+    single = found.filter("kind = 'indicator'").distinct().select("claim", "kind", F.col("edge").alias("first_edge"), F.lit(1).cast("long").alias("edges"), F.array("edge").alias("ids"))
+    groups = facts.filter("type = 'RESOLVED_BY' and trusted").groupBy("source", "record").agg(F.array_sort(F.collect_set("edge")).alias("ids"))
+    causes = found.filter("kind = 'action'").join(facts, "edge").select("claim", "kind", "source", "record").distinct()
+    acts = causes.join(groups, ["source", "record"]).select("claim", "kind", F.get("ids", F.lit(0)).alias("first_edge"), F.size("ids").cast("long").alias("edges"), "ids")
+    return single.unionByName(acts)
+
+
+def gold_relations(claims: DataFrame) -> DataFrame:
+    """(claim_id, kind, types, left, right, segments, conditions): each claim's indicator, and its action if it has one."""
+    none = F.array().cast("array<string>")
+    both = lambda a, b: F.array_distinct(F.concat(F.coalesce(f"{a}_segments", none), F.coalesce(f"{b}_segments", none)))
+    row = lambda kind, types, left, right: F.struct(F.lit(kind).alias("kind"), F.array(*map(F.lit, types)).alias("types"), F.col(left).alias("left"), F.col(right).alias("right"), both(left, right).alias("segments"))
+    rows = F.array_compact(F.array(row("indicator", ("INDICATES", "MAY_INDICATE"), "indicator", "failure"), F.when(F.coalesce("action", F.lit("")) != "", row("action", ("RESOLVED_BY",), "failure", "action"))))
+    return claims.select("claim_id", F.coalesce("conditions", F.lit("")).alias("conditions"), F.explode(rows).alias("r")).select("claim_id", "r.*", "conditions")

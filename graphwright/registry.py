@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "a10_certified_edges"
 #: Modules whose import registers queries.
-MODULES = ("text", "layout", "graph", "joins", "review", "scoring", "ledger", "ordered", "edits", "totals", "kernel", "graph_edit", "parsing", "selection", "binding", "facts", "source", "guards", "index", "reading", "agreement", "evaluation")
+MODULES = ("text", "layout", "graph", "joins", "review", "scoring", "ledger", "ordered", "edits", "totals", "kernel", "graph_edit", "parsing", "selection", "binding", "facts", "source", "guards", "index", "reading", "agreement", "evaluation", "document")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
