@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphwright.functions.parsing import text_key
-from graphwright.functions.similar import similarity
+from graphwright.functions.similar import name_similarity, similarity
 from graphwright.operators.graph import repaired_relation
+from graphwright.operators.ordered import in_groups
 
 # Fixed value: how the name of a cause begins that the source does not name.
 UNSPECIFIED = "Unspecified cause of"
@@ -285,3 +286,35 @@ def restated(proposals: DataFrame, least: float = 0.9) -> DataFrame:
     cause = F.coalesce(F.col("target_type") == "FailureMode", F.lit(False))
     score = similarity(F.when(cause, F.col("source_name")), F.when(cause, F.col("target_name")))
     return proposals.withColumn("restated", cause & (score >= least))
+
+
+#: Actions that are so similar in one context are one.
+SAME_ACTION = 0.75
+
+
+def remedies_in_context(causes: DataFrame, remedies: DataFrame, cap: int) -> DataFrame:
+    """(unit_id, row, cause, action, context): remedies of a row's origin row for its causes, in their context, at most cap in a unit.
+
+    causes(unit_id, row, origin, cause), remedies(unit_id, row, ord, cause, action, context): of the
+    remedies of one row those that are similar in one context to an earlier one are left out; what the
+    unit has already, cause, action and context, is not proposed again. Each new triple comes once, at
+    its first row; of a unit the first by row, cause and order are taken.
+    """
+    place = F.concat_ws("\u001f", "unit_id", "row")
+    rows = remedies.select(place.alias("place"), "ord", "unit_id", "row", "action", F.coalesce("context", F.lit("")).alias("context"))
+
+    def first_ones(part: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
+        for row in part:
+            if not any(row[5] == other[5] and name_similarity(row[4], other[4]) >= SAME_ACTION for other in kept):
+                kept.append(row)
+        return kept
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in ("place", "ord", "unit_id", "row", "action", "context"))
+    kept = in_groups(rows, "place", "ord", first_ones, schema).select("unit_id", F.col("row").alias("origin"), "ord", "action", "context")
+    offered = causes.filter("origin < row").select("unit_id", "row", "origin", "cause").distinct().join(kept, ["unit_id", "origin"])
+    have = remedies.select("unit_id", "cause", "action", F.coalesce("context", F.lit("")).alias("context")).distinct()
+    fresh = offered.join(have, ["unit_id", "cause", "action", "context"], "left_anti").groupBy("unit_id", "cause", "action", "context").agg(F.min(F.struct("row", "ord")).alias("f"))
+    first = F.row_number().over(Window.partitionBy("unit_id").orderBy("f.row", "cause", "f.ord", "action", "context"))
+    return fresh.withColumn("n", first).filter(F.col("n") <= cap).select("unit_id", "f.row", "cause", "action", "context")

@@ -133,3 +133,87 @@ def issues(graph: Graph, base: Graph, ontology: Ontology) -> DataFrame:
     for rows in out[1:]:
         result = result.unionByName(rows)
     return result
+
+
+def property_issues(nodes: DataFrame, base: DataFrame, fields: DataFrame) -> DataFrame:
+    """(code, kind, id, field, severity, introduced): what is wrong with the properties of nodes.
+
+    nodes and base(node_id, type, name, properties): properties maps fields to JSON values. fields(type,
+    field, kind, items) has the properties of each type: kind is string, number, integer, boolean or
+    array, items the type of an array's items or null. A field ending in _id must be the node's id
+    (CANONICAL_ID), one called name its name (CANONICAL_NAME), and a value that is there and not null
+    of the field's kind (VALUE_TYPE). An issue was introduced if the node is new or its value has
+    changed. Nodes of unknown types have none; of repeated base nodes the least value counts.
+    """
+    rows = nodes.join(F.broadcast(fields), "type")
+    # properties of base, one row each, so that only the fields in question are compared
+    old = base.select("node_id", F.explode("properties").alias("field", "was")).groupBy("node_id", "field").agg(F.min("was").alias("was"))
+    known = base.select("node_id", F.lit(True).alias("known")).distinct()
+    rows = rows.join(old, ["node_id", "field"], "left").join(known, "node_id", "left").withColumn("value", F.try_element_at("properties", F.col("field")))
+    parsed = F.try_parse_json("value")
+    shape = F.when(parsed.isNotNull(), F.schema_of_variant(parsed))
+    text = F.when(shape == "STRING", F.try_variant_get(parsed, "$", "string"))
+    number = shape.rlike("^(BIGINT|INT|TINYINT|SMALLINT|FLOAT|DOUBLE|DECIMAL)")
+    whole = shape.rlike(r"^(BIGINT|INT|TINYINT|SMALLINT|DECIMAL\([0-9]+,0\))")
+    kind = F.coalesce("kind", F.lit("string"))
+    listed = shape.startswith("ARRAY") & (F.coalesce("items", F.lit("string")).isin("string") & shape.isin("ARRAY<STRING>", "ARRAY<VOID>") | (F.coalesce("items", F.lit("string")) != "string"))
+    fits = F.when(kind == "string", shape == "STRING").when(kind == "number", number).when(kind == "integer", whole).when(kind == "boolean", shape == "BOOLEAN").when(kind == "array", listed).otherwise(False)
+    introduced = F.col("known").isNull() | ~F.col("value").eqNullSafe(F.col("was"))
+    codes = F.array_compact(F.array(
+        F.when(F.col("field").endswith("_id") & ~text.eqNullSafe(F.col("node_id")), "CANONICAL_ID"),
+        F.when((F.col("field") == "name") & F.col("value").isNotNull() & ~text.eqNullSafe(F.col("name")), "CANONICAL_NAME"),
+        F.when(F.col("value").isNotNull() & (F.trim("value") != "null") & ~F.coalesce(fits, F.lit(False)), "VALUE_TYPE"),
+    ))
+    return rows.select(F.explode(codes).alias("code"), F.lit("node").alias("kind"), F.col("node_id").alias("id"), "field", F.lit("error").alias("severity"), introduced.alias("introduced"))
+
+
+def unit_violations(units: DataFrame) -> DataFrame:
+    """(unit_id, rule, ref): reading units that own nothing, own what is their context, or share what they own.
+
+    units(unit_id, owned, context) with arrays of references; sound units have no rows.
+    """
+    none = F.array().cast("array<string>")
+    owned, context = F.coalesce("owned", none), F.coalesce("context", none)
+    empty = units.filter(F.size(owned) == 0).select("unit_id", F.lit("OWNS_NOTHING").alias("rule"), F.lit(None).cast("string").alias("ref"))
+    both = units.select("unit_id", F.lit("OWNED_AND_CONTEXT").alias("rule"), F.explode(F.array_intersect(owned, context)).alias("ref"))
+    each = units.select("unit_id", F.explode(F.array_distinct(owned)).alias("ref")).distinct()
+    twice = each.groupBy("ref").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = each.join(twice.select("ref"), "ref").select("unit_id", F.lit("OWNED_TWICE").alias("rule"), "ref")
+    return empty.unionByName(both).unionByName(shared)
+
+
+def certificate_violations(certificates: DataFrame) -> DataFrame:
+    """(assertion_id, rule): certificates that contradict themselves.
+
+    certificates(assertion_id, evidence, witnesses, verdict, confirmed_by, rejected_by): each needs
+    evidence, has each witness once, the verifier if and only if the verdict is supported, the reviewer
+    if and only if someone confirmed, and isn't both confirmed and rejected.
+    """
+    none = F.array().cast("array<string>")
+    evidence, witnesses = F.coalesce("evidence", none), F.coalesce("witnesses", none)
+    supported = F.coalesce(F.col("verdict") == "supported", F.lit(False))
+    confirmed, rejected = F.col("confirmed_by").isNotNull(), F.col("rejected_by").isNotNull()
+    rules = {
+        "NO_EVIDENCE": F.size(evidence) == 0, "WITNESS_TWICE": F.size(F.array_distinct(witnesses)) < F.size(witnesses), "VERIFIER_WITHOUT_SUPPORT": F.array_contains(witnesses, "verifier") != supported,
+        "REVIEWER_WITHOUT_NAME": F.array_contains(witnesses, "reviewer") != confirmed, "CONFIRMED_AND_REJECTED": confirmed & rejected,
+    }
+    return certificates.select("assertion_id", F.explode(F.array_compact(F.array(*[F.when(test, rule) for rule, test in rules.items()]))).alias("rule"))
+
+
+def question_violations(questions: DataFrame, offered: dict[str, tuple[str, ...]], needs_input: tuple[str, ...], sourced: tuple[str, ...]) -> DataFrame:
+    """(question_id, rule): questions that can't be answered as they are.
+
+    questions(question_id, kind, title, options, default, source): a title ends in a question mark, the
+    options are those of the kind, each once, the default is one that needs no text, and kinds that
+    must show what the manual says have a source.
+    """
+    options = F.coalesce("options", F.array().cast("array<string>"))
+    expected = F.lit(None).cast("array<string>")
+    for kind, ids in offered.items():
+        expected = F.when(F.col("kind") == kind, F.array(*map(F.lit, sorted(ids)))).otherwise(expected)
+    rules = {
+        "NO_QUESTION": ~F.coalesce(F.rtrim("title").endswith("?"), F.lit(False)), "WRONG_OPTIONS": ~F.array_sort(options).eqNullSafe(expected),
+        "WRONG_DEFAULT": ~F.coalesce(F.array_contains(options, F.col("default")) & ~F.col("default").isin(*needs_input), F.lit(False)),
+        "NO_SOURCE": F.col("kind").isin(*sourced) & (F.coalesce("source", F.lit("")) == ""),
+    }
+    return questions.select("question_id", F.explode(F.array_compact(F.array(*[F.when(test, rule) for rule, test in rules.items()]))).alias("rule"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from graphwright.operators import edit_algebra as E
 from graphwright.operators import guards as X
 from graphwright.operators import scoring as C
-from graphwright.operators.binding import restated
+from graphwright.operators import validation as V
+from graphwright.operators.binding import remedies_in_context, restated
 from graphwright.plans import graph_staging as GS
 from graphwright.plans import staging as S
 from graphwright.plans.checkpoints import cut, shared_folder
@@ -152,3 +153,70 @@ def judged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = edges.filter("trusted").select(F.col("l_orderkey").alias("claim"), F.when(F.col("type") == "RESOLVED_BY", "action").otherwise("indicator").alias("kind"), "edge")
     return C.pairs_to_judge(found, edges.drop("l_orderkey")).select("claim", "kind", "first_edge", "edges")
+
+
+#: Properties of the types of the derived graph.
+FIELDS = [
+    ("FailureMode", "cause_id", "string", None), ("FailureMode", "component", "string", None), ("FailureMode", "rating", "integer", None), ("FailureMode", "tags", "array", "string"),
+    ("CorrectiveAction", "name", "string", None), ("CorrectiveAction", "price", "number", None), ("CorrectiveAction", "spare", "boolean", None),
+]
+
+
+def described(nodes: DataFrame, edited: bool) -> DataFrame:
+    """Nodes with properties that follow from their ids; edited ones differ here and there, and some are of the wrong kind."""
+    digits = F.regexp_extract("node_id", "([0-9]+)$", 1).try_cast("long")
+    n = F.coalesce(digits, F.lit(0))
+    said = lambda c: F.to_json(F.struct(c.alias("x"))).substr(6, 10_000)
+    quoted = lambda c: F.regexp_replace(said(c), r"\}$", "")
+    shift = F.when(F.lit(edited) & (n % 7 == 0), "9").otherwise("")
+    values = {
+        "cause_id": F.when(n % 5 != 0, quoted(F.concat("node_id", F.when(n % 11 == 0, "x").otherwise("")))),
+        "component": F.when(n % 6 == 0, n.cast("string")).when(n % 6 == 1, "null").otherwise(quoted(F.coalesce("component", F.lit("none")))),
+        "rating": F.when(n % 4 == 0, F.concat(n.cast("string"), F.lit(".5"))).when(n % 4 == 1, quoted(n.cast("string"))).otherwise(F.concat(F.lit("1"), shift)),
+        "tags": F.when(n % 8 == 0, '["a", 1]').when(n % 8 == 1, "[]").when(n % 8 == 2, '{"a": "b"}').otherwise('["a", "b"]'),
+        "name": F.when(n % 3 != 0, quoted(F.concat("name", F.when(n % 9 == 1, "!").otherwise("")))),
+        "price": F.when(n % 2 == 0, F.concat(n.cast("string"), F.lit(".25"))).otherwise("true"),
+        "spare": F.when(n % 2 == 0, "false").otherwise("not json"),
+    }
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in values.items()])
+    return nodes.select("node_id", "type", "name", F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull())).alias("properties"))
+
+
+@query("e09_property_issues")
+def property_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the properties of the edited graph's nodes; held against a loop in a test."""
+    old, new = (described(GS.rows(spark, sf_dir, t).distinct(), e) for t, e in ((GS.NODE, False), (GS.NEW_NODE, True)))
+    return V.property_issues(new, old, spark.createDataFrame(FIELDS, "type string, field string, kind string, items string"))
+
+
+@query(
+    "p12_certificate_violations",
+    """with certificates as (select distinct l_orderkey || '.' || l_linenumber || '.' || l_partkey || '.' || l_suppkey as id, l_partkey % 17 <> 0 as evidence, l_suppkey % 3 = 0 as v, l_suppkey % 5 = 0 as r, l_partkey % 13 = 0 as twice, l_partkey % 3 = 0 as supported, l_partkey % 5 = 0 as confirmed, l_partkey % 35 = 0 as rejected from lineitem)
+    select id as assertion_id, unnest(list_filter([case when not evidence then 'NO_EVIDENCE' end, case when twice then 'WITNESS_TWICE' end, case when v <> supported then 'VERIFIER_WITHOUT_SUPPORT' end, case when r <> confirmed then 'REVIEWER_WITHOUT_NAME' end, case when confirmed and rejected then 'CONFIRMED_AND_REJECTED' end], lambda x: x is not null)) as rule from certificates""",
+)
+def certificate_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as certificates that contradict themselves."""
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    witnesses = F.array_compact(F.array(F.lit("structure"), F.when(part % 13 == 0, "structure"), F.when(supp % 3 == 0, "verifier"), F.when(supp % 5 == 0, "reviewer")))
+    rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().select(
+        F.concat_ws(".", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("assertion_id"), F.when(part % 17 != 0, F.array(F.lit("p1.b1"))).alias("evidence"), witnesses.alias("witnesses"),
+        F.when(part % 3 == 0, "supported").otherwise("unclear").alias("verdict"), F.when(part % 5 == 0, "human").alias("confirmed_by"), F.when(part % 35 == 0, "human").alias("rejected_by"),
+    )
+    return V.certificate_violations(rows)
+
+
+@query("j08_remedies_in_context")
+def remedies_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remedies of the first line of a flag offered to the causes of its later lines, in their context; held against a loop in a test."""
+    causes, remedies = inherited_rows(spark, sf_dir)
+    return remedies_in_context(causes, remedies, 20)
+
+
+def inherited_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(causes, remedies) of units of eight orders: a row for each order and line, remedies in spellings that are alike."""
+    lines = read_table(spark, sf_dir, "lineitem").join(read_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    base = lines.select(
+        F.floor(F.col("l_orderkey") / 8).alias("unit_id"), (F.col("l_linenumber") % 4).cast("long").alias("row"), F.col("p_name").alias("cause"), F.concat_ws(" ", F.lit("Replace the"), "p_type", F.when(F.col("l_suppkey") % 2 == 0, "now")).alias("action"),
+        F.when(F.col("l_quantity") > 40, "if hot").alias("context"), F.concat_ws("/", F.lpad("l_orderkey", 9, "0"), "l_linenumber", "l_partkey", "l_suppkey").alias("ord"),
+    ).distinct()
+    return base.select("unit_id", "row", F.when(F.col("row") > 0, F.col("row") - 1).otherwise(0).alias("origin"), "cause"), base

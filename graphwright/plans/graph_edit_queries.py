@@ -224,9 +224,7 @@ def missing_acknowledgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the acknowledged issues of each code, by the last digit of their targets, are all that must be."""
     required = _issues(spark, sf_dir).filter("introduced and severity = 'warning'").select("code", "id").distinct()
     given = F.col("id").rlike("[25]$")
-    lists = required.groupBy("code").agg(F.collect_set("id").alias("required"), F.collect_set(F.when(given, F.col("id"))).alias("acknowledged"))
-    complete = F.size(F.array_except("required", "acknowledged")) == 0
-    return lists.select("code", F.size("required").cast("long").alias("required"), F.size("acknowledged").cast("long").alias("acknowledged"), complete.alias("complete"))
+    return required.groupBy("code").agg(F.count(F.lit(1)).alias("required"), F.count_if(given).alias("acknowledged"), (F.count_if(~F.coalesce(given, F.lit(False))) == 0).alias("complete"))
 
 
 @query(

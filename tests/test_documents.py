@@ -207,3 +207,75 @@ def test_recomputed_graph_against_a_loop(spark, small):
         near = met[k[3]]
         assert v[1:3] == (any(t for t, _ in near), next((t for t in ("green", "yellow") if any(x == t for _, x in near)), None))
         assert old.get(k[1:], k[0]) == k[0] and (k[1:] in old or k[0].startswith("v3e_"))
+
+
+def test_property_issues_against_a_loop(spark, small):
+    from graphwright.operators import validation
+    from graphwright.plans import graph_staging as GS
+
+    new, old = (Q.described(GS.rows(spark, small, t).distinct(), e).collect() for t, e in ((GS.NEW_NODE, True), (GS.NODE, False)))
+    before = {r["node_id"]: r["properties"] for r in old}
+    kinds = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "array": list}
+    expected = Counter()
+    for node in new:
+        for type_, field, kind, items in Q.FIELDS:
+            if type_ != node["type"]:
+                continue
+            raw = node["properties"].get(field)
+            try:
+                value = json.loads(raw) if raw is not None else None
+                bad = False
+            except ValueError:
+                value, bad = None, True
+            fresh = node["node_id"] not in before or before[node["node_id"]].get(field) != raw
+            if field.endswith("_id") and value != node["node_id"]:
+                expected["CANONICAL_ID", node["node_id"], field, fresh] += 1
+            if field == "name" and raw is not None and value != node["name"]:
+                expected["CANONICAL_NAME", node["node_id"], field, fresh] += 1
+            fits = isinstance(value, kinds[kind]) and (kind == "boolean" or not isinstance(value, bool)) and (kind != "array" or items != "string" or all(isinstance(v, str) for v in value))
+            if bad or value is not None and not fits:
+                expected["VALUE_TYPE", node["node_id"], field, fresh] += 1
+    got = Counter((r["code"], r["id"], r["field"], r["introduced"]) for r in Q.property_issues(spark, small).collect())
+    assert got == expected and {k[0] for k in got} == {"CANONICAL_ID", "CANONICAL_NAME", "VALUE_TYPE"} and {k[3] for k in got} == {True, False}
+    schema = "node_id string, type string, name string, properties map<string,string>"
+    odd = spark.createDataFrame([("a", "T", None, None), ("b", None, "b", {}), ("c", "T", "c", {"size": "null"})], schema)
+    fields = spark.createDataFrame([("T", "size", "integer", None)], "type string, field string, kind string, items string")
+    assert validation.property_issues(odd, odd, fields).count() == 0
+
+
+def test_record_violations(spark):
+    from graphwright.operators import validation as V
+
+    units = spark.createDataFrame([("u1", ["a", "b"], ["c"]), ("u2", ["b", "d", "d"], ["d"]), ("u3", None, ["a"]), ("u4", ["e"], None)], "unit_id string, owned array<string>, context array<string>")
+    assert {tuple(r) for r in V.unit_violations(units).collect()} == {("u1", "OWNED_TWICE", "b"), ("u2", "OWNED_TWICE", "b"), ("u2", "OWNED_AND_CONTEXT", "d"), ("u3", "OWNS_NOTHING", None)}
+    rows = [(1, ["e"], ["structure", "verifier"], "supported", None, None), (2, [], ["structure", "structure"], "unclear", None, None), (3, ["e"], ["verifier"], None, "human", "human"), (4, None, None, "supported", None, None), (5, ["e"], ["reviewer"], "unclear", "agent", None)]
+    got = V.certificate_violations(spark.createDataFrame(rows, "assertion_id int, evidence array<string>, witnesses array<string>, verdict string, confirmed_by string, rejected_by string")).collect()
+    assert {tuple(r) for r in got} == {(2, "NO_EVIDENCE"), (2, "WITNESS_TWICE"), (3, "VERIFIER_WITHOUT_SUPPORT"), (3, "REVIEWER_WITHOUT_NAME"), (3, "CONFIRMED_AND_REJECTED"), (4, "NO_EVIDENCE"), (4, "VERIFIER_WITHOUT_SUPPORT")}
+    asked = [(1, "merge", "Same part? ", ["yes", "no"], "no", "s"), (2, "merge", "Same part", ["yes", "yes", "no"], "fix", None), (3, "name", "Which name?", ["fix", "keep"], "fix", ""), (4, None, None, None, None, None)]
+    found = V.question_violations(spark.createDataFrame(asked, "question_id int, kind string, title string, options array<string>, default string, source string"), {"merge": ("yes", "no"), "name": ("keep", "fix")}, ("fix",), ("merge",)).collect()
+    assert {tuple(r) for r in found} == {(2, "NO_QUESTION"), (2, "WRONG_OPTIONS"), (2, "WRONG_DEFAULT"), (2, "NO_SOURCE"), (3, "WRONG_DEFAULT"), (4, "NO_QUESTION"), (4, "WRONG_OPTIONS"), (4, "WRONG_DEFAULT")}
+
+
+def test_remedies_in_context_against_a_loop(spark, small):
+    causes, remedies = (df.collect() for df in Q.inherited_rows(spark, small))
+    at = defaultdict(list)
+    for r in sorted(remedies, key=lambda r: r["ord"]):
+        kept = at[r["unit_id"], r["row"]]
+        if not any(name_similarity(r["action"], o["action"]) >= 0.75 and (r["context"] or "") == (o["context"] or "") for o in kept):
+            kept.append(r)
+    have = {(r["unit_id"], r["cause"], r["action"], r["context"] or "") for r in remedies}
+    fresh = {}
+    for c in {tuple(c) for c in causes}:
+        unit, row, origin, cause = c
+        for o in at[unit, origin] if origin < row else ():
+            key = (unit, cause, o["action"], o["context"] or "")
+            if key not in have:
+                fresh[key] = min(fresh.get(key, (row, o["ord"])), (row, o["ord"]))
+    expected = set()
+    units = defaultdict(list)
+    for (unit, cause, action, context), (row, order) in fresh.items():
+        units[unit].append((row, cause, order, action, context))
+    for unit, mine in units.items():
+        expected |= {(unit, row, cause, action, context) for row, cause, _, action, context in sorted(mine)[:20]}
+    got = Q.remedies_with_context(spark, small).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected) > 100
