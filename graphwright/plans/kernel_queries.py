@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphwright.functions import text as T
 from graphwright.operators import certify as C
+from graphwright.operators import summaries as Y
 from graphwright.plans import staging as S
 from graphwright.plans.graph_queries import _ASSERTION, _EDGE
 from graphwright.plans.review_queries import _ANSWER, _answers
@@ -217,8 +218,7 @@ def common_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of both reads that some units don't contradict."""
     rows = S.proposals(spark, sf_dir)
     key = ["relation_type", "source_name", "target_name"]
-    both = rows.filter("read = 'A'").select(*key).intersect(rows.filter("read = 'B'").select(*key))
-    return both.subtract(rows.filter("verdict = 'not_supported' and unit_id % 2 = 0").select(*key))
+    return Y.common_relations(rows, key, F.expr("verdict = 'not_supported' and unit_id % 2 = 0"))
 
 
 @query(
@@ -229,10 +229,8 @@ def common_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def complete_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each nation lacks of all market segments among its rich customers."""
     customers = read_table(spark, sf_dir, "customer")
-    rich = customers.filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("folder"), F.col("c_mktsegment").alias("name")).distinct()
-    wanted = rich.select("folder").distinct().join(F.broadcast(customers.agg(F.collect_set("c_mktsegment").alias("all"))))
-    held = rich.groupBy("folder").agg(F.collect_set("name").alias("names"))
-    return wanted.join(held, "folder").select("folder", F.array_join(F.array_sort(F.array_except("all", "names")), ",").alias("missing"))
+    rich = customers.filter("c_acctbal > 5000").select(F.col("c_nationkey").alias("folder"), F.col("c_mktsegment").alias("name"))
+    return Y.missing_names(rich, "folder", customers.select(F.col("c_mktsegment").alias("name"))).select("folder", F.array_join("missing", ",").alias("missing"))
 
 
 @query("x21_context_texts", f"with {_ASSERTION} select unit_id, array_to_string(list_sort(list_distinct(flatten(list(list_transform(conditions, lambda c: '[if] ' || c))))), '; ') as context from assertion group by unit_id")
@@ -354,6 +352,4 @@ def recomputed_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def known_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose content an earlier one has."""
-    hashed = read_table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    firsts = hashed.groupBy("digest").agg(F.min("doc_id").alias("known"))
-    return hashed.join(firsts, "digest").select("doc_id", F.when(F.col("known") < F.col("doc_id"), F.col("known")).alias("known"))
+    return Y.first_holders(read_table(spark, sf_dir, "documents"), "doc_id", F.col("text"))

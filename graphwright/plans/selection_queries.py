@@ -9,6 +9,7 @@ from graphwright.operators import certify as C
 from graphwright.operators import graph as G
 from graphwright.operators import review as R
 from graphwright.operators import selection as Z
+from graphwright.operators import summaries as Y
 from graphwright.operators.ranking import ranked
 from graphwright.plans import graph_staging as GS
 from graphwright.plans import staging as S
@@ -205,8 +206,7 @@ def best_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w23_revision_numbers", "select o_custkey, max(n) + 1 as next_revision, count(*) as revisions from (select o_custkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as n from orders) group by o_custkey")
 def revision_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number that the next revision of each customer gets."""
-    numbered = read_table(spark, sf_dir, "orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")))
-    return numbered.groupBy("o_custkey").agg((F.max("n") + 1).cast("long").alias("next_revision"), F.count(F.lit(1)).alias("revisions"))
+    return Y.next_revisions(read_table(spark, sf_dir, "orders"), "o_custkey")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphwright.operators import certify as C
+from graphwright.operators import summaries as Y
 from graphwright.plans import staging as S
 from graphwright.plans.graph_queries import _ASSERTION, _EDGE
 from graphwright.registry import query
@@ -33,10 +34,7 @@ def majority_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
     label = F.when(flag == "A", "procedure").when(flag == "R", "other").otherwise(F.when(F.col("l_discount") == 0.05, "diagnostic").otherwise("parts"))
     votes = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), label.alias("label"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ord"))
-    counted = votes.groupBy("page", "label").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
-    best = F.min(F.struct((-F.col("n")).alias("n"), "first", "label"))
-    pages = counted.groupBy("page").agg(F.bool_or(F.col("label") == "diagnostic").alias("d"), best.alias("best"), F.count(F.lit(1)).alias("labels"))
-    return pages.select("page", F.when(F.col("d"), "diagnostic").otherwise(F.col("best.label")).alias("label"), (F.col("labels") > 1).alias("unsure"))
+    return Y.majority_labels(votes, "page")
 
 
 @query(
@@ -45,9 +43,7 @@ def majority_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls and cost by operation, and over all."""
-    live = S.live_events(spark, sf_dir)
-    totals = live.rollup("kind").agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("run_id").alias("runs"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-    return totals.select(F.coalesce("kind", F.lit("all")).alias("operation"), "calls", "runs", "cents")
+    return Y.usage_totals(S.live_events(spark, sf_dir), "kind", "run_id", F.round(F.col("value") * 100).cast("long"))
 
 
 @query(
@@ -71,10 +67,8 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each part is represented, only rejected, or missing among the order lines."""
-    lines = read_table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_returnflag").alias("flag"), "l_orderkey")
-    hits = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")).join(lines, F.col("item") == F.col("l_partkey"), "left")
-    status = F.when(F.bool_or(F.col("flag") == "A"), "REPRESENTED").when(F.bool_or(F.col("flag").isNotNull()), "REJECTED_PROPOSAL").otherwise("MISSING")
-    return hits.groupBy("item").agg(status.alias("status"), F.count_distinct(F.when(F.col("flag") == "A", F.col("l_orderkey"))).alias("represented_by"))
+    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_orderkey").alias("relation"), (F.col("l_returnflag") == "A").alias("accepted"))
+    return Y.coverage_status(read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item")), lines)
 
 
 @query(
@@ -85,10 +79,7 @@ def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def attempt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts of each run, and what all of them took together."""
-    upto = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = S.live_events(spark, sf_dir).withColumn("attempt", F.sum((F.col("kind") == "run_started").cast("int")).over(upto))
-    each = rows.groupBy("run_id", "attempt").agg(F.count(F.lit(1)).alias("events"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
-    return each.groupBy("run_id").agg(F.count(F.lit(1)).alias("attempts"), F.sum("events").alias("events"), F.sum("cents").alias("cents"), F.max("events").alias("longest"))
+    return Y.attempt_totals(S.live_events(spark, sf_dir), F.round(F.col("value") * 100).cast("long"))
 
 
 @query(
@@ -101,8 +92,7 @@ def evidence_on_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read_table(spark, sf_dir, "lineitem")
     gold = items.filter("l_linestatus = 'F'").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.col("l_partkey") % 50).alias("g"))
     pred = items.filter("l_linestatus = 'O'").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set((F.col("l_suppkey") % 50).cast("long")).alias("p"))
-    overlap = F.arrays_overlap("g", "p").cast("int")
-    return gold.join(pred, "id").groupBy((F.col("id") % 10).alias("family")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(overlap), 6).alias("share"))
+    return Y.evidence_overlap(gold.join(pred, "id").withColumn("family", F.col("id") % 10), "family", "g", "p")
 
 
 @query(
@@ -112,9 +102,7 @@ def evidence_on_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and means of each group before and after a version."""
     old = F.year("o_orderdate") < 1996
-    return read_table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("manual")).agg(
-        F.count_if(old).alias("before"), F.count_if(~old).alias("after"), F.round(F.avg(F.when(old, F.col("o_totalprice"))), 2).alias("mean_before"), F.round(F.avg(F.when(~old, F.col("o_totalprice"))), 2).alias("mean_after")
-    )
+    return Y.before_after(read_table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "manual"), "manual", old, "o_totalprice")
 
 
 @query(
@@ -249,9 +237,7 @@ def synthetic_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 def budget_increases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each new budget of a user is larger than the one before."""
     budget = F.round(F.col("value") * 100).cast("long")
-    before = F.lag(budget).over(Window.partitionBy("user_id").orderBy("event_id"))
-    raises = read_table(spark, sf_dir, "events").filter("event_type = 'signup'").select("user_id", "event_id", budget.alias("budget"), before.alias("before"))
-    return raises.filter("before is not null").withColumn("valid", F.col("budget") > F.col("before"))
+    return Y.raises(read_table(spark, sf_dir, "events").filter("event_type = 'signup'").select("user_id", "event_id", budget.alias("budget")), "user_id", "event_id")
 
 
 @query(
@@ -262,8 +248,7 @@ def budget_increases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def versions_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of each customer by date, those without one last."""
     date = F.when(F.col("o_orderkey") % 6 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
-    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.coalesce(date, F.lit("")).desc(), "o_orderkey"))
-    return read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", place.alias("place"))
+    return Y.newest_first(read_table(spark, sf_dir, "orders"), "o_custkey", date, "o_orderkey").select("o_custkey", "o_orderkey", "place")
 
 
 @query(
@@ -275,9 +260,7 @@ def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of an order, each at its first place."""
     rank = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     reads = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_linenumber") * 10 + rank).alias("ord"))
-    firsts = reads.groupBy("l_orderkey", "l_partkey").agg(F.min("ord").alias("ord"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "l_partkey"))), lambda p: p["l_partkey"].cast("string"))
-    return firsts.groupBy("l_orderkey").agg(F.array_join(parts, " ").alias("parts"))
+    return Y.ordered_union(reads, "l_orderkey", "l_partkey").select("l_orderkey", F.array_join(F.col("values").cast("array<string>"), " ").alias("parts"))
 
 
 @query(
