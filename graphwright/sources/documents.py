@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.functions.parsing import page_numbers
+from graphwright.operators.ordered import in_groups
 
 PROPERTY = "struct<name:string,required:boolean,type:string>"
 ONTOLOGY = f"nodes array<struct<name:string,description:string,properties:array<{PROPERTY}>>>, relations array<struct<name:string,domain:string,range:string,description:string>>"
@@ -39,12 +40,11 @@ class OntologyTables:
     roots: DataFrame
 
 
-def ontologies(texts: DataFrame, key: str, value: str, depth: int = 12) -> OntologyTables:
+def ontologies(texts: DataFrame, key: str, value: str) -> OntologyTables:
     """The types, properties and relations of ontology texts, and the root of each.
 
     The root is the type that no relation leads to and that reaches most other types; status is READ, or
-    NOT_JSON for a text that is no ontology, or NO_UNIQUE_ROOT if none or several are equal. Types reach
-    others over at most depth relations.
+    NOT_JSON for a text that is no ontology, or NO_UNIQUE_ROOT if none or several are equal.
     """
     parsed = texts.select(key, F.from_json(value, ONTOLOGY).alias("o"))
     whole = F.col("o.nodes").isNotNull() & F.col("o.relations").isNotNull()
@@ -54,14 +54,27 @@ def ontologies(texts: DataFrame, key: str, value: str, depth: int = 12) -> Ontol
         key, "type", F.col("p.name").alias("property"), F.coalesce("p.required", F.lit(False)).alias("required"), F.coalesce("p.type", F.lit("string")).alias("kind")
     )
     relations = parsed.filter(whole).select(key, F.explode("o.relations").alias("r")).select(key, "r.name", "r.domain", "r.range")
-    steps = relations.select(key, "domain", "range").distinct()
-    sources = types.select(key, "type").distinct().join(steps.select(key, F.col("range").alias("type")), [key, "type"], "left_anti")
-    found = front = sources.select(key, "type", F.col("type").alias("at"))
-    for _ in range(depth):
-        front = front.join(steps.withColumnRenamed("domain", "at"), [key, "at"]).select(key, "type", F.col("range").alias("at")).distinct()
-        found = found.unionByName(front)
-    reached = found.groupBy(key, "type").agg((F.count_distinct("at") - 1).alias("n"))
-    best = reached.groupBy(key).agg(F.max("n").alias("n")).join(reached, [key, "n"]).groupBy(key).agg(F.min("type").alias("root"), F.count(F.lit(1)).alias("equal"))
+    # an ontology is one document: its types and steps pass through one task, as a group of their own
+    steps = types.select(key, F.col("type").alias("domain"), F.lit(None).cast("string").alias("range")).unionByName(relations.select(key, "domain", "range")).distinct()
+
+    def rooted(part: list[tuple]) -> list[tuple]:
+        names, leads = {a for _, a, b in part if b is None}, {}
+        for _, a, b in part:
+            if b is not None:
+                leads.setdefault(a, set()).add(b)
+        led = set().union(*leads.values()) if leads else set()
+        reached = {}
+        for start in names - led:
+            seen, todo = {start}, [start]
+            while todo:
+                fresh = leads.get(todo.pop(), set()) - seen
+                seen |= fresh
+                todo += fresh
+            reached[start] = len(seen)
+        best = [n for n, size in reached.items() if size == max(reached.values())]
+        return [(part[0][0], min(best, default=None), len(best))]
+
+    best = in_groups(steps, key, "domain", rooted, f"`{key}` {dict(texts.dtypes)[key]}, root string, equal int")
     status = F.when(~F.coalesce(F.col("whole"), F.lit(False)), "NOT_JSON").when(F.coalesce("equal", F.lit(0)) != 1, "NO_UNIQUE_ROOT").otherwise("READ")
     roots = parsed.select(key, whole.alias("whole")).join(best, key, "left").select(key, F.when(status == "READ", F.col("root")).alias("root"), status.alias("status"))
     return OntologyTables(types, properties, relations, roots)
