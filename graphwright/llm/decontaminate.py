@@ -3,7 +3,8 @@
 Texts become template tokens: numbers (in digits or words), units and names turn into typed
 placeholders, all other words are lower-cased without the punctuation around them. A number with its
 unit attached is two tokens, a run of number words is one, and so is a run of capitalised words, as
-long as no punctuation parts them. A capitalised word is a name wherever it stands; that of a
+long as no punctuation parts them. Digits within a word (5x, x^2) are a placeholder in that word, and
+a sign of arithmetic that stands alone is a word. A capitalised word is a name wherever it stands; that of a
 sentence's first word is unknown, but item and document are read alike. Windows of five tokens are
 hashed, and the windows of documents are joined with those of benchmark items on the hash.
 
@@ -17,8 +18,12 @@ Whether a document holds an item is decided for each pair of them, and each way
 the windows that match. Windows that are no further apart than the item is long make a region. In a
 region each slot value of the item stands for one value in the document, and two names never stand
 for one; the alignments with most windows come first, and windows that contradict them don't count.
-An item's window is held if all its tokens are in windows that count, and a leak is a region that
-holds enough of all the item's windows.
+An item's window is held if all its tokens are held, and a leak is a region that holds enough of all
+the item's windows. Tokens in windows that count are held. So are tokens up to AROUND further out in
+the same alignment, which each window carries: those that are alike; placeholders with consistent
+values beside a word that is alike; and words that differ, as names in lower case do, if those on both
+sides are held, one word stands for one throughout, and no more than RENAMED of the item's tokens are
+of this kind.
 
 Documents are filtered on the way to the join by a bitmap of the items' window hashes. The bitmap
 has a fixed size, whatever the number of items, so it may be sent to every task; what passes it by
@@ -30,6 +35,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +51,10 @@ WINDOW = 5
 THRESHOLD = 0.8
 #: A window with placeholders needs so many other tokens; without placeholders it needs none.
 LITERALS = 2
+#: Tokens on each side of a window that are compared once the window has matched.
+AROUND = WINDOW
+#: Share of an item's tokens that may be words replaced by other words.
+RENAMED = 0.2
 #: Bits of the bitmap, as a power of two: 2 MB.
 FILTER_BITS = 24
 #: Salts of the join, against windows that very many documents share.
@@ -75,12 +85,16 @@ SMALL_NUMBERS = """zero one two three four five six seven eight nine ten eleven
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 NUMBER_WORDS = dict(zip(SMALL_NUMBERS, range(20), strict=True)) | {t: 10 * i for i, t in enumerate(TENS, 2)} | {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9}
 
+# Signs of arithmetic that are words when they stand alone; a dash is not.
+SIGNS = frozenset("+ * / = ^ < > × ÷".split())
+
 _EDGE = re.compile(r"^[^\w%$€£]+|[^\w%]+$")
 _NUMBER = re.compile(r"([$€£+\-]?\d[\d.,:/\-]*)([^\d.,:/\-]*)")
+_DIGITS = re.compile(r"\d+(?:[.,]\d+)*")
 _ENDS = (".", "!", "?", ":")
 _NUM, _NAME, _UNIT = (np.uint64(xxhash.xxh64_intdigest(t)) for t in ("<number>", "<name>", "<unit>"))
 
-NUMBER, UNIT_WORD, CAPITAL, ENDS_SENTENCE, EMPTY, CLOSED, SPELLED, ATTACHED = (1 << i for i in range(8))
+NUMBER, UNIT_WORD, CAPITAL, ENDS_SENTENCE, EMPTY, CLOSED, SPELLED, ATTACHED, GLUED = (1 << i for i in range(9))
 
 
 def composed(words: list[str]) -> str:
@@ -115,14 +129,17 @@ def measure(bare: str) -> tuple[str, str]:
 
 
 def word_kind(word: str) -> tuple[int, int, int]:
-    """(hash of the bare lower-case word, flags, hash of the attached unit) of one word with its punctuation."""
+    """(hash of the bare lower-case word, flags, other hash) of one word with its punctuation.
+
+    The other hash is that of an attached unit, or of a word with its digits left out.
+    """
     bare = word if word.isalpha() else _EDGE.sub("", word)
     flags = 0
     if bare is not word:
         tail = word.rstrip("\"')»”")
         flags = (ENDS_SENTENCE if tail.endswith(_ENDS) else 0) | (CLOSED if not word[-1].isalnum() else 0)
         if not bare:
-            return 0, flags | EMPTY, 0
+            return (xxhash.xxh64_intdigest(word), flags, 0) if word in SIGNS else (0, flags | EMPTY, 0)
     low, unit = bare.lower(), ""
     if bare[0].isdecimal() or bare[0] in "$€£+-":
         number, unit = measure(bare)
@@ -136,14 +153,21 @@ def word_kind(word: str) -> tuple[int, int, int]:
         flags |= UNIT_WORD
     if bare[0].isupper():
         flags |= CAPITAL
+    if not flags & NUMBER and (masked := without_digits(low)) != low:
+        return xxhash.xxh64_intdigest(low), flags | GLUED, xxhash.xxh64_intdigest(masked)
     return xxhash.xxh64_intdigest(low), flags, xxhash.xxh64_intdigest(unit) if unit else 0
 
 
+def without_digits(low: str) -> str:
+    """A word with a placeholder for each number in it."""
+    return _DIGITS.sub("<number>", low)
+
+
 def word_kinds(words: list[str]) -> list[np.ndarray]:
-    """(hashes, flags, hashes of attached units) of words; plain words, which most are, take a short way."""
+    """(hashes, flags, other hashes) of words; plain words, which most are, take a short way."""
     lows = list(map(str.lower, words))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, lows), np.uint64, len(words))
-    flags = np.fromiter((CAPITAL if w[0].isupper() else 0 for w in words), np.uint8, len(words))
+    flags = np.fromiter((CAPITAL if w[0].isupper() else 0 for w in words), np.uint16, len(words))
     units = np.zeros(len(words), np.uint64)
     for i, (word, low) in enumerate(zip(words, lows, strict=True)):
         if not word.isalpha() or low in UNITS or low in NUMBER_WORDS:
@@ -154,11 +178,12 @@ def word_kinds(words: list[str]) -> list[np.ndarray]:
 class Reading:
     """Texts one after another as tokens, read in one way.
 
-    text: each token's text; first, last: its words; hashes; number, unit, name: what it stands for.
+    text: each token's text; first, last: its words; hashes; masked: the same without digits within words;
+    number, unit, name, glued: what it stands for.
     """
 
-    def __init__(self, text: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: np.ndarray, number: np.ndarray, unit: np.ndarray, name: np.ndarray) -> None:
-        self.text, self.first, self.last, self.hashes, self.number, self.unit, self.name = text, first, last, hashes, number, unit, name
+    def __init__(self, text: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: np.ndarray, masked: np.ndarray, number: np.ndarray, unit: np.ndarray, name: np.ndarray, glued: np.ndarray) -> None:
+        self.text, self.first, self.last, self.hashes, self.masked, self.number, self.unit, self.name, self.glued = text, first, last, hashes, masked, number, unit, name, glued
 
     def merged(self, joins: np.ndarray) -> Reading:
         """Each token that joins made one with the token before it."""
@@ -166,7 +191,7 @@ class Reading:
             return self
         starts = np.flatnonzero(~joins)
         ends = np.append(starts[1:], len(joins)) - 1
-        return Reading(self.text[starts], self.first[starts], self.last[ends], np.add.reduceat(self.hashes, starts), self.number[starts], self.unit[starts], self.name[starts])
+        return Reading(self.text[starts], self.first[starts], self.last[ends], np.add.reduceat(self.hashes, starts), np.add.reduceat(self.masked, starts), self.number[starts], self.unit[starts], self.name[starts], self.glued[starts])
 
 
 class Templates:
@@ -200,7 +225,9 @@ class Templates:
         earlier[1:] = number[:-1]
         unit = second | ((kind & UNIT_WORD) > 0) & earlier & ~new & ~opens
         name = ((kind & CAPITAL) > 0) & ~number & ~unit
-        words_read = Reading(text[word], word, word, np.where(second, units[word], hashes[word]), number, unit, name)
+        glued = (kind & GLUED) > 0
+        own = np.where(second, units[word], hashes[word])
+        words_read = Reading(text[word], word, word, own, np.where(glued, units[word], own), number, unit, name, glued)
         # runs go on if no punctuation stands between
         goes_on = ~opens & ~second & ((flags[before] & CLOSED) == 0) & (word - before == 1)
         written = (kind & SPELLED) > 0
@@ -213,11 +240,12 @@ class Templates:
         follows[1:] = plain.name[:-1]
         return plain.merged(goes_on & plain.name & follows), plain
 
-    def rows(self, texts: list[str | None], keep: np.ndarray | None, widths: tuple[int, ...]) -> Iterator[tuple[int, int, int, int, int, int, list[str]]]:
-        """(text, way of reading, windows, width, position, hash, slot values) of texts' windows, those in the bitmap only if one is given.
+    def rows(self, texts: list[str | None], keep: np.ndarray | None, widths: tuple[int, ...]) -> Iterator[tuple[int, int, int, int, int, int, list[str], list[str]]]:
+        """(text, way of reading, windows, width, position, hash, slot values, tokens around) of texts' windows, those in the bitmap only if one is given.
 
         Without widths the texts are items: their windows have WINDOW tokens, or all of a shorter text.
-        Hashes of one window that are equal are listed once.
+        Hashes of one window that are equal are listed once. The tokens around are those of the window and
+        AROUND more on each side, empty beyond the text.
         """
         split = [(t or "").split() for t in texts]
         words = [w for own in split for w in own]
@@ -229,6 +257,7 @@ class Templates:
                 continue
             counts = np.bincount(reading.text, minlength=len(split))
             starts = np.cumsum(counts) - counts
+            token = cache(partial(self._token, words, reading, way))
             for width in widths or tuple(np.unique(np.minimum(counts[counts > 0], WINDOW)).tolist()):
                 if width > len(reading.text):
                     continue
@@ -239,18 +268,20 @@ class Templates:
                     for p, h in zip(at.tolist(), found.tolist(), strict=True):
                         values = [v for i in range(p, p + width) if slot[i] for v in [self._value(words, reading, i)]]
                         mine = int(reading.text[p])
-                        yield mine, way, int(counts[mine]) - width + 1, width, p - int(starts[mine]), h, values
+                        start, end = int(starts[mine]), int(starts[mine] + counts[mine])
+                        around = [token(i) if start <= i < end else "" for i in range(p - AROUND, p + width + AROUND)]
+                        yield mine, way, end - start - width + 1, width, p - start, h, values, around
 
     @staticmethod
     def _windows(reading: Reading, way: int, width: int, fits: np.ndarray, keep: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(positions, hashes, which tokens are slots) for each kind of placeholders of one way of reading."""
         measured = reading.number | reading.unit
-        token = np.where(reading.number, _NUM, np.where(reading.unit, _UNIT, reading.hashes))
+        token = np.where(reading.number, _NUM, np.where(reading.unit, _UNIT, reading.masked))
         if way == NAMED:
-            kinds = [(np.where(reading.name, _NAME, token), measured | reading.name, measured | reading.name)]
+            kinds = [(np.where(reading.name, _NAME, token), measured | reading.name, measured | reading.name | reading.glued)]
         else:
             # a number that stays is a slot value too
-            kinds = [(token, measured, measured), (reading.hashes, np.zeros(len(token), bool), reading.number)]
+            kinds = [(token, measured, measured | reading.glued), (reading.hashes, np.zeros(len(token), bool), reading.number | reading.glued)]
         earlier: list[np.ndarray] = []
         for tokens, blank, slot in kinds:
             rolled, usable = window_hashes(tokens, blank, width, 2 * width + way)
@@ -272,7 +303,18 @@ class Templates:
             return f"n{composed(parts)}" if parts else f"n{measure(bare[0])[0]}"
         if reading.unit[i]:
             return f"u{measure(bare[0])[1] or bare[0]}"
-        return f"m{' '.join(bare)}"
+        if reading.name[i]:
+            return f"m{' '.join(bare)}"
+        return f"g{bare[0]}"
+
+    @classmethod
+    def _token(cls, words: list[str], reading: Reading, way: int, i: int) -> str:
+        """A token as it is compared around a window: its slot value, or w (W with a capital) and the word."""
+        if reading.number[i] or reading.unit[i] or reading.glued[i] or way == NAMED and reading.name[i]:
+            return cls._value(words, reading, i)
+        word = words[reading.first[i]]
+        word = _EDGE.sub("", word) or word
+        return ("W" if word[0].isupper() else "w") + word.lower()
 
 
 def window_hashes(token: np.ndarray, blank: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -307,12 +349,12 @@ def in_blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def template_windows(rows: DataFrame, bitmap: np.ndarray | None, widths: tuple[int, ...] = ()) -> DataFrame:
-    """(id, content, text) -> (id, content, way, windows, width, pos, hash, slots): one row for each hash of each window.
+    """(id, content, text) -> (id, content, way, windows, width, pos, hash, slots, around): one row for each hash of each window.
 
     windows is the number of all windows of an item, width their tokens; see Templates.rows.
     """
-    names = ["id", "content", "way", "windows", "width", "pos", "hash", "slots"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+    names = ["id", "content", "way", "windows", "width", "pos", "hash", "slots", "around"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -323,7 +365,7 @@ def template_windows(rows: DataFrame, bitmap: np.ndarray | None, widths: tuple[i
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
 
-    return rows.mapInArrow(cut_up, "id long, content long, way int, windows long, width int, pos long, hash long, slots array<string>")
+    return rows.mapInArrow(cut_up, "id long, content long, way int, windows long, width int, pos long, hash long, slots array<string>, around array<string>")
 
 
 def window_bitmap(items: DataFrame) -> np.ndarray:
@@ -336,11 +378,12 @@ def window_bitmap(items: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def judged(matches: list[tuple[int, int, list[str], list[str]]], windows: int, width: int) -> tuple[int, int, int, bool]:
-    """(windows held, windows that match, windows that count, whether they are verbatim) of the best region.
+#: Position in the item and in the document, slot values of both; then the tokens around of both, if they are known.
+Match = tuple[int, int, list[str], list[str]] | tuple[int, int, list[str], list[str], list[str], list[str]]
 
-    matches are (position in the item, position in the document, the item's slot values, the document's).
-    """
+
+def judged(matches: list[Match], windows: int, width: int) -> tuple[int, int, int, bool]:
+    """(windows held, windows that match, windows that count, whether they are verbatim) of the best region."""
     matches = sorted(matches, key=lambda m: (m[1], m[0]))
     best = (0, 0, 0, False)
     start = 0
@@ -352,14 +395,16 @@ def judged(matches: list[tuple[int, int, list[str], list[str]]], windows: int, w
     return best
 
 
-def _judged_region(region: list[tuple[int, int, list[str], list[str]]], windows: int, width: int) -> tuple[int, int, int, bool]:
+def _judged_region(region: list[Match], windows: int, width: int) -> tuple[int, int, int, bool]:
     often = Counter(m[1] - m[0] for m in region)
     there: dict[str, str] = {}
     back: dict[str, str] = {}
     held = np.zeros(windows + width - 1, bool)
     counted: set[int] = set()
     verbatim = True
-    for pos, _, mine, theirs in sorted(region, key=lambda m: (-often[m[1] - m[0]], m[1] - m[0], m[0])):
+    # (item's position, alignment) -> the tokens there, in order of the windows that count
+    beside: dict[tuple[int, int], tuple[str, str]] = {}
+    for pos, at, mine, theirs, *around in sorted(region, key=lambda m: (-often[m[1] - m[0]], m[1] - m[0], m[0])):
         if pos in counted:
             continue
         new, new_back = dict(there), dict(back)
@@ -369,10 +414,44 @@ def _judged_region(region: list[tuple[int, int, list[str], list[str]]], windows:
         counted.add(pos)
         held[pos : pos + width] = True
         verbatim &= mine == theirs
+        if around:
+            beside |= {(i, at - pos): (a, b) for i, (a, b) in enumerate(zip(*around, strict=True), pos - AROUND) if a and b}
+    verbatim &= _hold_beside(beside, held, there, back)
     covered = np.convolve(held, np.ones(width, np.int64), "valid") == width
     return int(covered.sum()), len({m[0] for m in region}), len(counted), verbatim
 
 
+def _hold_beside(beside: dict[tuple[int, int], tuple[str, str]], held: np.ndarray, there: dict[str, str], back: dict[str, str]) -> bool:
+    """Marks tokens beside windows that count as held, if they are alike, have consistent values or are other words; whether all are alike."""
+    alike = True
+    differing: dict[int, tuple[str, str]] = {}
+    literal = {i for (i, _), (a, b) in beside.items() if a[0] in "wW" and a[1:] == b[1:]}
+    for (i, _), (a, b) in beside.items():
+        if held[i]:
+            continue
+        if a[0] in "wW" and b[0] in "wWm":
+            if a[1:] == b[1:]:
+                held[i] = True
+            # a word without a capital may be a name, and one with a capital is no other word without
+            elif a[0] == "w" or b[0] == "W":
+                differing.setdefault(i, (a, b))
+        elif a[0] == b[0] and (a == b or {i - 1, i + 1} & literal) and (a[0] != "g" or without_digits(a) == without_digits(b)):
+            # a value that differs stands beside a word that doesn't
+            if there.get(a, b) == b and (a[0] != "m" or back.get(b, a) == a):
+                there[a], back[b], held[i] = b, a, True
+                alike &= a == b
+    # a word that differs stands between words that don't
+    ends = np.concatenate([[True], held, [True]])
+    renamed = {i: ab for i, ab in differing.items() if not held[i] and ends[i] and ends[i + 2]}
+    pairs = {(a[1:], b[1:]) for a, b in renamed.values()}
+    kept = {a[1:] for (i, _), (a, b) in beside.items() if held[i] and i in literal and a[1:] == b[1:]}
+    one_to_one = len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) and not any(kept & {a, b} for a, b in pairs)
+    if not renamed or not one_to_one or len(renamed) > RENAMED * len(held):
+        return alike
+    held[list(renamed)] = True
+    return False
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -397,16 +476,16 @@ def find_leaks(
     bitmap = window_bitmap(known)
     widths = tuple(sorted(r["width"] for r in known.select("width").distinct().collect())) or (WINDOW,)
     corpus = docs.select(F.col(key).cast("long").alias("id"), content_hash(text).alias("content"), F.col(text).alias("text"))
-    found = template_windows(corpus, bitmap, widths).select("id", "content", "pos", "hash", "slots").withColumn("salt", F.pmod(F.xxhash64("id", "content"), F.lit(SALTS)))
+    found = template_windows(corpus, bitmap, widths).select("id", "content", "pos", "hash", "slots", "around").withColumn("salt", F.pmod(F.xxhash64("id", "content"), F.lit(SALTS)))
     salted = known.select(
-        F.col("id").alias("item_id"), F.col("content").alias("item_content"), "way", "windows", "width", F.col("pos").alias("item_pos"), F.col("hash").alias("h"), F.col("slots").alias("item_slots"),
+        F.col("id").alias("item_id"), F.col("content").alias("item_content"), "way", "windows", "width", F.col("pos").alias("item_pos"), F.col("hash").alias("h"), F.col("slots").alias("item_slots"), F.col("around").alias("item_around"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("s"),
     )
     pairs = found.join(salted, (F.col("hash") == F.col("h")) & (F.col("salt") == F.col("s")))
     one = ["id", "content", "item_id", "item_content", "way", "windows", "width"]
-    # a window that is held has its tokens in windows that match, of which each has width tokens
-    few = F.size(F.array_distinct(F.col("matches.item_pos"))) * F.col("width") >= F.lit(threshold) * F.col("windows")
-    grouped = pairs.groupBy(*one).agg(F.collect_set(F.struct("item_pos", "pos", "item_slots", "slots")).alias("matches")).filter(few)
+    # a window that is held has its tokens in or around windows that match
+    few = F.size(F.array_distinct(F.col("matches.item_pos"))) * (F.col("width") + 2 * AROUND) >= F.lit(threshold) * F.col("windows")
+    grouped = pairs.groupBy(*one).agg(F.collect_set(F.struct("item_pos", "pos", "item_slots", "slots", "item_around", "around")).alias("matches")).filter(few)
     names = ["shared", "counted", "held", "verbatim"]
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

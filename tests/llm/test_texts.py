@@ -146,6 +146,60 @@ def test_reparameterised_questions_are_found(spark, documents):
     assert not {d for d, _ in got if d >= clean}
 
 
+KINDS = {
+    "arithmetic": ["what is {n} + {m} * {k} - {j}?", "{n} * {m} + {k} / {j} = what", "calculate {n} / {m} + {k} and then {j} more"],
+    "formula": [
+        "The sum of {n}/{m} and {k}/{j} is divided by x^{m} + {n}x; what is the value for x = {k}?",
+        "find the roots of {n}x^2 + {m}x + {k} = 0 over the reals",
+        "for which y does {n}y + {m} = {k}y - {j} hold , and is it the only one ?",
+    ],
+    "lower case": [
+        "{a} has {n} apples and gives {b} {m} of them, how many apples does {a} have left?",
+        "every morning {a} runs {n} laps around the lake while {b} runs {m} laps , how many more laps does {a} run in a week ?",
+        "a shop sells {n} loaves to {a} and {m} loaves to {b} , how many loaves were sold on that day ?",
+    ],
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_questions_of_each_kind_are_found(spark, documents, kind):
+    rng = random.Random(23)
+    names = ["tom", "anna", "mary", "bob", "eve", "josé", "kim", "ulrike"]
+
+    def fill(template):
+        a, b = rng.sample(names, 2)
+        n, m, k, j = map(str, rng.sample(range(2, 500), 4))
+        return template.format(a=a, b=b, n=n, m=m, k=k, j=j)
+
+    items = [(i, fill(t)) for i, t in enumerate(KINDS[kind])]
+    docs, wanted = [], set()
+    for i, t in enumerate(KINDS[kind]):
+        for _ in range(30):
+            wanted.add((len(docs), i))
+            docs.append((len(docs), f"nobody asked about it . {fill(t)} later on some people met ."))
+    clean = len(docs)
+    for template in KINDS[kind]:
+        words = template.split()
+        for _ in range(10):  # every third word is another one
+            docs.append((len(docs), fill(" ".join("quux" if i % 3 == 1 and "{" not in w else w for i, w in enumerate(words)) + " quux quux")))
+            docs.append((len(docs), fill(" ".join(words[: len(words) // 2])) + " was never asked"))
+    got = leaks(spark, documents, docs, items)
+    assert len(wanted & set(got)) / len(wanted) >= 0.9
+    assert not {d for d, _ in got if d >= clean}
+
+
+def test_other_words_are_names_only_if_they_differ_throughout(spark, documents):
+    item = "tom has 12 apples and gives anna 5 of them, how many apples does tom have left in the end?"
+    docs = [
+        (1, "bob has 7 apples and gives mary 3 of them, how many apples does bob have left in the end?"),
+        (2, "bob has 7 apples and gives mary 3 of them, how many apples does tom have left in the end?"),
+        (3, "bob has 7 apples and gives bob 3 of them, how many apples does bob have left in the end?"),
+        (4, "bob has 7 pears or sells mary 3 of them, how many apples does bob have left in the end?"),
+        (5, item),
+    ]
+    assert leaks(spark, documents, docs, [(1, item)]) == {(1, 1): "reparameterised", (5, 1): "verbatim"}
+
+
 def test_clashing_slots_are_no_leak(spark, documents):
     words = decontaminate_words(ITEM)
     rng = random.Random(2)
@@ -172,6 +226,30 @@ def test_judging_against_brute_force():
         assert decontaminate.judged(matches, windows, width) == (held, len(matches), len(matches), bool(matches))
 
 
+def test_judging_of_slots_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(300):
+        windows, width = rng.randrange(1, 12), 5
+        length = windows + width - 1
+        item = [rng.choice(["w", "n1", "n2", "mtom", "mann"]) for _ in range(length)]
+        names = {v: rng.choice(["n1", "n2", "n3"] if v[0] == "n" else ["mbob", "meve"]) for v in item if v != "w"}
+        doc = ["w" if v == "w" else names[v] if rng.random() < 0.9 else v for v in item]
+        spans = [range(p, p + width) for p in range(windows) if rng.random() < 0.8]
+        matches = [(s[0], s[0] + 50, [item[i] for i in s if item[i] != "w"], [doc[i] for i in s if item[i] != "w"]) for s in spans]
+        # windows count from the left if all pairs of values so far make a function, one to one on names
+        taken: set[tuple[str, str]] = set()
+        tokens: set[int] = set()
+        count, alike = 0, True
+        for s in spans:
+            pairs = taken | {(item[i], doc[i]) for i in s if item[i] != "w"}
+            named = {(x, y) for x, y in pairs if x[0] == "m"}
+            if len({x for x, _ in pairs}) == len(pairs) and len({y for _, y in named}) == len(named):
+                taken, count, tokens = pairs, count + 1, tokens | set(s)
+                alike &= all(item[i] == doc[i] for i in s)
+        held = sum(set(range(p, p + width)) <= tokens for p in range(windows))
+        assert decontaminate.judged(matches, windows, width) == max((0, 0, 0, False), (held, len(matches), count, alike and bool(spans)))
+
+
 def test_word_kinds():
     values = {"5km": ("5", "km"), "12%": ("12", "%"), "$3.50": ("$3.50", ""), "3rd": ("", ""), "1,000": ("1,000", ""), "km": ("", "")}
     assert {w: decontaminate.measure(w) for w in values} == values
