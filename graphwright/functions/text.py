@@ -153,6 +153,12 @@ def reading_quality(text: Column) -> Column:
     return F.when(F.length(value) > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4)).otherwise(0.0)
 
 
+def identity_key(kind: Column, name: Column, code: Column) -> Column:
+    """What makes an entity one: an error code is its code and the digits of its name, all else its type and normal name."""
+    coded = F.concat(F.lit("ErrorCode|code:"), normalize_name(code), F.lit("|name_numbers:"), digit_set(name))
+    return F.when((kind == "ErrorCode") & (F.coalesce(normalize_name(code), F.lit("")) != ""), coded).otherwise(F.concat(kind, F.lit("|"), normalize_name(name)))
+
+
 def short_digest(prefix: str, *parts: Column, separator: str = "|") -> Column:
     """prefix and 20 hex digits of the SHA-256 of the parts."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws(separator, *parts), 256), 1, 20))

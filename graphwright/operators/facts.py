@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphwright.functions import text as T
 
 def compatible_obligations(gold: DataFrame, obligations: DataFrame, predictions: DataFrame, alignment: DataFrame) -> DataFrame:
     """(gold_fact, pred_fact, relation, obligations): gold and predicted facts of one relation that meet in a branch.
@@ -107,6 +108,45 @@ def final_ids(provisional: DataFrame, nodes: DataFrame, final_edges: DataFrame)
     return moved.filter("edge_id <> moved_id").join(final_edges.select(F.col("edge_id").alias("moved_id")).distinct(), "moved_id", "left_semi").distinct()
 
 
+def merged_nodes(names: DataFrame) -> DataFrame:
+    """(provisional_id, node_id): ids that a name had before merging, where the final node has another.
+
+    names(node_id, type, name, code): a row for each name and alias of a final node. A name that several
+    nodes carry follows the least node_id. Names are null nowhere; a null code is none.
+    """
+    early = names.select(T.short_digest("v3n_", T.identity_key(F.col("type"), F.col("name"), F.col("code"))).alias("provisional_id"), "node_id")
+    # a node that is final under its own id has moved nowhere
+    return early.groupBy("provisional_id").agg(F.min("node_id").alias("node_id"), F.bool_or(F.col("provisional_id") == F.col("node_id")).alias("_own")).filter("not _own").drop("_own")
+
+
+def moved_edges(provisional: DataFrame, merged: DataFrame, final_edges: DataFrame) -> DataFrame:
+    """(edge_id, moved_id): provisional edges that are another final edge once their ends follow the merges.
+
+    provisional(type, source, target) with ids as ends, merged(provisional_id, node_id), final_edges(edge_id).
+    """
+    a, b = (merged.select(F.col("provisional_id").alias(c), F.col("node_id").alias(f"new_{c}")) for c in ("source", "target"))
+    edge = lambda s, t: T.short_digest("v3e_", F.col("type"), s, t)
+    ends = provisional.distinct().join(a, "source", "left").join(b, "target", "left")
+    moved = ends.filter("new_source is not null or new_target is not null").select(
+        edge(F.col("source"), F.col("target")).alias("edge_id"), edge(F.coalesce("new_source", "source"), F.coalesce("new_target", "target")).alias("moved_id")
+    )
+    final = final_edges.select(F.col("edge_id").alias("moved_id")).distinct()
+    return moved.filter("edge_id <> moved_id").join(final, "moved_id", "left_semi").select("edge_id", "moved_id")
+
+
+def estimated_cost(events: DataFrame, totals: DataFrame) -> DataFrame:
+    """(run_id, at, seq, cost): a run's total, spread evenly from its first event to its last; for runs without a ledger.
+
+    events(run_id, at, seq), totals(run_id, total) in whole units of money, rounded down. A run of one
+    moment has cost all of it; one without a total has cost nothing.
+    """
+    span = events.groupBy("run_id").agg(F.min(F.unix_seconds(F.col("at").cast("timestamp"))).alias("_start"), F.max(F.unix_seconds(F.col("at").cast("timestamp"))).alias("_end"))
+    elapsed, length = F.unix_seconds(F.col("at").cast("timestamp")) - F.col("_start"), F.col("_end") - F.col("_start")
+    rows = events.join(span.join(totals.select("run_id", "total"), "run_id", "left"), "run_id").withColumns({"_e": elapsed, "_l": length})
+    spent = F.when(F.col("_l") == 0, F.col("total")).otherwise(F.expr("(total * _e) div _l"))
+    return rows.select("run_id", "at", "seq", F.coalesce(spent, F.lit(0).cast("long")).alias("cost"))
+
+
 def cost_at_events(events: DataFrame, costs: DataFrame) -> DataFrame:
     """events(run_id, at, seq) with cost: what the run's calls had cost by then; runs without a ledger get null.
 

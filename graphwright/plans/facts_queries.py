@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphwright.functions import text as T
 from graphwright.operators import facts as X
 from graphwright.operators import graph as G
 from graphwright.operators.ordered import best_matching
 from graphwright.plans import graph_staging as GS
 from graphwright.plans import staging as S
 from graphwright.plans.checkpoints import cut
+from graphwright.plans.text_queries import _NORMAL
 from graphwright.registry import query
 from graphwright.sources.tables import read_table
 
@@ -146,6 +148,53 @@ def cost_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.cost_at_events(live.select("run_id", F.col("happened").alias("at"), "seq"), costs)
 
 
+# Names of parts are numbered; parts of one brand and size are one cause under its first name; suppliers are actions, lines of the first two numbers final edges.
+_CAUSE = f"cause as (select distinct 'v3n_' || substr(sha256('FailureMode|' || {_NORMAL.format('p_name')}), 1, 20) as provisional_id, 'v3n_' || substr(sha256('FailureMode|' || {_NORMAL.format('first_name')}), 1, 20) as node_id from (select p_name || ' ' || p_partkey as p_name, min(p_name || ' ' || p_partkey) over (partition by p_brand, p_size) as first_name from part) p), merged as (select provisional_id, min(node_id) as node_id from cause group by provisional_id having not bool_or(provisional_id = node_id))"
+
+
+def _named_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read_table(spark, sf_dir, "part").withColumn("name", F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")))
+    # minima first, so that a large group is no window of one task
+    firsts = parts.groupBy("p_brand", "p_size").agg(F.min("name").alias("first_name"))
+    first = T.identity_key(F.lit("FailureMode"), F.col("first_name"), F.lit(None).cast("string"))
+    return parts.join(firsts, ["p_brand", "p_size"]).select("p_partkey", T.short_digest("v3n_", first).alias("node_id"), F.lit("FailureMode").alias("type"), "name", F.lit(None).cast("string").alias("code"))
+
+
+@query("t08_merged_nodes", f"with {_CAUSE} select provisional_id, node_id from merged")
+def merged_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the ids of part names end up once parts of one brand and size are one cause."""
+    return X.merged_nodes(_named_causes(spark, sf_dir))
+
+
+@query(
+    "t08_moved_edges",
+    f"""with {_CAUSE}, line as (select distinct 'v3n_' || substr(sha256('FailureMode|' || {_NORMAL.format("(p_name || ' ' || p_partkey)")}), 1, 20) as source, 'A' || l_suppkey as target, l_linenumber < 3 as is_final from lineitem join part on l_partkey = p_partkey),
+    moved as (select distinct 'v3e_' || substr(sha256('RESOLVED_BY|' || source || '|' || target), 1, 20) as edge_id, 'v3e_' || substr(sha256('RESOLVED_BY|' || coalesce(m.node_id, source) || '|' || target), 1, 20) as moved_id, is_final from line left join merged m on source = m.provisional_id)
+    select distinct edge_id, moved_id from moved where edge_id <> moved_id and moved_id in (select moved_id from moved where is_final)""",
+)
+def moved_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which provisional remedies of part names are a final edge of the merged cause."""
+    named = _named_causes(spark, sf_dir)
+    merged = X.merged_nodes(named)
+    own = named.select("p_partkey", T.short_digest("v3n_", T.identity_key(F.col("type"), F.col("name"), F.col("code"))).alias("source"))
+    lines = read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.concat(F.lit("A"), F.col("l_suppkey").cast("string")).alias("target"), "l_linenumber")
+    edges = lines.join(own, "p_partkey").select(F.lit("RESOLVED_BY").alias("type"), "source", "target", "l_linenumber")
+    ends = edges.filter("l_linenumber < 3").join(merged, F.col("source") == F.col("provisional_id"), "left")
+    final = ends.select(T.short_digest("v3e_", F.col("type"), F.coalesce("node_id", "source"), F.col("target")).alias("edge_id"))
+    return X.moved_edges(edges.drop("l_linenumber"), merged, final)
+
+
+@query(
+    "t09_estimated_cost",
+    f"with {S.LIVE}, own as (select * from live where run_id % 5 = 0), total as (select run_id, sum(round(value * 100)::bigint)::bigint as total from own where kind = 'unit_extracted' group by run_id), span as (select run_id, min(epoch(happened)::bigint) as a, max(epoch(happened)::bigint) as b from (select run_id, date_trunc('second', happened) as happened from own) group by run_id) select run_id, happened as at, seq, coalesce(case when a = b then total else (total * (epoch(date_trunc('second', happened))::bigint - a)) // (b - a) end, 0)::bigint as cost from own join span using (run_id) left join total using (run_id)",
+)
+def estimated_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What runs without a ledger had cost at each event, by their totals."""
+    own = S.live_events(spark, sf_dir).filter("run_id % 5 = 0")
+    totals = own.filter("kind = 'unit_extracted'").groupBy("run_id").agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("total"))
+    return X.estimated_cost(own.select("run_id", F.col("happened").alias("at"), "seq"), totals)
+
+
 @query(
     "g02_reaching_actions",
     f"""with {GS.named(node=GS.NODE, edge=GS.EDGE)}, h0 as (select node_id from node where type = 'CorrectiveAction'), h1 as (select distinct source as node_id from edge where not derived and target in (select node_id from h0)), h2 as (select distinct source as node_id from edge where not derived and target in (select node_id from h1)), h3 as (select distinct source as node_id from edge where not derived and target in (select node_id from h2))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphwright.functions.sentences import relation_sentence
 from graphwright.operators import certify as C
 from graphwright.operators import guards as X
 from graphwright.plans import graph_staging as GS
@@ -101,6 +102,31 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("edge_id", X.sentence(F.col("relation_type"), F.col("source_name"), F.col("target_name")).alias("sentence"))
 
 
+_SPOKEN = {
+    "it": ("case relation_type when 'MAY_INDICATE' then 'Se succede ' || a || ', una causa possibile è ' || b || '.' when 'RESOLVED_BY' then 'Se la causa è ' || a || ', si interviene con ' || b || case n % 3 when 0 then ' (un controllo).' when 1 then ' (una riparazione).' else '.' end else a || ' è collegato a ' || b || ' (' || relation_type || ').' end", "«", "»", " (causa non scritta nel manuale)", "Attenzione: ", "Vale se: "),
+    "en": ("case relation_type when 'MAY_INDICATE' then 'If ' || a || ' happens, a possible cause is ' || b || '.' when 'RESOLVED_BY' then 'If the cause is ' || a || ', the fix is ' || b || case n % 3 when 0 then ' (a check).' when 1 then ' (a repair).' else '.' end else a || ' is linked to ' || b || ' (' || relation_type || ').' end", "“", "”", " (cause not written in the manual)", "Warning: ", "Applies if: "),
+}
+
+
+def _spoken_sql(language: str) -> str:
+    said, left, right, unstated, warning, applies = _SPOKEN[language]
+    return f"select edge_id, '{language}' as language, {said} || ' ' || case when n % 2 = 0 then '{warning}' else '{applies}' end || 'step ' || n || '.' as sentence from (select edge_id, relation_type, length(source_name) as n, '{left}' || source_name || '{right}' || case when length(source_name) % 4 = 0 then '{unstated}' else '' end as a, '{left}' || target_name || '{right}' as b from edge) e"
+
+
+@query("x23_spoken_relations", f"with {_EDGE} {_spoken_sql('it')} union all {_spoken_sql('en')}")
+def spoken_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge as a sentence in both languages, with kinds of remedies, implied causes and a condition told by name lengths."""
+    edges = C.edges(C.assertions(S.proposals(spark, sf_dir)))
+    n = F.length("source_name")
+    action = F.when(n % 3 == 0, "inspection").when(n % 3 == 1, "repair").otherwise("other")
+    step = F.struct(F.when(n % 2 == 0, "warning").otherwise("elsewhere").alias("kind"), F.concat(F.lit("step "), n.cast("string"), F.lit("..")).alias("text"))
+    said = [
+        F.struct(F.lit(language).alias("language"), relation_sentence(language, F.col("relation_type"), F.col("source_name"), F.col("target_name"), unstated=n % 4 == 0, action=action, conditions=F.array(step, step)).alias("sentence"))
+        for language in ("it", "en")
+    ]
+    return edges.select("edge_id", F.inline(F.array(*said)))
+
+
 @query(
     "x24_rendered_questions",
     """with said as (select o_custkey, string_agg('  - ' || o_orderkey || ' is ' || o_orderpriority, chr(10) order by o_orderkey) as statements from orders group by o_custkey) select o_custkey, md5('Question c' || o_custkey || chr(10) || 'What the system proposes:' || chr(10) || statements || chr(10) || 'Answer with one option:' || chr(10) || '  accept' || chr(10) || '  reject') as text_hash from said""",
