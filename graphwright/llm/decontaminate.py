@@ -20,7 +20,7 @@ region each slot value of the item stands for one value in the document, and two
 for one; the alignments with most windows come first, and windows that contradict them don't count.
 An item's window is held if all its tokens are held, and a leak is a region that holds enough of all
 the item's windows. Tokens in windows that count are held. So are tokens up to AROUND further out in
-the same alignment, which each window carries: those that are alike; placeholders with consistent
+the same alignment, which each window carries, where windows alone hold too little: those that are alike; placeholders with consistent
 values beside a word that is alike; and words that differ, as names in lower case do, if those on both
 sides are held, one word stands for one throughout, and no more than RENAMED of the item's tokens are
 of this kind.
@@ -382,7 +382,7 @@ def window_bitmap(items: DataFrame) -> np.ndarray:
 Match = tuple[int, int, list[str], list[str]] | tuple[int, int, list[str], list[str], list[str], list[str]]
 
 
-def judged(matches: list[Match], windows: int, width: int) -> tuple[int, int, int, bool]:
+def judged(matches: list[Match], windows: int, width: int, threshold: float = THRESHOLD) -> tuple[int, int, int, bool]:
     """(windows held, windows that match, windows that count, whether they are verbatim) of the best region."""
     matches = sorted(matches, key=lambda m: (m[1], m[0]))
     best = (0, 0, 0, False)
@@ -391,11 +391,11 @@ def judged(matches: list[Match], windows: int, width: int) -> tuple[int, int, in
         if i < len(matches) and matches[i][1] - matches[i - 1][1] <= windows + width:
             continue
         region, start = matches[start:i], i
-        best = max(best, _judged_region(region, windows, width))
+        best = max(best, _judged_region(region, windows, width, threshold))
     return best
 
 
-def _judged_region(region: list[Match], windows: int, width: int) -> tuple[int, int, int, bool]:
+def _judged_region(region: list[Match], windows: int, width: int, threshold: float) -> tuple[int, int, int, bool]:
     often = Counter(m[1] - m[0] for m in region)
     there: dict[str, str] = {}
     back: dict[str, str] = {}
@@ -416,8 +416,11 @@ def _judged_region(region: list[Match], windows: int, width: int) -> tuple[int,
         verbatim &= mine == theirs
         if around:
             beside |= {(i, at - pos): (a, b) for i, (a, b) in enumerate(zip(*around, strict=True), pos - AROUND) if a and b}
-    verbatim &= _hold_beside(beside, held, there, back)
     covered = np.convolve(held, np.ones(width, np.int64), "valid") == width
+    # what windows settle alone needs no look beside them
+    if beside and covered.sum() < threshold * windows:
+        verbatim &= _hold_beside(beside, held, there, back)
+        covered = np.convolve(held, np.ones(width, np.int64), "valid") == width
     return int(covered.sum()), len({m[0] for m in region}), len(counted), verbatim
 
 
@@ -492,7 +495,7 @@ def find_leaks(
         for batch in slices(batches):
             out = []
             for windows, width, matches in zip(*(batch.column(c).to_pylist() for c in ("windows", "width", "matches")), strict=True):
-                held, shared, counted, verbatim = judged([tuple(m.values()) for m in matches], windows, width)
+                held, shared, counted, verbatim = judged([tuple(m.values()) for m in matches], windows, width, threshold)
                 out.append((shared, counted, held, verbatim))
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)] if out else [pa.array([], pa.int64())] * 3 + [pa.array([], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in one), *columns], names=[*one, *names])
