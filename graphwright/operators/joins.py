@@ -89,14 +89,17 @@ def remedy_overlap(actions: DataFrame, least_shared: int, least_share: float) ->
     rows = actions.select("origin", "cause", "action").distinct()
     often = rows.groupBy("origin", "action").agg(F.count(F.lit(1)).alias("often"))
     sets = cut(rows.join(often, ["origin", "action"]).groupBy("origin", "cause").agg(F.array_sort(F.collect_list(F.struct("often", "action"))).alias("s")))
-    sets = sets.select("origin", "cause", F.size("s").alias("n"), F.transform("s", lambda x: x["action"]).alias("actions"))
-    # causes that share so large a part have one of their rarest actions in common
-    first = F.slice("actions", F.lit(1), F.greatest(F.lit(1), F.col("n") - F.ceil(F.lit(least_share) * F.col("n")).cast("int") + 1))
-    keys = sets.select("origin", "cause", F.explode(first).alias("action"))
-    a, b = keys.withColumnRenamed("cause", "left_cause"), keys.withColumnRenamed("cause", "right_cause")
-    pairs = a.join(b, ["origin", "action"]).filter("left_cause < right_cause").select("origin", "left_cause", "right_cause").distinct()
-    left, right = sets.toDF("origin", "left_cause", "na", "sa"), sets.toDF("origin", "right_cause", "nb", "sb")
-    both = pairs.join(left, ["origin", "left_cause"]).join(right, ["origin", "right_cause"]).withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    sets = sets.select("origin", "cause", F.size("s").alias("n"), F.transform("s", lambda x: x["action"]).alias("all")).filter(F.col("n") >= least_shared)
+    # causes that share so large a part have one of their rarest actions in common; sets move with these
+    # actions, so that a pair is judged where it is met and no pair is shuffled
+    first = F.slice("all", F.lit(1), F.greatest(F.lit(1), F.col("n") - F.ceil(F.lit(least_share) * F.col("n")).cast("int") + 1))
+    keys = sets.select("origin", "cause", "n", "all", first.alias("first"), F.posexplode(first).alias("i", "action"))
+    left, right = keys.toDF("origin", "left_cause", "na", "sa", "fa", "ia", "action"), keys.toDF("origin", "right_cause", "nb", "sb", "fb", "ib", "action")
+    enough = lambda n: (n >= least_shared) & (n >= F.lit(least_share) * (F.col("na") + F.col("nb") - n) - 1e-9)
+    # after their first common action no more than the rest of the shorter tail can be shared
+    met = left.join(right, ["origin", "action"]).filter("left_cause < right_cause").filter(enough(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))))
+    met = met.filter(F.col("action") == F.get(F.array_intersect("fa", "fb"), F.lit(0)))
+    both = met.withColumn("shared", F.size(F.array_intersect("sa", "sb")).cast("long"))
     return both.filter((F.col("shared") >= least_shared) & (F.col("shared") >= F.lit(least_share) * (F.col("na") + F.col("nb") - F.col("shared")))).select("origin", "left_cause", "right_cause", "shared")
 
 

@@ -5,8 +5,12 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from graphwright.operators import facts
+from graphwright import registry
+from graphwright.operators import facts, joins
+from graphwright.sources import texts
+from tests.compare import duck, same
 
+QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 @pytest.mark.parametrize("one_branch", [True, False])
@@ -35,3 +39,12 @@ def test_alignment_edges_of_facts_in_one_and_many_branches(spark, one_branch):
         spark.createDataFrame(aligned, "gold_branch string, branch_id string, status string"), F.when(code == 0, "EQUIVALENT").when(code == 1, "DIFFERENT"),
     )
     assert met and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
+
+
+def test_remedy_overlap_doesnt_shuffle_pairs(spark):
+    actions = spark.createDataFrame([("o", c, a) for c in range(20) for a in range(c % 4, c % 4 + 3)], "origin string, cause int, action int")
+    found = joins.remedy_overlap(actions, 2, 0.6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # one join, at the shared action; its pairs are neither made distinct nor joined again
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan
+    assert found.count() == sum(len(set(range(a % 4, a % 4 + 3)) & set(range(b % 4, b % 4 + 3))) >= 0.6 * len(set(range(a % 4, a % 4 + 3)) | set(range(b % 4, b % 4 + 3))) for b in range(20) for a in range(b))
