@@ -40,6 +40,18 @@ def graphs(texts: DataFrame, key: str, value: str) -> DataFrame:
     return parsed.select(key, status.alias("status"), F.col("_graph.nodes").alias("nodes"), F.col("_graph.edges").alias("edges"))
 
 
+def graphs_in_parts(texts: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, status, nodes, edges): graphs that come in several texts, as what the worst of them is, with the numbers of nodes and edges that were read.
+
+    Each part is a graph text of its own, so none has to hold a whole graph.
+    """
+    order = ("READ", "SHAPE", "VERSION", "NOT_JSON")
+    parts = graphs(texts, key, value)
+    size = lambda c: F.sum(F.when(F.col(c).isNotNull(), F.size(c)).cast("long")).alias(c)
+    worst = F.max(F.array_position(F.array(*map(F.lit, order)), F.col("status")).cast("int"))
+    return parts.groupBy(key).agg(F.element_at(F.array(*map(F.lit, order)), worst).alias("status"), size("nodes"), size("edges"))
+
+
 def verified_bundles(files: DataFrame, manifest: DataFrame, bundle: str) -> DataFrame:
     """(bundle, status): VERIFIED if all files have the digest that the manifest names, STALE if one differs or lacks, LEGACY_UNVERIFIED without a manifest.
 

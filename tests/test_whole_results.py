@@ -48,3 +48,10 @@ def test_remedy_overlap_doesnt_shuffle_pairs(spark):
     # one join, at the shared action; its pairs are neither made distinct nor joined again
     assert plan.count("Join ") == 1 and "Aggregate" not in plan
     assert found.count() == sum(len(set(range(a % 4, a % 4 + 3)) & set(range(b % 4, b % 4 + 3))) >= 0.6 * len(set(range(a % 4, a % 4 + 3)) | set(range(b % 4, b % 4 + 3))) for b in range(20) for a in range(b))
+
+
+def test_graphs_in_parts_are_what_the_worst_part_is(spark):
+    part = lambda v, ids: '{"version":%d,"nodes":[%s],"edges":[]}' % (v, ",".join('{"id":"%s","type":"t"}' % i if i else '{"type":"t"}' for i in ids))  # noqa: E731, UP031
+    rows = [(0, part(3, "ab")), (0, part(3, "c")), (1, part(3, "a")), (1, part(1, "b")), (2, part(3, ["a"])), (2, part(3, [""])), (3, "not a graph"), (3, "not a graph")]
+    got = texts.graphs_in_parts(spark.createDataFrame(rows, "k int, t string"), "k", "t").collect()
+    assert sorted(map(tuple, got)) == [(0, "READ", 3, 0), (1, "VERSION", 2, 0), (2, "SHAPE", 2, 0), (3, "NOT_JSON", None, None)]
