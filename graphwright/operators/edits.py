@@ -27,10 +27,11 @@ def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def degrees(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """(node, degree, neighbours) counting both ends; a loop counts once."""
+def degrees(edges: DataFrame, source: str, target: str, loops: int = 1) -> DataFrame:
+    """(node, degree, neighbours) counting both ends; a loop counts once, or for both of its ends with loops=2."""
+    turned = edges if loops == 2 else edges.filter(F.col(source) != F.col(target))
     ends = edges.select(F.col(source).alias("node"), F.col(target).alias("other")).unionByName(
-        edges.filter(F.col(source) != F.col(target)).select(F.col(target).alias("node"), F.col(source).alias("other"))
+        turned.select(F.col(target).alias("node"), F.col(source).alias("other"))
     )
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.count_distinct("other").alias("neighbours"))
 

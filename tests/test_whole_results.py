@@ -61,3 +61,9 @@ def test_cell_kinds_beside_letters_beyond_ascii(spark, tmp_path):
     words = ["testé", "éif x", "cleanß", "if\x0bx", "contact", "teſt", "checK", "thené then"]
     spark.createDataFrame([(4 * i + 2, f"u{i}", w) for i, w in enumerate(words)], "page_id long, url string, html string").coalesce(1).toPandas().to_parquet(tmp_path / "pages.parquet")
     same(QUERIES["x16_cell_kinds"](spark, str(tmp_path)), duck(tmp_path), SQL["x16_cell_kinds"])
+
+
+def test_degrees_where_a_part_has_the_number_of_its_supplier(spark, tmp_path):
+    lines = [(1, 1000007, 7), (2, 1000007, 7), (3, 1000007, 8), (4, 5, 7)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").toPandas().to_parquet(tmp_path / "lineitem.parquet")
+    same(QUERIES["a42_degrees"](spark, str(tmp_path)), duck(tmp_path), SQL["a42_degrees"])
