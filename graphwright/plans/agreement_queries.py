@@ -10,7 +10,7 @@ from graphwright.operators.merging import constrained_merges
 from graphwright.operators.ordered import similar_pairs
 from graphwright.operators.ranking import ranked
 from graphwright.plans import graph_staging as GS
-from graphwright.plans.checkpoints import cut
+from graphwright.plans.checkpoints import cut, shuffled
 from graphwright.registry import query
 from graphwright.sources.tables import read_table
 
@@ -87,8 +87,8 @@ def merge_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g01_constrained_merges")
 def merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar names merged from the most similar on, under all constraints, with what was blocked; held against a loop in a test."""
-    nodes = cut(merge_nodes(spark, sf_dir))
-    pairs = cut(similar_pairs(nodes.select(F.concat_ws(":", "manual", "type").alias("block"), "key", "name"), "block", "key", "name", 0.7))
+    nodes = shuffled(cut(merge_nodes(spark, sf_dir)))
+    pairs = shuffled(cut(similar_pairs(nodes.select(F.concat_ws(":", "manual", "type").alias("block"), "key", "name"), "block", "key", "name", 0.7)))
     pairs = pairs.withColumn("manual", F.split_part("block", F.lit(":"), F.lit(1)).cast("long"))
     order = F.row_number().over(Window.partitionBy("manual").orderBy(F.desc("score"), "left_key", "right_key"))
     apart = pairs.filter("score < 0.75").select("manual", "left_key", "right_key")

@@ -67,3 +67,9 @@ def test_degrees_where_a_part_has_the_number_of_its_supplier(spark, tmp_path):
     lines = [(1, 1000007, 7), (2, 1000007, 7), (3, 1000007, 8), (4, 5, 7)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long").toPandas().to_parquet(tmp_path / "lineitem.parquet")
     same(QUERIES["a42_degrees"](spark, str(tmp_path)), duck(tmp_path), SQL["a42_degrees"])
+
+
+@pytest.mark.parametrize("name", ["g01_constrained_merges", "l08_bound_proposals", "l10_inventory", "l10_requests"])
+def test_no_table_passes_through_the_driver(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
