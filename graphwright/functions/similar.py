@@ -46,12 +46,23 @@ def digit_runs(words: list[str]) -> set[str]:
 
 
 @lru_cache(maxsize=50_000)
+def _words_and_digits(name: str) -> tuple[tuple[str, ...], frozenset[str]]:
+    words = canonical_words(name)
+    return tuple(words), frozenset(digit_runs(words))
+
+
+@lru_cache(maxsize=250_000)
+def _ratio(left: str, right: str) -> float:
+    return SequenceMatcher(None, left, right).ratio()
+
+
+@lru_cache(maxsize=250_000)
 def name_similarity(left: str | None, right: str | None) -> float:
     """1 if the words are equal, 0 if their numbers differ; else the better matching ratio of the names as they are and with sorted words."""
-    a, b = canonical_words(left or ""), canonical_words(right or "")
-    if a == b or digit_runs(a) != digit_runs(b):
+    (a, one), (b, other) = _words_and_digits(left or ""), _words_and_digits(right or "")
+    if a == b or one != other:
         return float(a == b)
-    return max(SequenceMatcher(None, " ".join(x), " ".join(y)).ratio() for x, y in ((a, b), (sorted(a), sorted(b))))
+    return max(_ratio(x, y) for x, y in {(" ".join(a), " ".join(b)), (" ".join(sorted(a)), " ".join(sorted(b)))})
 
 
 def similarity(left: Column, right: Column) -> Column:

@@ -6,7 +6,12 @@ common. Gates on branch, kind, context and code come before any name is compared
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.functions.similar import canonical, matching_ratio, similarity
@@ -32,41 +37,122 @@ def same_relation_pairs(proposals: DataFrame, least: float = LOOSE) -> DataFrame
     names are enough; else a cite in common and two ends that match: a placeholder of a cause matches
     any cause, causes not both stated need equal names, others a similarity of `least`.
     """
-    sides = {}
-    for side in "lr":
-        sides[side] = proposals.select(
-            "unit_id", "relation", context_key(F.col("conditions")).alias("context"), F.coalesce(normalize_name(F.col("source.name")), F.lit("")).alias("sn"), F.coalesce(normalize_name(F.col("target.name")), F.lit("")).alias("tn"),
-            *[v.alias(f"{side}_{n}") for n, v in {"ord": F.col("ord"), "read": F.col("read"), "branch": F.col("branch_id"), "epistemic": F.col("epistemic"), "cites": F.coalesce("cites", F.array().cast("array<string>")), "s": F.col("source"), "t": F.col("target")}.items()],
-        )
-    c = lambda name: F.col(name)
-    code = [F.coalesce(normalize_name(c(f"{x}_s.code")), F.lit("")) for x in "lr"]
-    scoped = c("l_branch").isNotNull() | c("r_branch").isNotNull()
-    scope = (
-        F.coalesce(c("l_branch") == c("r_branch"), F.lit(False)) & c("l_s.kind").eqNullSafe(c("r_s.kind")) & c("l_t.kind").eqNullSafe(c("r_t.kind"))
-        & c("l_epistemic").eqNullSafe(c("r_epistemic")) & F.arrays_overlap("l_cites", "r_cites")
-    )
-    gates = (c("l_ord") < c("r_ord")) & (c("l_read") != c("r_read")) & (~scoped | scope) & ((code[0] == "") | (code[1] == "") | (code[0] == code[1]))
-    found = ["unit_id", F.col("l_ord").alias("left_ord"), F.col("r_ord").alias("right_ord")]
-    named = sides["l"].join(sides["r"], ["unit_id", "relation", "context", "sn", "tn"]).filter(gates).select(*found)
-
-    # at a shared cite, once for each pair: at the first of those they share
-    at = {x: sides[x].withColumnsRenamed({"sn": f"{x}_sn", "tn": f"{x}_tn"}).withColumn("cite", F.explode(F.array_distinct(f"{x}_cites"))) for x in "lr"}
-    met = at["l"].join(at["r"], ["unit_id", "relation", "context", "cite"]).filter(gates).filter(c("cite") == F.get(F.array_intersect("l_cites", "r_cites"), F.lit(0)))
-    met = met.filter(~(c("l_sn").eqNullSafe(c("r_sn")) & c("l_tn").eqNullSafe(c("r_tn"))))
-    for end in "st":
-        a, b = c(f"l_{end}"), c(f"r_{end}")
-        flag = lambda x, f: F.coalesce(x[f], F.lit(False))
-        causes = F.coalesce((a["type"] == "FailureMode") & (b["type"] == "FailureMode"), F.lit(False))
-        sure = causes & (flag(a, "placeholder") | flag(b, "placeholder"))
-        equal = c(f"l_{end}n").eqNullSafe(c(f"r_{end}n"))
-        strict = causes & ~(flag(a, "stated") & flag(b, "stated"))
-        met = met.withColumn(f"{end}_state", F.when(sure | equal, "yes").when(strict, "no").otherwise("ask"))
-    met = met.filter("s_state <> 'no' and t_state <> 'no'")
-    for end in "st":
-        ask = c(f"{end}_state") == "ask"
-        score = similarity(F.when(ask, c(f"l_{end}")["name"]), F.when(ask, c(f"r_{end}")["name"]))
-        met = met.filter(~ask | (score >= least))
-    return named.unionByName(met.select(*found)).distinct()
+    flag = lambda end, name: F.coalesce(F.col(f"{end}.{name}"), F.lit(False))
+    plain = lambda value: F.coalesce(normalize_name(F.col(value)), F.lit(""))
+    # what is compared is made once for a proposal, and each unit meets in one task
+    placed = proposals.filter("unit_id is not null and relation is not null").select("unit_id", "ord", "read", "relation", "branch_id", "epistemic", "cites", "conditions", "source", "target").repartition("unit_id")
+    rows = placed.select(
+        "unit_id", F.col("ord").cast("long").alias("ord"), F.concat_ws("\n", "relation", context_key(F.col("conditions"))).alias("context"), "read", F.col("branch_id").alias("branch"), F.col("epistemic"),
+        F.coalesce("cites", F.array().cast("array<string>")).alias("cites"), plain("source.code").alias("code"),
+        *[v.alias(f"{x}_{n}") for x, end in (("s", "source"), ("t", "target")) for n, v in {"plain": plain(f"{end}.name"), "name": F.col(f"{end}.name"), "kind": F.col(f"{end}.kind"), "cause": F.coalesce(F.col(f"{end}.type") == "FailureMode", F.lit(False)), "placeholder": flag(end, "placeholder"), "stated": flag(end, "stated")}.items()],
+    ).sortWithinPartitions("unit_id", "context", "ord")
+    kind = dict(proposals.dtypes)["unit_id"]
+    names = [f"{side}_{x}" for x in "st" for side in "lr"]
+    met = rows.mapInArrow(_met_in_contexts, f"unit_id {kind}, left_ord long, right_ord long, {', '.join(f'{n} string' for n in names)}")
+    for x in "st":
+        met = met.filter(F.col(f"l_{x}").isNull() & F.col(f"r_{x}").isNull() | (similarity(F.col(f"l_{x}"), F.col(f"r_{x}")) >= least))
+    return met.select("unit_id", "left_ord", "right_ord")
+
+
+#: Cells of a comparison of proposals of one context that are held at once.
+PAIRS_AT_ONCE = 1 << 22
+
+
+def _met_in_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one unit, relation and context that pass all gates, with the names of ends that are still to be compared.
+
+    Rows come sorted by unit and context; one context is held at a time, and compared in blocks of rows.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        same = _same_as_last(held)
+        if same < held.num_rows:
+            yield from _met(held.slice(0, held.num_rows - same))
+            held = held.slice(held.num_rows - same)
+    if held is not None:
+        yield from _met(held)
+
+
+def _same_as_last(table: pa.Table) -> int:
+    """How many rows at the end are of the last one's unit and context."""
+    last = table.num_rows - 1
+    same = pc.and_(pc.equal(table["unit_id"], table["unit_id"][last]), pc.equal(table["context"], table["context"][last]))
+    return int(pc.sum(same).as_py())
+
+
+def _met(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The pairs of whole contexts."""
+
+    def coded(name: str) -> np.ndarray:
+        """Equal values as equal numbers, null as -1."""
+        column = table[name].combine_chunks()
+        return pc.fill_null(pc.index_in(column, pc.unique(column.drop_null())), -1).to_numpy(zero_copy_only=False)
+
+    names = ("unit_id", "context", "read", "branch", "epistemic", "code", *(f"{x}_{n}" for x in "st" for n in ("plain", "kind")))
+    code = {n: coded(n) for n in names}
+    flags = {n: table[n].to_numpy() for n in (f"{x}_{f}" for x in "st" for f in ("cause", "placeholder", "stated"))}
+    coded_row = pc.unique(table["code"].combine_chunks()).to_pylist()
+    uncoded = code["code"] == (coded_row.index("") if "" in coded_row else -2)
+    order = table["ord"].to_numpy()
+    lists = table["cites"].combine_chunks()
+    owner, cites = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
+    cites = pc.fill_null(pc.index_in(cites, pc.unique(cites.drop_null())), -1).to_numpy(zero_copy_only=False)
+    owner, cites = owner[cites >= 0], cites[cites >= 0]
+    ends = np.flatnonzero((np.diff(code["unit_id"]) != 0) | (np.diff(code["context"]) != 0)) + 1
+    found: list[tuple] = []
+    waiting = 0
+    for low, high in zip([0, *ends], [*ends, table.num_rows], strict=True):
+        if high - low < 2:
+            continue
+        first, last = np.searchsorted(owner, [low, high])
+        cited, column = np.unique(cites[first:last], return_inverse=True)
+        # a bit for each cite, 63 to a word
+        at = np.zeros((len(cited) // 63 + 1, high - low), dtype=np.int64)
+        np.bitwise_or.at(at, (column // 63, owner[first:last] - low), np.left_shift(np.int64(1), column % 63))
+        step = max(1, PAIRS_AT_ONCE // (high - low))
+        for start in range(low, high, step):
+            one, other = slice(start, min(high, start + step)), slice(low, high)
+            equal = lambda n: code[n][one, None] == code[n][None, other]  # noqa: B023, E731
+            either = lambda n: n[one, None] | n[None, other]  # noqa: B023, E731
+            shared = np.zeros((one.stop - start, high - low), dtype=bool)
+            for word in at:
+                shared |= (word[start - low : one.stop - low, None] & word[None, :]) != 0
+            read, branch = code["read"], code["branch"]
+            kept = (order[one, None] < order[None, other]) & ~equal("read") & (read[one, None] >= 0) & (read[None, other] >= 0)
+            scope = equal("branch") & equal("s_kind") & equal("t_kind") & equal("epistemic") & shared
+            kept &= ~either(branch >= 0) | scope
+            kept &= either(uncoded) | equal("code")
+            named = equal("s_plain") & equal("t_plain")
+            kept &= named | shared
+            ask = {}
+            for x in "st":
+                causes = flags[f"{x}_cause"][one, None] & flags[f"{x}_cause"][None, other]
+                sure = named | equal(f"{x}_plain") | causes & either(flags[f"{x}_placeholder"])
+                strict = causes & ~(flags[f"{x}_stated"][one, None] & flags[f"{x}_stated"][None, other])
+                kept &= sure | ~strict
+                ask[x] = ~sure
+            left, right = np.nonzero(kept)
+            if len(left):
+                found.append((left + start, right + low, ask["s"][left, right], ask["t"][left, right]))
+                waiting += len(left)
+            if waiting >= 50_000:
+                yield from _listed(table, found)
+                found, waiting = [], 0
+    if found:
+        yield from _listed(table, found)
+
+
+def _listed(table: pa.Table, found: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Pairs by the places of their rows as batches, with the names of those ends that are asked for."""
+    left, right, *asked = (np.concatenate(c) for c in zip(*found, strict=True))
+    columns = {"unit_id": table["unit_id"].take(left), "left_ord": table["ord"].take(left), "right_ord": table["ord"].take(right)}
+    for x, ask in zip("st", asked, strict=True):
+        for side, place in (("l", left), ("r", right)):
+            columns[f"{side}_{x}"] = pc.fill_null(table[f"{x}_name"], "").take(pa.array(place, mask=~ask))
+    yield from pa.table(columns).to_batches(max_chunksize=10_000)
 
 
 def agreement_groups(proposals: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -76,24 +162,24 @@ def agreement_groups(proposals: DataFrame, pairs: DataFrame) -> DataFrame:
     or most of them, the first of equals.
     """
     before = pairs.groupBy("unit_id", F.col("right_ord").alias("ord")).agg(F.array_join(F.array_sort(F.collect_list("left_ord")), ",").alias("before"))
-    rows = proposals.select("unit_id", F.col("ord").cast("long").alias("ord"), "read").join(before, ["unit_id", "ord"], "left")
+    named = F.coalesce(F.col("source.stated"), F.lit(False)).cast("int") + F.coalesce(F.col("target.stated"), F.lit(False)).cast("int")
+    rows = proposals.select("unit_id", F.col("ord").cast("long").alias("ord"), "read", named.alias("named")).join(before, ["unit_id", "ord"], "left")
 
     def joined(part: list[tuple]) -> list[tuple]:
         reads: dict[int, set] = {}
+        best: dict[int, tuple] = {}
         out = []
-        for unit, order, read, earlier in part:
+        for unit, order, read, names, earlier in part:
             firsts = map(int, earlier.split(",")) if earlier else ()
             first = next((f for f in firsts if f in reads and read not in reads[f]), order)
             reads.setdefault(first, set()).add(read)
+            best[first] = min(best.get(first, (0, order)), (-names, order))
             out.append((unit, order, first))
-        return out
+        return [(unit, order, first, int(best[first][1] == order)) for unit, order, first in out]
 
     kind = dict(proposals.dtypes)["unit_id"]
-    groups = in_groups(rows, "unit_id", "ord", joined, f"unit_id {kind}, ord long, candidate long")
-    named = F.coalesce(F.col("source.stated"), F.lit(False)).cast("int") + F.coalesce(F.col("target.stated"), F.lit(False)).cast("int")
-    rows = groups.join(proposals.select("unit_id", F.col("ord").cast("long").alias("ord"), named.alias("_named")), ["unit_id", "ord"])
-    place = F.row_number().over(Window.partitionBy("unit_id", "candidate").orderBy(F.desc("_named"), "ord"))
-    return rows.select("unit_id", "ord", "candidate", (place == 1).alias("leads"))
+    groups = in_groups(rows, "unit_id", "ord", joined, f"unit_id {kind}, ord long, candidate long, leads int")
+    return groups.select("unit_id", "ord", "candidate", (F.col("leads") == 1).alias("leads"))
 
 
 def contrasts(claims: DataFrame, least: float = 0.72) -> DataFrame:

@@ -48,13 +48,13 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j11_same_relations")
 def same_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of order lines of different reads that state one relation; held against all pairs in a test."""
-    return A.same_relation_pairs(cut(proposals(spark, sf_dir)))
+    return A.same_relation_pairs(proposals(spark, sf_dir))
 
 
 @query("j10_agreement_groups")
 def agreement_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines of different reads taken together where they state one relation; held against a loop in a test."""
-    rows = cut(proposals(spark, sf_dir))
+    rows = proposals(spark, sf_dir)
     return A.agreement_groups(rows, A.same_relation_pairs(rows))
 
 

@@ -120,6 +120,29 @@ def test_no_name_is_compared_that_a_gate_rules_out(spark, monkeypatch):
     assert [tuple(r) for r in A.same_relation_pairs(spark.createDataFrame(rows, SCHEMA)).collect()] == [(1, 5, 6)] and seen
 
 
+def test_proposals_are_shuffled_once_and_pairs_are_not(spark):
+    end = ("Symptom", "pump stops", None, None, False, True)
+    rows = [(1, i, "AB"[i % 2], "X", None, "EXPLICIT", [None, "s1"], None, end, (*end[:1], f"valve {i} shuts", *end[2:])) for i in range(4)]
+    pairs = A.same_relation_pairs(spark.createDataFrame(rows, SCHEMA))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert pairs.count() == 0
+    rows = [(*r[:9], (*end[:1], f"valve shuts {'now' * (i % 2)}", *end[2:])) for i, r in enumerate(rows)]
+    assert {tuple(r) for r in A.same_relation_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == {(1, 0, 1), (1, 0, 3), (1, 1, 2), (1, 2, 3)}
+
+
+def test_contexts_are_compared_in_blocks(spark, small, monkeypatch):
+    rows = Q.proposals(spark, small).filter("unit_id < 2")
+    whole = A.same_relation_pairs(rows).collect()
+    import pyarrow as pa
+
+    table = pa.table({"unit_id": [1] * 30, "context": ["x"] * 30, "ord": list(range(30)), "read": ["A", "B"] * 15, "branch": pa.array([None] * 30, pa.string()), "epistemic": ["E"] * 30, "cites": [[f"s{i}", f"s{i % 2}", f"t{i // 10}"] for i in range(30)], "code": [""] * 30, **{f"{x}_{n}": ["n"] * 30 for x in "st" for n in ("plain", "name", "kind")}, **{f"{x}_{n}": [False] * 30 for x in "st" for n in ("cause", "placeholder", "stated")}})
+    found = lambda: [b.num_rows for b in A._met(table)]
+    before = sum(found())
+    monkeypatch.setattr(A, "PAIRS_AT_ONCE", 64)
+    assert before == sum(found()) == 15 * 15 and len(whole) > 0
+
+
 WORDS = ["pump", "valve", "does", "not", "open", "close", "air", "supply", "restricted", "rod", "dry", "leaks", "12", "13", "the", "on", "up-stroke", "down-stroke"]
 
 
