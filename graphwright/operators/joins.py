@@ -77,10 +77,23 @@ def subset_alignment(gold: DataFrame, predicted: DataFrame) -> DataFrame:
 
     gold(gold_id, ref), predicted(pred_id, ref) -> (pred_id, gold_id, candidates); null if not exactly one.
     """
-    sizes = predicted.distinct().groupBy("pred_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = predicted.distinct().join(gold.distinct(), "ref").groupBy("pred_id", "gold_id").agg(F.count(F.lit(1)).alias("m"))
-    inside = hits.join(sizes, "pred_id").filter("m = n").groupBy("pred_id").agg(F.count(F.lit(1)).alias("candidates"), F.min("gold_id").alias("g"))
-    out = sizes.join(inside, "pred_id", "left").select("pred_id", F.coalesce("candidates", F.lit(0)).alias("candidates"), "g")
+    held = gold.select("gold_id", "ref").distinct()
+    golds = held.groupBy("ref").agg(F.transform(F.collect_list(F.struct("gold_id")), lambda x: x["gold_id"]).alias("golds"))
+    often = held.groupBy("ref").agg(F.count(F.lit(1)).alias("often"))
+    # a branch that holds all references holds the two rarest; few are left to be asked for the others
+    known = predicted.distinct().join(often, "ref", "left").groupBy("pred_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "ref"))).alias("r"))
+    refs = known.select("pred_id", F.transform("r", lambda x: x["ref"]).alias("refs"))
+    ref = lambda i: F.get("refs", F.lit(i))
+    first = refs.join(golds.toDF("_first", "golds"), ref(0) == F.col("_first"), "left").select("pred_id", "refs", "golds")
+    second = first.join(golds.toDF("_second", "others"), ref(1) == F.col("_second"), "left")
+    both = F.when(F.size("refs") < 2, F.col("golds")).otherwise(F.array_intersect("golds", "others"))
+    met = second.select("pred_id", both.alias("golds"), F.slice("refs", F.lit(3), F.greatest(F.size("refs") - 2, F.lit(0))).alias("rest"))
+    few = met.select("pred_id", F.explode("golds").alias("gold_id"), "rest")
+    asked = few.filter(F.size("rest") > 0).select("pred_id", "gold_id", F.size("rest").alias("left"), F.explode("rest").alias("ref"))
+    has = held.toDF("_gold", "_ref")
+    whole = asked.join(has, F.col("gold_id").eqNullSafe(F.col("_gold")) & (F.col("ref") == F.col("_ref")), "left_semi").groupBy("pred_id", "gold_id").agg(F.count(F.lit(1)).alias("m"), F.first("left").alias("left")).filter("m = left").select("pred_id", "gold_id")
+    inside = few.filter(F.size("rest") == 0).select("pred_id", "gold_id").unionByName(whole).groupBy("pred_id").agg(F.count(F.lit(1)).alias("candidates"), F.min("gold_id").alias("g"))
+    out = refs.select("pred_id").join(inside, "pred_id", "left").select("pred_id", F.coalesce("candidates", F.lit(0)).alias("candidates"), "g")
     return out.select("pred_id", F.when(F.col("candidates") == 1, F.col("g")).alias("gold_id"), "candidates")
 
 

@@ -73,3 +73,30 @@ def test_degrees_where_a_part_has_the_number_of_its_supplier(spark, tmp_path):
 def test_no_table_passes_through_the_driver(spark, small, name):
     plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
+def shuffled_bytes(spark, df):
+    """The rows of df, and how much was shuffled for them."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    total = lambda: sum(store.executorList(True).apply(i).totalShuffleWrite() for i in range(store.executorList(True).size()))
+    before = total()
+    found = df.collect()
+    return found, total() - before
+
+
+def test_branches_that_share_a_common_reference_are_not_all_paired(spark):
+    # each of 500 branches has the reference of all and one of its own, which two gold branches hold; one holds all
+    gold = spark.range(500).selectExpr("id as gold_id", "explode(array(-1L, id, (id + 1) % 500)) as ref").unionByName(spark.sql("select cast(null as bigint) as gold_id, explode(array(-1L, 3L)) as ref"))
+    predicted = spark.range(500).selectExpr("id as pred_id", "explode(array(-1L, id, id % 10 + if(id % 5 = 0, 0, id))) as ref").unionByName(spark.sql("select 900L as pred_id, 7777L as ref union all select 901L, null"))
+    sets, wanted = defaultdict(set), defaultdict(set)
+    for g, r in gold.collect():
+        sets[g].add(r)
+    for p, r in predicted.collect():
+        wanted[p].add(r)
+    expected = {}
+    for p, refs in wanted.items():
+        fits = [g for g, have in sets.items() if refs <= have]
+        expected[p] = (fits[0] if len(fits) == 1 else None, len(fits))
+    found, moved = shuffled_bytes(spark, joins.subset_alignment(gold, predicted))
+    assert {r["pred_id"]: (r["gold_id"], r["candidates"]) for r in found} == expected and len({n for _, n in expected.values()}) > 2
+    assert moved < 400_000
