@@ -21,6 +21,11 @@ def is_placeholder(name: Column) -> Column:
     return name.startswith(UNSPECIFIED)
 
 
+def _once(df: DataFrame, kept: list[str], **made: Column) -> DataFrame:
+    """kept and made of df; as one element of an array, so that Spark makes each column once and not in every expression and filter that reads it."""
+    return df.select(*kept, F.explode(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))).alias("_made")).select(*kept, "_made.*")
+
+
 def parse_answers(answers: DataFrame, types: tuple[str, ...], allowed: Column) -> DataFrame:
     """Proposals in answers(unit_id, read, answer, ..): one row for each relation that can be used.
 
@@ -36,14 +41,14 @@ def parse_answers(answers: DataFrame, types: tuple[str, ...], allowed: Column) -
         F.filter(F.array_distinct("_a.entities"), lambda e: (F.btrim(e["key"]) != "") & (F.btrim(e["name"]) != "") & e["type"].isin(*types)),
         lambda e: F.struct(F.btrim(e["key"]).alias("key"), e["type"].alias("type"), F.regexp_replace(F.btrim(e["name"]), r"\s+", " ").alias("name"), F.coalesce(e["stated"], F.lit(True)).alias("stated"), F.array_intersect(F.coalesce(e["cite"], F.array().cast("array<string>")), F.col("_ok")).alias("cites")),
     )
-    known = parsed.select("unit_id", "read", "_ok", cleaned.alias("_e"), F.col("_a.relations").alias("_r"))
+    known = _once(parsed, ["unit_id", "read", "_ok"], _e=cleaned, _r=F.col("_a.relations"))
     found = lambda key: F.get(F.filter("_e", lambda e: e["key"] == key), F.lit(0))
     ends = F.transform("_r", lambda r: F.struct(found(r["source"]).alias("s"), found(r["target"]).alias("t"), r["type"].alias("type"), r["record"].alias("record"), r["cite"].alias("cite")))
     usable = F.filter(ends, lambda r: r["s"].isNotNull() & r["t"].isNotNull())
-    known = known.select("unit_id", "read", "_ok", usable.alias("_r"))
+    known = _once(known, ["unit_id", "read", "_ok"], _r=usable)
     repeats = F.filter("_r", lambda r: (r["t"]["type"] == "FailureMode") & (r["s"]["type"] != "FailureMode") & ~is_placeholder(r["t"]["name"]) & (text_key(r["s"]["name"]) == text_key(r["t"]["name"])))
     renamed = F.transform(repeats, lambda r: F.struct(r["t"]["key"].alias("key"), F.concat(F.lit(f"{UNSPECIFIED} "), F.lower(F.substring(r["s"]["name"], 1, 1)), F.substring(r["s"]["name"], 2, 10_000)).alias("name")))
-    known = known.withColumn("_n", renamed)
+    known = _once(known, ["unit_id", "read", "_ok", "_r"], _n=renamed)
 
     def named(end: Column) -> Column:
         new = F.get(F.filter("_n", lambda n: n["key"] == end["key"]), F.lit(0))
@@ -51,7 +56,8 @@ def parse_answers(answers: DataFrame, types: tuple[str, ...], allowed: Column) -
 
     rows = known.select("unit_id", "read", "_ok", "_n", F.explode("_r").alias("r"))
     relation, how = repaired_relation(F.col("r.type"), F.col("r.s.type"), F.col("r.t.type"))
-    rows = rows.select("unit_id", "read", "_ok", "r", relation.alias("relation_type"), how.alias("how"), named(F.col("r.s")).alias("_s"), named(F.col("r.t")).alias("_t")).filter("how <> 'dropped'")
+    rows = rows.withColumns({"relation_type": relation, "how": how}).filter("how <> 'dropped'")
+    rows = _once(rows, ["unit_id", "read", "_ok", "r", "relation_type", "how"], _s=named(F.col("r.s")), _t=named(F.col("r.t")))
     turned = F.col("how") == "reversed"
     cites = F.array_intersect(F.coalesce("r.cite", F.array().cast("array<string>")), F.col("_ok"))
     rows = rows.select(

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphwright import registry
-from graphwright.operators import facts, joins
-from graphwright.sources import texts
+from graphwright.operators import binding, facts, joins
+from graphwright.sources import documents, texts
 from tests.compare import duck, same
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -100,3 +100,20 @@ def test_branches_that_share_a_common_reference_are_not_all_paired(spark):
     found, moved = shuffled_bytes(spark, joins.subset_alignment(gold, predicted))
     assert {r["pred_id"]: (r["gold_id"], r["candidates"]) for r in found} == expected and len({n for _, n in expected.values()}) > 2
     assert moved < 400_000
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_answers_are_parsed_once(spark):
+    answers = spark.createDataFrame([(1, "A", "{}")], "unit_id long, read string, answer string").repartition(2)
+    plan = optimized(binding.parse_answers(answers, ("Symptom",), F.array(F.lit("p1.b1"))))
+    assert plan.count("from_json") == 1 and plan.count("array_distinct") == 1
+
+
+def test_lines_of_sheets_are_parsed_once(spark):
+    texts_ = spark.createDataFrame([(1, "x")], "k int, text string").repartition(2)
+    for df in documents.sheets(texts_, "k", "text")[1:]:
+        plan = optimized(df)
+        assert plan.count("regexp_extract_all") == 1 and plan.count("- problema:") <= 1
