@@ -86,18 +86,22 @@ def gold_files(texts: DataFrame, key: str, value: str) -> DataFrame:
     return parsed.select(key, F.coalesce("g.pages", F.array().cast("array<int>")).alias("pages"), F.explode("g.claims").alias("c")).select(key, "pages", "c.*")
 
 
-def _entries(block: Column, label: str) -> Column:
-    """What a block's lines of one label say: (text, ids, kind)."""
+def _entries(lines: Column, label: str) -> Column:
+    """What a block's lines of one label say: (text, ids, kind).
 
-    def entry(line: Column) -> Column:
-        parts = F.transform(F.split(line, r"\|"), lambda p: F.btrim(p))
+    The parts of a line are bound to a lambda variable, so they are made once for a line.
+    """
+    start = f"- {label}:"
+    split = F.transform(F.filter(lines, lambda line: line.startswith(start)), lambda line: F.transform(F.split(F.substring(line, F.lit(len(start) + 1), F.length(line)), r"\|"), lambda p: F.btrim(p)))
+
+    def entry(parts: Column) -> Column:
         named = lambda name: F.try_element_at(F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.lower(F.btrim(F.split_part(p, F.lit(":"), F.lit(1)))) == name), F.lit(-1))
         content = lambda p: F.regexp_replace(p, "^[^:]*:?", "")
         ids = F.filter(F.transform(F.split(content(named("id")), ","), lambda i: F.btrim(i)), lambda i: i != "")
         kind = F.try_element_at(F.create_map(*[F.lit(x) for pair in SHEET_KINDS.items() for x in pair]), F.lower(F.btrim(content(named("tipo")))))
         return F.struct(F.get(parts, F.lit(0)).alias("text"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"), F.coalesce(kind, F.lit("")).alias("kind"))
 
-    return F.transform(F.regexp_extract_all(block, F.lit(rf"(?md)^- {label}:(.*)$"), 1), entry)
+    return F.transform(split, entry)
 
 
 def sheets(texts: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -117,13 +121,16 @@ def sheets(texts: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame
 
     body = F.element_at(F.split(text, "## Rami", 2), -1)
     blocks = texts.select(key, F.explode(F.regexp_extract_all(body, F.lit(SHEET_BLOCK), 0)).alias("block"))
-    rows = blocks.select(key, F.regexp_extract("block", SHEET_BLOCK, 1).alias("branch_id"), F.regexp_extract("block", SHEET_BLOCK, 2).alias("block"))
+    # a block's first line names it; the others are split once
+    rows = blocks.select(key, F.substring(F.substring_index("block", "\n", 1), len("### Ramo ") + 1, 1 << 30).alias("branch_id"), F.split("block", "\n").alias("lines"))
     labels = {"problem": SHEET_PROBLEM, "code": SHEET_CODE, "cause": SHEET_CAUSE, "component": SHEET_COMPONENT, "conditions": SHEET_CONDITIONS}
     blank = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("ids"), F.lit("").alias("kind"))
-    rows = rows.select(
-        key, "branch_id", *[F.coalesce(F.get(_entries(F.col("block"), label), F.lit(0)), blank).alias(n) for n, label in labels.items()],
-        F.filter(_entries(F.col("block"), SHEET_ACTION), lambda a: a["text"] != "").alias("actions"),
-    ).filter("problem.text <> ''")
+    # as one element of an array, so that Spark parses each entry once and not in every expression that reads it
+    entries = F.struct(
+        *[F.coalesce(F.get(_entries(F.col("lines"), label), F.lit(0)), blank).alias(n) for n, label in labels.items()],
+        F.filter(_entries(F.col("lines"), SHEET_ACTION), lambda a: a["text"] != "").alias("actions"),
+    )
+    rows = rows.select(key, "branch_id", F.explode(F.array(entries)).alias("e")).select(key, "branch_id", "e.*").filter("problem.text <> ''")
     stated = (F.col("cause.text") != "") & (F.lower("cause.text") != NOT_STATED)
     bad = F.filter(F.flatten(F.concat(F.array("problem.ids", "cause.ids", "component.ids"), F.transform("actions", lambda a: a["ids"]))), lambda i: ~i.rlike(SEGMENT_ID))
     found = lambda code, detail: F.struct(F.lit(code).alias("problem"), detail.alias("detail"))
