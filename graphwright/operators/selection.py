@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 
 def of_view(edges: DataFrame, view: str, derived: bool = False) -> DataFrame:
     """Edges of a view: green, not_trusted (all tiers but green) or all; derived ones only if wanted."""
-    kept = {"green": F.col("tier") == "green", "not_trusted": F.col("tier") != "green", "all": F.lit(True)}[view]
-    return edges.filter(kept if derived else kept & ~F.col("derived"))
+    return edges.filter(VIEWS[view]() if derived else VIEWS[view]() & ~F.col("derived"))
+
+
+#: Which edges each view keeps.
+VIEWS = {"green": lambda: F.col("tier") == "green", "not_trusted": lambda: F.col("tier") != "green", "all": lambda: F.lit(True)}
+
+
+def in_views(edges: DataFrame, derived: bool = False) -> DataFrame:
+    """Adds view: each edge once for each view that has it; the edges are read once."""
+    rows = edges if derived else edges.filter(~F.col("derived"))
+    return rows.withColumn("view", F.explode(F.array_compact(F.array(*[F.when(kept(), view) for view, kept in VIEWS.items()]))))
 
 
 def matching_relations(edges: DataFrame, occurrences: DataFrame, types: tuple[str, ...], text: str, page: int | None, status: str | None) -> DataFrame:

@@ -71,8 +71,7 @@ def filtered_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of each view of the graph, by relation."""
     edges = C.edges(C.assertions(S.proposals(spark, sf_dir, fine=True))).withColumn("derived", F.lit(False))
-    parts = [Z.of_view(edges, v).select(F.lit(v).alias("view"), "relation_type", "occurrences") for v in ("green", "not_trusted", "all")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("view", "relation_type").agg(F.count(F.lit(1)).alias("edges"), F.sum("occurrences").alias("occurrences"))
+    return Z.in_views(edges).groupBy("view", "relation_type").agg(F.count(F.lit(1)).alias("edges"), F.sum("occurrences").alias("occurrences"))
 
 
 @query(

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphwright import registry
-from graphwright.operators import binding, facts, joins
+from graphwright.operators import binding, facts, joins, selection
 from graphwright.sources import documents, texts
 from tests.compare import duck, same
 
@@ -117,3 +117,14 @@ def test_lines_of_sheets_are_parsed_once(spark):
     for df in documents.sheets(texts_, "k", "text")[1:]:
         plan = optimized(df)
         assert plan.count("regexp_extract_all") == 1 and plan.count("- problema:") <= 1
+
+
+def test_views_read_the_graph_once(spark, small):
+    df = QUERIES["p19_views"](spark, small)
+    assert "Union" not in optimized(df)
+    edges = spark.createDataFrame([("a", "green", False), ("b", "red", False), ("c", "yellow", True)], "e string, tier string, derived boolean")
+    for derived in (False, True):
+        got = selection.in_views(edges, derived)
+        for view in selection.VIEWS:
+            assert {r["e"] for r in got.filter(F.col("view") == view).collect()} == {r["e"] for r in selection.of_view(edges, view, derived).collect()}
+    same(df, duck(small), SQL["p19_views"])
