@@ -104,6 +104,16 @@ def canonical(name: Column) -> Column:
     return made(name)
 
 
+def canonical_text(name: Column) -> Column:
+    """A name's words joined by spaces, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def made(names: pd.Series) -> pd.Series:
+        return pd.Series([" ".join(canonical_words(n or "")) for n in names], dtype="object")
+
+    return made(name)
+
+
 def matching_ratio(left: Column, right: Column) -> Column:
     """The matching ratio of two texts as they are, in Arrow batches."""
 

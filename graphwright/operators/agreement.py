@@ -1,7 +1,7 @@
 """Which proposals of different reads say the same, and which names may be taken for each other.
 
-Both are similarity joins with equality keys: equal names, a shared cite, or rare characters in
-common. Gates on branch, kind, context and code come before any name is compared.
+Proposals meet by equal names or a shared cite, names of a manual in cells of bounded size, where
+characters in order part most. Gates on branch, kind, context and code come before any name is compared.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.functions.similar import canonical, matching_ratio, similarity
+from graphwright.functions.similar import canonical_text, matching_ratio, similarity
 from graphwright.functions.text import normalize_name
-from graphwright.operators.ordered import in_groups, ratio_candidates
+from graphwright.operators.ordered import in_groups
 
 #: Ends that are cited at one place need only be so similar.
 LOOSE = 0.5
@@ -182,6 +182,12 @@ def agreement_groups(proposals: DataFrame, pairs: DataFrame) -> DataFrame:
     return groups.select("unit_id", "ord", "candidate", (F.col("leads") == 1).alias("leads"))
 
 
+#: Names of a manual that are compared at once with as many others.
+NAMES_AT_ONCE = 1000
+#: What a pair has of each of its names.
+SIDE = {"text": "key", "name": "name", "claims": "claims"}
+
+
 def contrasts(claims: DataFrame, least: float = 0.72) -> DataFrame:
     """(manual, kind, left_name, right_name, left_claims, right_claims, similarity): names of a manual that look alike and may mean different things.
 
@@ -193,13 +199,19 @@ def contrasts(claims: DataFrame, least: float = 0.72) -> DataFrame:
         F.struct(F.lit("FailureMode").alias("kind"), F.col("failure").alias("name")),
         F.struct(F.lit("Symptom").alias("kind"), F.when(F.coalesce("code", F.lit("")) == "", F.col("indicator")).alias("name")),
     )).alias("e")).select("manual", "claim_id", "e.*").filter("name <> ''")
-    plain = rows.withColumn("_c", canonical(F.col("name"))).select("manual", "claim_id", "kind", "name", F.col("_c.text").alias("text"), F.col("_c.tokens").alias("tokens"))
-    names = plain.groupBy("manual", "kind", "text").agg(
-        F.min(F.struct("claim_id", "name"))["name"].alias("name"), F.array_sort(F.collect_set("claim_id")).alias("claims"), F.min("tokens").alias("tokens")
-    )
-    found = ratio_candidates(names, ["manual", "kind"], "text", "tokens", least)
-    sides = [names.select("manual", "kind", F.col("text").alias(f"{s}_key"), F.col("name").alias(f"{s}_name"), F.col("claims").alias(f"{s}_claims")) for s in ("left", "right")]
-    pairs = found.join(sides[0], ["manual", "kind", "left_key"]).join(sides[1], ["manual", "kind", "right_key"])
+    rows = rows.filter("manual is not null")
+    # a manual's names in parts of bounded size; each pair of parts meets in a cell of its own
+    parts = rows.groupBy("manual", "kind").agg(F.ceil(F.count(F.lit(1)) / NAMES_AT_ONCE).cast("int").alias("_n"))
+    names = rows.withColumn("text", canonical_text(F.col("name"))).groupBy("manual", "kind", "text").agg(F.min(F.struct("claim_id", "name"))["name"].alias("name"), F.array_sort(F.collect_set("claim_id")).alias("claims"))
+    placed = names.join(parts, ["manual", "kind"]).withColumn("_part", F.pmod(F.xxhash64("text"), F.col("_n")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.struct(F.least(k, "_part").alias("_i"), F.greatest(k, "_part").alias("_j")))
+    met = placed.select("manual", "kind", "text", "name", "claims", "_part", F.explode(cells).alias("_c")).select("manual", "kind", "text", "name", "claims", "_part", "_c.*")
+    # few bytes hold much work, so the tasks are not to be merged by size
+    tasks = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(tasks, "manual", "kind", "_i", "_j").sortWithinPartitions("manual", "kind", "_i", "_j")
+    kinds = dict(met.dtypes)
+    sides = ", ".join(f"{side}_{new} {kinds[old]}" for side in ("left", "right") for old, new in SIDE.items())
+    pairs = met.mapInArrow(lambda batches: _alike(batches, least), f"manual {kinds['manual']}, kind string, {sides}")
     # blocks of a match need bigrams in common: a match of m characters in so many blocks has m less the blocks
     pairs = pairs.filter(_shared_bigrams(F.col("left_key"), F.col("right_key")) >= (F.length("left_key") + F.length("right_key")) * (1.5 * least - 1) - 1 - 1e-9)
     # the ratio depends on which text comes first: the one whose claim came first does
@@ -210,6 +222,85 @@ def contrasts(claims: DataFrame, least: float = 0.72) -> DataFrame:
     return scored.select("manual", "kind", *side("name"), *side("claims"), F.bround("ratio", 4).alias("similarity"))
 
 
+def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of names of each cell that may match by a ratio of at least `least`; rows come sorted by cell, one is held at a time."""
+    for cell in _whole_groups(batches, ("manual", "kind", "_i", "_j")):
+        texts = np.array([*cell["text"].to_pylist(), None], dtype=object)[:-1]
+        part, i, j = cell["_part"].to_numpy(), cell["_i"][0].as_py(), cell["_j"][0].as_py()
+        left, right = near_texts(texts, np.flatnonzero(part == i), np.flatnonzero(part == j), least)
+        swap = texts[left] > texts[right]
+        left, right = np.where(swap, right, left), np.where(swap, left, right)
+        columns = {"manual": cell["manual"].take(left), "kind": cell["kind"].take(left)}
+        for side, rows in (("left", left), ("right", right)):
+            columns |= {f"{side}_{new}": cell[old].take(rows) for old, new in SIDE.items()}
+        yield from pa.table(columns).to_batches(max_chunksize=10_000)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each group as a table; rows come sorted by the keys."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        changes = np.zeros(table.num_rows - 1, dtype=bool)
+        for key in keys:
+            changes |= pc.not_equal(batch[key][1:], batch[key][:-1]).to_numpy(zero_copy_only=False)
+        ends = [0, *(np.flatnonzero(changes) + 1), table.num_rows]
+        for low, high in zip(ends, ends[1:]):  # noqa: B905
+            if held and (low or any(held[0][k][0] != table[k][0] for k in keys)):
+                yield pa.concat_tables(held)
+                held = []
+            held.append(table.slice(low, high - low))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def near_texts(texts: np.ndarray, ones: np.ndarray, others: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places, one of ones and one of others, whose texts may match by a ratio of at least `least`; of a set with itself each pair once.
+
+    A match has no more characters than the texts have in common, and no more than their longest common
+    subsequence, which is found for all pairs at once, a bit for each character of a text of up to 64.
+    """
+    points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
+    size = np.array([len(p) for p in points], dtype=np.int64)
+    owner = np.repeat(np.arange(len(points)), size)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    letters, code = np.unique(np.concatenate(points), return_inverse=True)
+    counts = np.zeros((len(letters), len(points)), dtype=np.int32)
+    np.add.at(counts, (code, owner), 1)
+    # of texts of up to 64 characters: where each letter is, and the letters in order; the last letter is none
+    low = place < 64
+    masks = np.zeros((len(points), len(letters) + 1), dtype=np.uint64)
+    np.bitwise_or.at(masks, (owner[low], code[low]), np.left_shift(np.uint64(1), place[low].astype(np.uint64)))
+    starts = np.cumsum(size) - size
+    same = ones is others or np.array_equal(ones, others)
+    found = [(np.zeros(0, dtype=np.int64),) * 2]
+    step = max(1, PAIRS_AT_ONCE // 8 // max(1, len(others)))
+    for start in range(0, len(ones), step):
+        rows = ones[start : start + step]
+        common = np.zeros((len(rows), len(others)), dtype=np.int32)
+        for letter in np.flatnonzero(counts[:, rows].any(axis=1) & counts[:, others].any(axis=1)):
+            common += np.minimum(counts[letter, rows][:, None], counts[letter, others][None, :])
+        kept = 2 * common >= (size[rows][:, None] + size[others][None, :]) * least - 1e-9
+        if same:
+            kept &= rows[:, None] < others[None, :]
+        a, b = np.nonzero(kept)
+        a, b = rows[a], others[b]
+        a, b = np.where(size[a] <= size[b], a, b), np.where(size[a] <= size[b], b, a)
+        free = np.full(len(a), ~np.uint64(0))
+        for at in range(int(size[b].max(initial=0))):
+            letter = np.where(at < size[b], code[np.minimum(starts[b] + at, len(code) - 1)], len(letters))
+            hit = free & masks[a, letter]
+            free = (free + hit) | (free - hit)
+        width = np.left_shift(np.uint64(1), np.minimum(size[a], 63).astype(np.uint64)) - np.uint64(1)
+        width = np.where(size[a] > 63, ~np.uint64(0), width)
+        near = (size[a] > 64) | (2 * np.bitwise_count(~free & width).astype(np.int64) >= (size[a] + size[b]) * least - 1e-9)
+        found.append((a[near], b[near]))
+    left, right = (np.concatenate(side) for side in zip(*found, strict=True))
+    return left, right
+
+
 def _shared_bigrams(left: Column, right: Column) -> Column:
     """How many bigrams two texts share, repeated ones as often as both have them."""
 

@@ -69,7 +69,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g12_contrasts")
 def contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of each manual that look alike, numbered from the most alike on; held against all pairs in a test."""
-    found = A.contrasts(claims(spark, sf_dir))
+    found = cut(A.contrasts(claims(spark, sf_dir)))  # places are found in two passes
     order = [F.desc("similarity"), F.col("kind"), F.col("left_name"), F.col("right_name"), F.col("left_claims"), F.col("right_claims")]
     return ranked(found, ["manual"], order)
 

@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,25 @@ def test_contrasts_against_all_pairs(spark, small):
     assert {e[:6] for e in got} == {e[:6] for e in expected} and all(any(abs(g[6] - e[6]) < 2e-4 for e in expected if e[:6] == g[:6]) for g in got)
 
 
+def test_contrasts_in_many_cells(spark, monkeypatch):
+    """A manual's names meet in cells of bounded size, and few pairs but the alike ones are left for the ratio."""
+    monkeypatch.setattr(A, "NAMES_AT_ONCE", 7)
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("etaoins\u00e9\u4e2d\U0001f600") for _ in range(rng.randrange(1, 6))) for _ in range(n))
+    names = [text(5) for _ in range(60)] + [text(30) for _ in range(8)] + ["a", "", "b" * 64, "b" * 70]
+    names += [n[:i] + "x" + n[i + 1 :] for n in names for i in (len(n) // 2,)]
+    rows = [(1, i, rng.choice(names), None, n) for i, n in enumerate(names)] + [(None, 1, "abcdef", None, "abcdeg"), (None, 2, "abcdeg", None, "abcdef")]
+    df = spark.createDataFrame(rows, "manual long, claim_id long, indicator string, code string, failure string")
+    got = {(r["manual"], r["kind"], r["left_name"], r["right_name"], tuple(r["left_claims"]), tuple(r["right_claims"])) for r in A.contrasts(df).collect()}
+    assert got == {e[:6] for e in contrasts_by_hand([r for r in rows if r[0]], 0.72)} and len(got) > 40
+    words = np.array(["".join(rng.choice("etaoinsrhldcum ") for _ in range(rng.randrange(20, 70))) for _ in range(300)], dtype=object)
+    every = np.arange(len(words))
+    alike = {(i, j) for i, j in itertools.combinations(range(len(words)), 2) if SequenceMatcher(None, words[i], words[j]).ratio() >= 0.5}
+    left = set(map(tuple, np.sort(np.stack(A.near_texts(words, every, every, 0.5), 1), axis=1).tolist()))
+    assert alike and alike <= left
+    assert len(A.near_texts(words, every, every, 0.72)[0]) < len(words)
+
+
 def merges_by_hand(nodes, pairs, apart):
     """The rules over member lists, without any sets of groups."""
     groups = {k: [k] for k in nodes}
