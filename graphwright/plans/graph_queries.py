@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphwright.operators import certify as C
 from graphwright.operators import graph as G
 from graphwright.plans import staging as S
+from graphwright.plans.checkpoints import cut
 from graphwright.registry import query
 from graphwright.sources.tables import read_table
 
@@ -36,7 +37,7 @@ _FINE_EDGE = _EDGE.replace(S.PROPOSAL, S.FINE_PROPOSAL)
 
 
 def _asserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.assertions(S.proposals(spark, sf_dir))
+    return C.assertions(S.proposals(spark, sf_dir, by_unit=True))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +130,7 @@ def two_hop_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def navigation_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems without an action and causes without a problem, with names per order group."""
-    return G.navigation_gaps(C.edges(C.assertions(S.proposals(spark, sf_dir, fine=True))))
+    return G.navigation_gaps(C.edges(C.assertions(S.proposals(spark, sf_dir, fine=True, by_unit=True))))
 
 
 @query(
@@ -194,9 +195,10 @@ def row_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every brand leads to within three hops: parts, suppliers and their nations."""
-    green = _edges(spark, sf_dir).filter("tier = 'green'").select(F.col("source_name").alias("source"), F.col("target_name").alias("target"))
+    # an edge is green if an assertion of it is
+    green = _asserted(spark, sf_dir).filter("tier = 'green'").select(F.col("source_name").alias("source"), F.col("target_name").alias("target"))
     places = read_table(spark, sf_dir, "supplier").join(read_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    links = green.unionByName(places.select(F.col("s_name").alias("source"), F.col("n_name").alias("target"))).distinct()
+    links = cut(green.unionByName(places.select(F.col("s_name").alias("source"), F.col("n_name").alias("target"))).distinct())  # read at each hop
     starts = read_table(spark, sf_dir, "part").select(F.col("p_brand").alias("start")).distinct()
     return G.bounded_paths(links, starts, 3).withColumnRenamed("start", "start_name")
 
@@ -207,7 +209,7 @@ def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Beyond SQL at size: components reach through the whole graph. A test holds it against brute force.
     """
-    edges = C.edges(C.assertions(S.proposals(spark, sf_dir, fine=True)))
+    edges = C.edges(C.assertions(S.proposals(spark, sf_dir, fine=True, by_unit=True)))
     return G.component_sizes(edges, {"all": "true", "public": "tier <> 'red'", "green": "tier = 'green'", "resolved": "tier <> 'red' and relation_type = 'RESOLVED_BY'"})
 
 

@@ -98,7 +98,7 @@ def marked_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every edge in plain words."""
-    edges = C.edges(C.assertions(S.proposals(spark, sf_dir)))
+    edges = C.edges(C.assertions(S.proposals(spark, sf_dir, by_unit=True)))
     return edges.select("edge_id", X.sentence(F.col("relation_type"), F.col("source_name"), F.col("target_name")).alias("sentence"))
 
 
@@ -116,7 +116,7 @@ def _spoken_sql(language: str) -> str:
 @query("x23_spoken_relations", f"with {_EDGE} {_spoken_sql('it')} union all {_spoken_sql('en')}")
 def spoken_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every edge as a sentence in both languages, with kinds of remedies, implied causes and a condition told by name lengths."""
-    edges = C.edges(C.assertions(S.proposals(spark, sf_dir)))
+    edges = C.edges(C.assertions(S.proposals(spark, sf_dir, by_unit=True)))
     n = F.length("source_name")
     action = F.when(n % 3 == 0, "inspection").when(n % 3 == 1, "repair").otherwise("other")
     step = F.struct(F.when(n % 2 == 0, "warning").otherwise("elsewhere").alias("kind"), F.concat(F.lit("step "), n.cast("string"), F.lit("..")).alias("text"))

@@ -160,7 +160,7 @@ def cited_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Green relations of the later units, by order date, that earlier ones don't have."""
     orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id"), (F.col("o_orderdate") >= F.lit("1995-06-17").cast("date")).alias("late"))
-    green = C.assertions(S.proposals(spark, sf_dir, fine=True)).filter("tier = 'green'").join(orders, "unit_id")
+    green = C.assertions(S.proposals(spark, sf_dir, fine=True, by_unit=True)).filter("tier = 'green'").join(orders, "unit_id")
     return J.new_links(green, F.col("late"), ["relation_type", "source_name", "target_name"])
 
 

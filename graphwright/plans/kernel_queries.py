@@ -17,7 +17,7 @@ from graphwright.sources.tables import read_table
 
 
 def _asserted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.assertions(S.proposals(spark, sf_dir))
+    return C.assertions(S.proposals(spark, sf_dir, by_unit=True))
 
 
 @query("p01_eligible_evidence", "select conv_id, role, count(*) as units, count(*) filter (where role <> 'system' and trim(text) <> '') as eligible from conversations group by conv_id, role")

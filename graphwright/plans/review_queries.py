@@ -40,7 +40,7 @@ answer as (
 @query("l13_questions", f"with {_QUESTION} select * from question")
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions about the yellow assertions."""
-    return R.questions(C.assertions(S.proposals(spark, sf_dir)))
+    return R.questions(C.assertions(S.proposals(spark, sf_dir, by_unit=True)))
 
 
 @query(
@@ -49,7 +49,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def question_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twenty questions of each priority are offered, the others deferred."""
-    asked = R.questions(C.assertions(S.proposals(spark, sf_dir)))
+    asked = R.questions(C.assertions(S.proposals(spark, sf_dir, by_unit=True)))
     return R.within_budget(asked, "priority", 20, F.desc("n"), F.col("question_id")).select("question_id", "priority", "place", "offered")
 
 

@@ -70,7 +70,7 @@ def filtered_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of each view of the graph, by relation."""
-    edges = C.edges(C.assertions(S.proposals(spark, sf_dir, fine=True))).withColumn("derived", F.lit(False))
+    edges = C.edges(C.assertions(S.proposals(spark, sf_dir, fine=True, by_unit=True))).withColumn("derived", F.lit(False))
     return Z.in_views(edges).groupBy("view", "relation_type").agg(F.count(F.lit(1)).alias("edges"), F.sum("occurrences").alias("occurrences"))
 
 
@@ -101,7 +101,7 @@ def eligible_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def questions_for_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offered questions, without those that are answered by approval (first units that end in 7)."""
-    asked = R.questions(C.assertions(S.proposals(spark, sf_dir)))
+    asked = R.questions(C.assertions(S.proposals(spark, sf_dir, by_unit=True)))
     offered = Z.first_of(asked, "priority", 20, F.desc("n"), F.col("question_id"))
     return offered.filter(~F.col("question_id").rlike("^rel:[0-9]*7:")).select("question_id", "priority")
 
@@ -112,7 +112,7 @@ def questions_for_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def edge_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best tier of each edge."""
-    return C.edges(C.assertions(S.proposals(spark, sf_dir))).select("relation_type", "source_name", "target_name", "tier")
+    return C.edges(C.assertions(S.proposals(spark, sf_dir, by_unit=True))).select("relation_type", "source_name", "target_name", "tier")
 
 
 @query(
@@ -198,7 +198,7 @@ def campaign_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w16_best_tiers", f"with {_ASSERTION} select source_name, min(case tier when 'green' then 0 when 'yellow' then 1 else 2 end)::int as rank, count(*) as assertions from assertion group by source_name")
 def best_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best tier of each source."""
-    rows = C.assertions(S.proposals(spark, sf_dir))
+    rows = C.assertions(S.proposals(spark, sf_dir, by_unit=True))
     return rows.groupBy("source_name").agg(F.min(C.tier_rank(F.col("tier"))).alias("rank"), F.count(F.lit(1)).alias("assertions"))
 
 
@@ -220,7 +220,7 @@ def top_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o05_deferred_questions", f"with {_QUESTION}, placed as (select *, row_number() over (partition by priority order by n desc, question_id) as place from question) select priority, count(*) filter (where place <= 20) as offered, count(*) filter (where place > 20) as deferred from placed group by priority")
 def deferred_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many questions of each priority are offered and deferred."""
-    asked = R.within_budget(R.questions(C.assertions(S.proposals(spark, sf_dir))), "priority", 20, F.desc("n"), F.col("question_id"))
+    asked = R.within_budget(R.questions(C.assertions(S.proposals(spark, sf_dir, by_unit=True))), "priority", 20, F.desc("n"), F.col("question_id"))
     return asked.groupBy("priority").agg(F.count_if("offered").alias("offered"), F.count_if(~F.col("offered")).alias("deferred"))
 
 

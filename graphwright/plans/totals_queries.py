@@ -54,7 +54,7 @@ def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each run: tiers, witnesses, names, proposals."""
     tier = lambda t: F.count_if(F.col("tier") == t).alias(t)
-    return C.assertions(S.proposals(spark, sf_dir)).groupBy((F.col("unit_id") % 20).alias("run")).agg(
+    return C.assertions(S.proposals(spark, sf_dir, by_unit=True)).groupBy((F.col("unit_id") % 20).alias("run")).agg(
         F.count(F.lit(1)).alias("relations"), tier("green"), tier("yellow"), tier("red"), F.count_if("structure").alias("by_structure"), F.count_if("agreement").alias("by_agreement"),
         F.count_if(F.col("verdict") == "supported").alias("by_verifier"), F.count_distinct("source_name").alias("sources"), F.sum("proposals").alias("proposals"),
     )
@@ -111,7 +111,7 @@ def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Green relations by type, by verdict, by both, and over all."""
-    rows = C.assertions(S.proposals(spark, sf_dir)).cube("relation_type", "verdict").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("tier") == "green").alias("green"))
+    rows = C.assertions(S.proposals(spark, sf_dir, by_unit=True)).cube("relation_type", "verdict").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("tier") == "green").alias("green"))
     return rows.select(F.coalesce("relation_type", F.lit("all")).alias("relation_type"), F.coalesce("verdict", F.lit("none_or_all")).alias("verdict"), "level", "n", "green")
 
 
@@ -132,7 +132,7 @@ def needs_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def node_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that a search finds, with their links; a selected node stays in even if it isn't found."""
-    public = C.edges(C.assertions(S.proposals(spark, sf_dir))).filter("tier <> 'red'")
+    public = C.edges(C.assertions(S.proposals(spark, sf_dir, by_unit=True))).filter("tier <> 'red'")
     ends = public.select(F.col("source_name").alias("name"), "edge_id").unionByName(public.select(F.col("target_name").alias("name"), "edge_id"))
     degree = ends.groupBy("name").agg(F.count_distinct("edge_id").alias("links"))
     chosen = F.col("name") == "Brand#7"
@@ -171,10 +171,10 @@ def segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def certified_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes at an edge with a green occurrence."""
-    public = C.edges(C.assertions(S.proposals(spark, sf_dir))).filter("green > 0")
+    green = C.assertions(S.proposals(spark, sf_dir, by_unit=True)).filter("tier = 'green'")
     parts, suppliers = read_table(spark, sf_dir, "part"), read_table(spark, sf_dir, "supplier")
     nodes = parts.select(F.col("p_name").alias("name")).union(parts.select("p_brand")).union(suppliers.select("s_name")).distinct()
-    ends = public.select(F.col("source_name").alias("name")).union(public.select("target_name")).distinct()
+    ends = green.select(F.explode(F.array("source_name", "target_name")).alias("name")).distinct()
     return nodes.join(ends, "name", "left_semi")
 
 
@@ -271,7 +271,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uncertain relations as sentences."""
     verb = F.when(F.col("relation_type") == "MAY_INDICATE", " may indicate ").otherwise(" is resolved by ")
     context = F.when(F.size("conditions") > 0, F.concat(F.lit(" ["), F.array_join("conditions", "; "), F.lit("]"))).otherwise("")
-    rows = C.assertions(S.proposals(spark, sf_dir)).filter("tier = 'yellow'")
+    rows = C.assertions(S.proposals(spark, sf_dir, by_unit=True)).filter("tier = 'yellow'")
     return rows.groupBy("unit_id", F.concat("source_name", verb, "target_name", context, F.lit(".")).alias("statement")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -288,7 +288,7 @@ def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("source_name") == F.col("target_name"), F.lit("SELF_LINK")),
         F.when(F.size("conditions") > 1, F.lit("SEVERAL_CONDITIONS")),
     ))
-    rows = C.assertions(S.proposals(spark, sf_dir)).withColumn("issues", flags)
+    rows = C.assertions(S.proposals(spark, sf_dir, by_unit=True)).withColumn("issues", flags)
     return rows.groupBy("relation_type", F.array_join("issues", ",").alias("issues"), (F.size("issues") == 0).alias("valid")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -302,7 +302,7 @@ def invalidated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = read_table(spark, sf_dir, "part").filter("p_partkey % 97 = 5").select(F.col("p_name").alias("name")).union(
         read_table(spark, sf_dir, "supplier").filter("s_suppkey % 50 = 3").select("s_name")
     ).distinct()
-    edges = C.edges(C.assertions(S.proposals(spark, sf_dir)))
+    edges = C.edges(C.assertions(S.proposals(spark, sf_dir, by_unit=True)))
     touched = edges.join(changed, F.col("source_name") == F.col("name"), "left_semi").select("edge_id").union(
         edges.join(changed, F.col("target_name") == F.col("name"), "left_semi").select("edge_id")
     ).distinct().withColumn("hit", F.lit(True))
