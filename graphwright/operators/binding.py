@@ -89,14 +89,15 @@ def inherited_remedies(causes: DataFrame, remedies: DataFrame, cap: int) -> Data
 
 def cross_read_pairs(proposals: DataFrame) -> DataFrame:
     """(unit_id, relation_type, left, right): names that two reads give the same end of a relation whose other end is equal."""
-    side = lambda end, other: proposals.select("unit_id", "relation_type", F.lit(end).alias("end"), F.col(other).alias("other"), F.col(end).alias("name"), "read")
-    sides = side("source_name", "target_name").unionByName(side("target_name", "source_name")).distinct()
+    side = lambda end, other: F.struct(F.lit(end).alias("end"), F.col(other).alias("other"), F.col(end).alias("name"))
+    sides = proposals.filter("unit_id is not null and relation_type is not null").select("unit_id", "relation_type", "read", F.explode(F.array(side("source_name", "target_name"), side("target_name", "source_name"))).alias("e"))
+    sides = sides.select("unit_id", "relation_type", "e.*", "read").filter("other is not null and name is not null")
     key = ["unit_id", "relation_type", "end", "other"]
-    a, b = sides.filter("read = 'A'").select(*key, F.col("name").alias("left")), sides.filter("read = 'B'").select(*key, F.col("name").alias("right"))
-    seen = sides.groupBy(*key, "name").agg(F.count_distinct("read").alias("reads")).filter("reads > 1").select(*key, "name")
-    pairs = a.join(b, key).filter("left <> right")
-    # a name that both reads have is agreed on
-    pairs = pairs.join(seen.withColumnRenamed("name", "left"), [*key, "left"], "left_anti").join(seen.withColumnRenamed("name", "right"), [*key, "right"], "left_anti")
+    # a name that several reads have is agreed on
+    alone = sides.groupBy(*key, "name").agg(F.min("read").alias("read"), F.max("read").alias("_last")).filter(F.col("read").isin("A", "B") & (F.col("read") == F.col("_last")))
+    of = lambda read: F.collect_list(F.when(F.col("read") == read, F.col("name")))
+    met = alone.groupBy(*key).agg(of("A").alias("a"), of("B").alias("b")).filter((F.size("a") > 0) & (F.size("b") > 0))
+    pairs = met.select("unit_id", "relation_type", F.explode("a").alias("left"), "b").select("unit_id", "relation_type", "left", F.explode("b").alias("right"))
     return pairs.select("unit_id", "relation_type", F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct()
 
 

@@ -99,7 +99,7 @@ def inherited_remedies(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cross_read_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that two reads give one end of a relation."""
-    return B.cross_read_pairs(S.proposals(spark, sf_dir))
+    return B.cross_read_pairs(S.proposals(spark, sf_dir, by_unit=True))
 
 
 _MATRIX = """
@@ -214,7 +214,7 @@ def split_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def verifier_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assertions that a verifier must see, three at a time."""
-    rows = C.assertions(S.proposals(spark, sf_dir)).select("unit_id", F.concat_ws("|", "relation_type", "source_name", "target_name").alias("assertion_id"), F.coalesce("structure", F.lit(False)).alias("structure"), F.coalesce("agreement", F.lit(False)).alias("agreement"), (F.col("row") % 4 == 0).alias("hypothesis"))
+    rows = C.assertions(S.proposals(spark, sf_dir, by_unit=True)).select("unit_id", F.concat_ws("|", "relation_type", "source_name", "target_name").alias("assertion_id"), F.coalesce("structure", F.lit(False)).alias("structure"), F.coalesce("agreement", F.lit(False)).alias("agreement"), (F.col("row") % 4 == 0).alias("hypothesis"))
     return B.pending_for_verifier(rows, 3)
 
 
@@ -281,7 +281,7 @@ _KEY = "relation_type, source_name, target_name"
 )
 def projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of each edge an export can show, and why not more."""
-    rows = C.assertions(S.proposals(spark, sf_dir)).withColumn("public", F.col("unit_id") % 5 != 0).withColumn("representable", F.col("unit_id") % 7 != 0)
+    rows = C.assertions(S.proposals(spark, sf_dir, by_unit=True)).withColumn("public", F.col("unit_id") % 5 != 0).withColumn("representable", F.col("unit_id") % 7 != 0)
     return B.projected(rows, ["relation_type", "source_name", "target_name"])
 
 
