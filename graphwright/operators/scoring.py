@@ -56,8 +56,11 @@ def micro_recall(claims: DataFrame, family: str) -> DataFrame:
 
 def merge_effect(relations: DataFrame, group: str, before: tuple[Column, Column], after: tuple[Column, Column]) -> DataFrame:
     """(group, edges_before, edges_after, edges_delta, sources_delta): distinct edges and sources under two namings."""
-    count = lambda ends: F.count_distinct(F.concat_ws("|", *ends))
-    sizes = relations.groupBy(group).agg(count(before).alias("edges_before"), count(after).alias("edges_after"), F.count_distinct(before[0]).alias("_b"), F.count_distinct(after[0]).alias("_a"))
+    texts = (F.concat_ws("|", *before), F.concat_ws("|", *after), before[0], after[0])
+    # one text to a row: few bytes are kept for each distinct one, and none is held beside nulls of the others
+    each = relations.select(F.col(group), F.posexplode(F.array(*texts)).alias("_what", "_text")).distinct()
+    count = lambda what: F.count_if((F.col("_what") == what) & F.col("_text").isNotNull())
+    sizes = each.groupBy(group).agg(count(0).alias("edges_before"), count(1).alias("edges_after"), count(2).alias("_b"), count(3).alias("_a"))
     return sizes.select(group, "edges_before", "edges_after", (F.col("edges_after") - F.col("edges_before")).alias("edges_delta"), (F.col("_a") - F.col("_b")).alias("sources_delta"))
 
 
