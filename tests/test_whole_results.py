@@ -87,6 +87,12 @@ def shuffled_bytes(spark, df):
     return found, total() - before
 
 
+def test_proposals_are_bound_in_the_tasks_of_their_documents(spark, small):
+    found, moved = shuffled_bytes(spark, QUERIES["l08_bound_proposals"](spark, small))
+    assert len(found) > 5_000 and moved < 250 * len(found)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_branches_that_share_a_common_reference_are_not_all_paired(spark):
     # each of 500 branches has the reference of all and one of its own, which two gold branches hold; one holds all
     gold = spark.range(500).selectExpr("id as gold_id", "explode(array(-1L, id, (id + 1) % 500)) as ref").unionByName(spark.sql("select cast(null as bigint) as gold_id, explode(array(-1L, 3L)) as ref"))
