@@ -79,11 +79,11 @@ def test_no_table_passes_through_the_driver(spark, small, name):
 
 
 def shuffled_bytes(spark, df):
-    """The rows of df, and how much was shuffled for them."""
+    """The rows of df, or what a function makes, and how much was shuffled for them."""
     store = spark.sparkContext._jsc.sc().statusStore()
     total = lambda: sum(store.executorList(True).apply(i).totalShuffleWrite() for i in range(store.executorList(True).size()))
     before = total()
-    found = df.collect()
+    found = df() if callable(df) else df.collect()
     return found, total() - before
 
 
@@ -93,6 +93,15 @@ def test_proposals_are_bound_in_the_tasks_of_their_documents(spark, small):
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
 
 
+@pytest.mark.parametrize("name", ["l10_inventory", "l10_requests"])
+def test_coverage_is_found_in_the_tasks_of_the_documents(spark, small, name):
+    # what making the query writes counts too: of the relations no more than the lists of their ids
+    df, made = shuffled_bytes(spark, lambda: QUERIES[name](spark, small))
+    found, moved = shuffled_bytes(spark, df)
+    assert found and made + moved < 350 * 6_000
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
 def test_branches_that_share_a_common_reference_are_not_all_paired(spark):
     # each of 500 branches has the reference of all and one of its own, which two gold branches hold; one holds all
     gold = spark.range(500).selectExpr("id as gold_id", "explode(array(-1L, id, (id + 1) % 500)) as ref").unionByName(spark.sql("select cast(null as bigint) as gold_id, explode(array(-1L, 3L)) as ref"))
